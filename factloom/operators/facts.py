@@ -65,10 +65,11 @@ def sql_statements(files: DataFrame, path: str = "path", content: str = "content
     """
     body = r"(?:'[^']*'|\"[^\"]*\"|--[^\n]*|/\*[\s\S]*?\*/|[^;'\"/-]+|[/-])+"
     hits = match_all(files, content, [body], [path])
-    text = F.btrim("text", F.lit(" \t\r\n\f\x0b"))
-    lead = F.regexp_extract("text", r"^\s*", 0)
+    # comments before a statement do not belong to it
+    lead = F.regexp_extract("text", r"^(?:\s+|--[^\n]*(?:\n|$)|/\*[\s\S]*?\*/)*", 0)
+    body_text = F.btrim(F.substring(F.col("text"), F.length(lead) + 1, F.length("text")), F.lit(" \t\r\n\f\x0b"))
     rows = hits.select(
-        path, F.col("match_seq").alias("seq"), text.alias("sql"),
+        path, F.col("match_seq").alias("seq"), body_text.alias("sql"),
         (F.col("line") + T.count_of(lead, "\n")).cast("int").alias("line"),
     )
     verb = F.upper(F.regexp_extract("sql", r"^\S+", 0))
