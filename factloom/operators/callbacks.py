@@ -95,7 +95,7 @@ def java_dispatch(symbols: DataFrame) -> DataFrame:
         "path", F.col("name").alias("class"), "line", F.explode(kinds).alias("r")
     )
     # commas inside <...> do not part two names
-    names = F.transform(F.split(F.col("r.names"), r",(?![^<]*>)"), F.trim)
+    names = F.transform(F.split(F.col("r.names"), r",(?![^<]*>)"), lambda n: F.trim(n))
     return rows.select("path", "class", "line", F.col("r.relation").alias("relation"), F.explode(names).alias("target")).where(
         F.col("target") != ""
     )

@@ -355,19 +355,20 @@ def fuzzy_names(spark, d):
     return joins.fuzzy_match(names, words(table(spark, d, "benchmark"), "name"))
 
 
-@query("similar_word_sets", """
-WITH s AS (SELECT DISTINCT list_sort(list_distinct(regexp_extract_all(text, '[a-z]+', 0)))[1:6] AS w, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '[a-z]+', 0)))[1:6], '_') AS name FROM conversations),
-b AS (SELECT DISTINCT list_sort(list_distinct(regexp_extract_all(text, '[a-z]+', 0)))[1:6] AS w, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '[a-z]+', 0)))[1:6], '_') AS cand FROM documents)
-SELECT name, min(cand) AS candidate FROM s JOIN b ON len(list_intersect(s.w, b.w)) >= 0.5 * len(list_distinct(list_concat(s.w, b.w))) AND len(s.w) > 0
-GROUP BY name""")
+_SENTENCES = "SELECT DISTINCT trim(unnest(string_split(lower(text), '.'))) AS name"
+
+
+@query("similar_word_sets", f"""
+WITH s AS (SELECT name, list_distinct(regexp_extract_all(name, '[a-z]+', 0)) AS w FROM ({_SENTENCES} FROM benchmark)),
+b AS (SELECT name AS cand, list_distinct(regexp_extract_all(name, '[a-z]+', 0)) AS w FROM ({_SENTENCES} FROM documents))
+SELECT name, min(cand) AS candidate FROM s JOIN b ON len(s.w) > 0 AND len(b.w) > 0 AND
+  len(list_intersect(s.w, b.w)) >= 0.7 * len(list_distinct(list_concat(s.w, b.w))) GROUP BY name""")
 def similar_word_sets(spark, d):
-    def names(df, out):
-        words = F.slice(F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0)))), 1, 6)
-        return df.select(F.array_join(words, "_").alias(out)).distinct()
+    def sentences(name, out):
+        df = table(spark, d, name)
+        return df.select(F.explode(F.split(F.lower("text"), "[.]")).alias("s")).select(F.trim("s").alias(out)).distinct()
 
-    return joins.similar_words(
-        names(table(spark, d, "conversations"), "name"), names(table(spark, d, "documents"), "candidate"), 0.5
-    )
+    return joins.similar_words(sentences("benchmark", "name"), sentences("documents", "candidate"), 0.7)
 
 
 @query("json_value", "SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings the plans in this package are written for. All of them
 # can be set on a session that somebody else created.
@@ -51,3 +52,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         shared = tempfile.mkdtemp(prefix="factloom-checkpoint-")
     sc.setCheckpointDir(shared)
     return shared
+
+
+def stage_table(df: DataFrame, partition_by: str | None = None) -> DataFrame:
+    """Writes the rows once to the shared checkpoint folder and reads them back.
+
+    For results that several later steps use: they read Parquet with pruned
+    columns and partitions in place of parsing the sources again, and a lost
+    executor costs a re-read, not a re-run of the plan behind it.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/factloom-{uuid.uuid4().hex}"
+    writer = df.write.partitionBy(partition_by) if partition_by else df.write
+    writer.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """More partitions for a CPU-heavy step if the scan has fewer than there are cores.
+
+    Only a scan of a few unsplittable files is shuffled; larger inputs pass
+    through unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

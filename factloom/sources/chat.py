@@ -25,7 +25,7 @@ def response_content(df: DataFrame, keys: Sequence[str], body: str, out: str = "
     Stream chunks are joined in order; without chunks the last JSON line
     counts. An empty content falls back to the reasoning text.
     """
-    bare = F.transform(F.split(F.col(body), r"\r?\n|\r"), F.trim)
+    bare = F.transform(F.split(F.col(body), r"\r?\n|\r"), lambda l: F.trim(l))
     data = F.transform(F.filter(bare, lambda l: l.startswith("data:")), lambda l: F.trim(F.substring(l, 6, 1 << 30)))
     valid = F.filter(data, lambda p: (p != "[DONE]") & F.get_json_object(p, "$").isNotNull() & p.startswith("{"))
     chunks = F.array_join(
