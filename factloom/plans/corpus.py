@@ -233,6 +233,32 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("doc"), "source", _text(REPORT, **v).alias("markdown"))
 
 
+def part_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same report with a part's name as text."""
+    part = spread(table(spark, sf_dir, "part").select("p_partkey", "p_name"))
+    v = {"k": F.col("p_partkey").cast("string"), "text": F.col("p_name"), "e": F.lit(" ")}
+    return part.select(F.col("p_partkey").alias("doc"), _text(REPORT, **v).alias("markdown"))
+
+
+MODULE_TEXT = """# Module {k}
+It holds {name}.
+## Duty
+Keeps {k}.
+## Core flow
+```mermaid
+flowchart TD
+    A[go(x)] --> B
+```
+"""
+
+
+def module_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A generated analysis per part, as if each part were a module."""
+    part = spread(table(spark, sf_dir, "part").select("p_partkey", "p_name"))
+    v = {"k": F.col("p_partkey").cast("string"), "name": F.col("p_name")}
+    return part.select(_text("src_part_{k}", **v).alias("module"), _text(MODULE_TEXT, **v).alias("markdown"))
+
+
 DIAGRAM = """Intro {k}
 ```mermaid
 sequenceDiagram
