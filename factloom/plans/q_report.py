@@ -312,9 +312,9 @@ _CTX_HEADS = "['## Public interface per module', '## Verified calls', '## Import
 
 @query("structured_context", f"""
 WITH p AS (SELECT 'java/' || g AS module, path, unnest([0, 2, 3]) AS seq, unnest(['Customer' || k, 'Customer' || k || '.rate', 'Customer' || k || '.audit']) AS qual,
-             unnest(['class', 'method', 'method']) AS kind, unnest([5, 7, 11]) AS at FROM {JB}),
+             unnest(['class', 'method', 'method']) AS kind, unnest([5, 7, 11]) AS ln FROM {JB}),
 pn AS (SELECT *, row_number() OVER (PARTITION BY module ORDER BY path, seq) AS r, count(*) OVER (PARTITION BY module) AS size FROM p),
-e AS (SELECT path, unnest([0, 1]) AS seq, 'Customer' || k || '.rate' AS caller, unnest(['log.info', 'helper' || n]) AS callee, unnest([8, 9]) AS at FROM {JB}),
+e AS (SELECT path, unnest([0, 1]) AS seq, 'Customer' || k || '.rate' AS caller, unnest(['log.info', 'helper' || n]) AS callee, unnest([8, 9]) AS ln FROM {JB}),
 en AS (SELECT *, row_number() OVER (ORDER BY path, seq) AS r FROM e),
 m AS (SELECT path, unnest([0, 1]) AS seq, unnest(['java.util.List', 'com.acme.Util.log']) AS source FROM {JB}),
 mn AS (SELECT *, row_number() OVER (ORDER BY path, seq) AS r FROM m),
@@ -322,9 +322,9 @@ u AS (SELECT 'udf_' || n AS name, min(path) AS path FROM {SB} GROUP BY 1),
 l AS (
 SELECT unnest([1, 2, 3, 4, 5, 6]) AS section, -1 AS n, '0000' AS pos, unnest({_CTX_HEADS}) AS line
 UNION ALL SELECT DISTINCT 1, 0, module || chr(9) || '0000', '### ' || module FROM pn
-UNION ALL SELECT 1, 0, module || chr(9) || printf('%04d', r), '  - `' || qual || '` ' || kind || ' @ ' || path || ':' || at FROM pn WHERE r <= 30
+UNION ALL SELECT 1, 0, module || chr(9) || printf('%04d', r), '  - `' || qual || '` ' || kind || ' @ ' || path || ':' || ln FROM pn WHERE r <= 30
 UNION ALL SELECT DISTINCT 1, 0, module || chr(9) || '0031', '  ... (' || (size - 30) || ' more)' FROM pn WHERE size > 30
-UNION ALL SELECT 2, 0, path || chr(9) || printf('%015d', seq), '  `' || caller || '` → `' || callee || '` @ ' || path || ':' || at FROM en WHERE r <= 500
+UNION ALL SELECT 2, 0, path || chr(9) || printf('%015d', seq), '  `' || caller || '` → `' || callee || '` @ ' || path || ':' || ln FROM en WHERE r <= 500
 UNION ALL SELECT 3, 0, path || chr(9) || printf('%06d', seq), '  `' || path || '` imports `' || source || '`' FROM mn WHERE r <= 300
 UNION ALL SELECT 4, 0, name, '  - `' || name || '` @ ' || path || ':6 (spark.udf.register)' FROM u
 UNION ALL SELECT 5, 0, 'conf/' || g || '.xml' || chr(9) || path, '  - `conf/' || g || '.xml` loaded by `' || path || '` via XMLLoader.load' FROM {SB}
@@ -356,7 +356,7 @@ _MODULE_DOC = P.MODULE_TEXT.replace("# Module", "@ Module").replace("## ", "####
 WITH m AS (SELECT p_partkey AS k, p_name, row_number() OVER (ORDER BY 'src_part_' || p_partkey) AS ord, 'src_part_' || p_partkey AS module FROM part),
 h AS (SELECT *, '3.' || ord || ' `part/' || k || '`' AS head, '3-' || ord || '-part' || k AS slug FROM m),
 b AS (SELECT ord, string_split({sql_text(_MODULE_DOC, k="k", name="p_name")}, chr(10)) AS l FROM m),
-t AS (SELECT ord, k, unnest([0, 2, 4]) AS at, unnest(['    - [Module ' || k || '](#module-' || k || ')', '      - [Duty](#duty)', '      - [Core flow](#core-flow)']) AS line FROM m),
+t AS (SELECT ord, k, unnest([0, 2, 4]) AS ln, unnest(['    - [Module ' || k || '](#module-' || k || ')', '      - [Duty](#duty)', '      - [Core flow](#core-flow)']) AS line FROM m),
 r AS (
 SELECT 0 AS section, 0 AS n, 0 AS sub, unnest(['0000', '0001']) AS pos, unnest(['# Parts', '']) AS line
 UNION ALL SELECT 1, -4611686018427387904, 0, unnest(['0000', '0001', '0002']), unnest(['- [1. Architecture](#1-architecture)', '- [2. Flows across modules](#2-flows-across-modules)', '- [3. Modules](#3-modules)'])
@@ -368,7 +368,7 @@ UNION ALL SELECT 5, -4611686018427387904, 0, unnest(['0000', '0001', '0002', '00
 UNION ALL SELECT 4, ord, 0, '0', '### ' || head FROM h
 UNION ALL SELECT 1, ord, 0, '0', '  - [' || head || '](#' || slug || ')' FROM h
 UNION ALL SELECT 4, ord, 1, printf('%09d', x - 1), l[x] FROM b, unnest(range(1, len(l) + 1)) AS u(x)
-UNION ALL SELECT 1, ord, 1, printf('%09d', at), line FROM t)
+UNION ALL SELECT 1, ord, 1, printf('%09d', ln), line FROM t)
 SELECT CAST(section AS INTEGER) AS section, CAST(n AS BIGINT) AS n, CAST(sub AS INTEGER) AS sub, pos, line FROM r""")
 def final_document(spark, d):
     return R.final_document(P.module_texts(spark, d), "Parts", "Layers.", "Flows.").where("section < 6")

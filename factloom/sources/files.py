@@ -23,17 +23,15 @@ def scan(spark: SparkSession, root: str, extensions: list[str] | None = None) ->
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if extensions:
         reader = reader.option("pathGlobFilter", "*{" + ",".join(_case_glob(e) for e in extensions) + "}")
-    base = "file:" + root.rstrip("/") if root.startswith("/") else root.rstrip("/")
-    # the file source reports file:/x for local paths whatever the slashes given
-    rel = F.regexp_replace(F.col("path"), "^" + _quoted_root(base) + "/", "")
     return reader.load(root).select(
-        rel.alias("path"), F.col("length").alias("size"), F.col("content").alias("bytes")
+        relative(F.col("path"), root).alias("path"), F.col("length").alias("size"), F.col("content").alias("bytes")
     )
 
 
-def _quoted_root(base: str) -> str:
-    scheme, _, rest = base.partition(":")
-    return scheme + ":/*" + "\\Q" + rest.lstrip("/") + "\\E"
+def relative(path: Column, root: str) -> Column:
+    """Path below ``root``; the file source writes local roots as file:/x or file:///x."""
+    scheme, _, rest = (root if ":" in root else "file:" + root).partition(":")
+    return F.regexp_replace(path, f"^{scheme}:/*\\Q{rest.strip('/')}\\E/", "")
 
 
 def with_text(files: DataFrame, max_bytes: int = V.MAX_FILE_BYTES) -> DataFrame:
