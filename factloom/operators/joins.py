@@ -29,8 +29,9 @@ def salted_join(
     Left rows of a hot key go to ``salts`` groups by a hash of the row (not by
     ``rand``: a re-run task must make the same choice); right rows of hot keys
     are repeated once per group. The hot-key list has at most ``share`` rows,
-    so it is broadcast whatever the table size. Right rows should be unique, or
-    pre-aggregated, per key.
+    so it is broadcast whatever the table size. For joins where both sides have
+    many rows per key; the left side is read twice, so it should be a stored
+    table and not a scan of source text.
     """
     hot = F.broadcast(hot_keys(left, key, share).select(F.col(key).alias("_hot")))
     others = [c for c in left.columns if c != key] or [key]
@@ -45,6 +46,17 @@ def salted_join(
     return l.join(r, [key, "_salt"], how).drop("_salt")
 
 
+def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Equi-join with a right side that has one row, or few, per key.
+
+    Left to adaptive execution on purpose: it broadcasts the right side only
+    after it has measured it, and otherwise splits a hot key of the left side
+    over many tasks, each with the one right row it needs. A salt would need a
+    pass over the left side to find the hot keys first.
+    """
+    return left.join(right, key, how)
+
+
 def last_before(
     points: DataFrame, edges: DataFrame, keys: Sequence[str], position: str,
     edge_order: str, value: str, out: str,

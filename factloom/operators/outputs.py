@@ -11,6 +11,7 @@ from factloom import fixed_values as V
 from factloom.functions import text as T
 from factloom.operators.joins import last_before, salted_join
 from factloom.operators.match import first_wins, match_all
+from factloom.session import stage_table
 
 COLUMNS = [
     "name", "output_type", "path", "line", "confidence", "detection_layer", "evidence", "context",
@@ -128,7 +129,8 @@ def trace_inputs(outputs: DataFrame, calls: DataFrame, stmts: DataFrame, symbols
     file reads from, and symbols of the file that look like reads.
     """
     key = ["name", "output_type", "path", "line"]
-    placed = containing_function(outputs.select(*key), calls)
+    # used by three joins, one of which also counts its hot keys
+    placed = stage_table(containing_function(outputs.select(*key), calls))
     edges = calls.select(
         F.col("callee").alias("container"), F.col("caller").alias("source_name"),
         F.col("path").alias("source_path"), F.col("line").alias("source_line"),

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from factloom import fixed_values as V
 from factloom.functions import text as T
 from factloom.operators.facts import table_refs
-from factloom.operators.joins import contains_join, fuzzy_match, salted_join
+from factloom.operators.joins import contains_join, fuzzy_match, lookup_join
+from factloom.session import stage_table
 
 
 # ground truth -----------------------------------------------------------
@@ -83,8 +84,11 @@ def table_mentions(texts: DataFrame, keys: list[str], text: str = "text") -> Dat
 
 
 def validate_tables(found: DataFrame, known: DataFrame) -> DataFrame:
-    """Adds status: a semi and an anti join in one pass over the mentions."""
-    marked = salted_join(found, known.select("table_name", F.lit(True).alias("_known")), "table_name", "left")
+    """Adds status: a semi and an anti join in one pass over the mentions.
+
+    ``known`` has one row per table name.
+    """
+    marked = lookup_join(found, known.select("table_name", F.lit(True).alias("_known")), "table_name", "left")
     return marked.select(
         *found.columns, F.when(F.col("_known"), F.lit("verified")).otherwise(F.lit("unverified")).alias("status")
     )
@@ -92,7 +96,7 @@ def validate_tables(found: DataFrame, known: DataFrame) -> DataFrame:
 
 def validate_calls(found: DataFrame, index: DataFrame) -> DataFrame:
     """Looks every mention up in the truth index; misses are unverified."""
-    marked = salted_join(found, index, "name", "left")
+    marked = lookup_join(found, index, "name", "left")
     return marked.select(
         *found.columns,
         F.when(F.col("rank").isNull(), F.lit("unverified")).otherwise(F.lit("verified")).alias("status"),
@@ -104,9 +108,10 @@ def validate_calls(found: DataFrame, index: DataFrame) -> DataFrame:
 
 def rescue(validated: DataFrame, known: DataFrame, threshold: float = V.FUZZY_THRESHOLD, min_suffix: int = 1) -> DataFrame:
     """Second chance for unverified names: the first known name like them."""
-    misses = validated.where(F.col("status") == "unverified").select("name").distinct()
-    likes = fuzzy_match(misses, known, threshold, min_suffix)
-    joined = salted_join(validated, likes, "name", "left")
+    # both name lists meet in several joins, so they are computed once
+    misses = stage_table(validated.where(F.col("status") == "unverified").select("name").distinct())
+    likes = fuzzy_match(misses, stage_table(known), threshold, min_suffix)
+    joined = lookup_join(validated, likes, "name", "left")
     saved = (F.col("status") == "unverified") & F.col("matched_to").isNotNull()
     return joined.select(
         *[c for c in validated.columns if c not in ("status", "match_type")],
@@ -137,14 +142,14 @@ def udfs_in_text(texts: DataFrame, keys: list[str], udfs: DataFrame, text: str =
     words = F.array_distinct(T.find_all(F.lower(F.col(text)), r"\w+", 0))
     spread = texts.select(*keys, F.explode(words).alias("word"))
     hits = contains_join(spread.select("word"), "word", udfs.select("name").distinct(), "name")
-    return salted_join(spread, hits, "word").select(*keys, "name").distinct()
+    return lookup_join(spread, hits, "word").select(*keys, "name").distinct()
 
 
 def unknown_udf_mentions(texts: DataFrame, keys: list[str], udfs: DataFrame, text: str = "text") -> DataFrame:
     """udf_x mentions without a registered x; repeats are kept."""
     found = texts.select(*keys, F.posexplode(T.find_all(F.col(text), V.UDF_MENTION)).alias("seq", "name"))
     known = udfs.select("name", F.lit(True).alias("_known")).distinct()
-    return salted_join(found, known, "name", "left").where(F.col("_known").isNull()).select(*keys, "seq", "name")
+    return lookup_join(found, known, "name", "left").where(F.col("_known").isNull()).select(*keys, "seq", "name")
 
 
 def missing_calls(edges: DataFrame, found: DataFrame) -> DataFrame:
