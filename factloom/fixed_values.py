@@ -223,6 +223,11 @@ OUTPUT_PATTERNS = [
     (r"""\.publish\s*\(\s*["']([^"']+)["']""", "message", 1, "publish()"),
     (r"""\.emit\s*\(\s*["']([^"']+)["']""", "message", 1, "emit()"),
 ]
+# Text every match of an output pattern contains, in lower case, in the same order.
+OUTPUT_NEEDS = [
+    "insert", "create", "merge", ".write.", ".save", ".saveastable", ".insertinto", "spark.sql", "dbtable", "open",
+    ".to_", "json.dump", "path", ".route", "@", "path", "mapping", ".send", ".publish", ".emit",
+]
 # The shape a group must have under each naming rule, and the
 # name used if none fits.
 NAME_SHAPES = {

@@ -34,12 +34,26 @@ def imported(source: str, line: int, module: str = "") -> dict:
 
 # Python -----------------------------------------------------------------
 
+# nodes without a call, definition, import or assignment below them
+_LEAVES = (ast.Name, ast.Constant, ast.expr_context, ast.operator, ast.cmpop, ast.boolop, ast.unaryop, ast.alias, ast.Pass)
+
+
 class _PythonFacts(ast.NodeVisitor):
     def __init__(self, source: str):
         self.lines = [line.encode("utf-8") for line in source.split("\n")]
         self.scope = ""
         self.out: list[dict] = []
 
+    def generic_visit(self, node: ast.AST) -> None:
+        for field in node._fields:
+            value = getattr(node, field, None)
+            if isinstance(value, list):
+                for item in value:
+                    if isinstance(item, ast.AST) and not isinstance(item, _LEAVES):
+                        self.visit(item)
+            elif isinstance(value, ast.AST) and not isinstance(value, _LEAVES):
+                self.visit(value)
+
     def text(self, node: ast.AST) -> str:
         first, last = node.lineno - 1, node.end_lineno - 1
         if first == last:

@@ -20,13 +20,18 @@ _ARROW = pa.schema([
     ("parent", pa.string()), ("visibility", pa.string()), ("is_static", pa.bool_()),
     ("is_abstract", pa.bool_()), ("module", pa.string()), ("caller", pa.string()),
 ])
+# value of each column, in schema order, where a fact has none
 _DEFAULTS = {
-    "name": "", "kind": "", "line": 0, "end_line": 0, "signature": "", "return_type": "", "params": [],
+    "path": "", "fact": "", "seq": 0, "name": "", "kind": "", "line": 0, "end_line": 0, "signature": "", "return_type": "", "params": [],
     "docstring": "", "parent": "", "visibility": "", "is_static": False, "is_abstract": False,
     "module": "", "caller": "",
 }
 
 
+def _batch(columns: list[list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW)], schema=_ARROW)
+
+
 def extract(
     files: DataFrame, path: str = "path", language: str = "language", content: str = "content",
     extractors: dict[str, Callable[[str], list[dict]]] | None = None,
@@ -40,7 +45,7 @@ def extract(
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
-            rows: list[dict] = []
+            columns: list[list] = [[] for _ in _ARROW]
             for file_path, lang, body in zip(*(c.to_pylist() for c in batch.columns)):
                 try:
                     facts = table[lang](body)
@@ -48,12 +53,15 @@ def extract(
                     facts = [{"fact": "error", "name": f"extract error: {error}"}]
                 seqs: dict[str, int] = {}
                 for fact in facts:
-                    seq = seqs[fact["fact"]] = seqs.get(fact["fact"], -1) + 1
-                    rows.append({**_DEFAULTS, "path": file_path, "seq": seq, **fact})
-                if len(rows) > 20_000:
-                    yield pa.RecordBatch.from_pylist(rows, _ARROW)
-                    rows = []
-            yield pa.RecordBatch.from_pylist(rows, _ARROW)
+                    kind = fact["fact"]
+                    fact["path"] = file_path
+                    fact["seq"] = seqs[kind] = seqs.get(kind, -1) + 1
+                    for column, (name, default) in zip(columns, _DEFAULTS.items()):
+                        column.append(fact.get(name, default))
+                if len(columns[0]) > 20_000:
+                    yield _batch(columns)
+                    columns = [[] for _ in _ARROW]
+            yield _batch(columns)
 
     chosen = files.where(F.col(language).isin(*table)).select(path, language, content)
     return chosen.mapInArrow(run, schema.FACT)

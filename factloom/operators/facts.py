@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from factloom import fixed_values as V
 from factloom.functions import text as T
-from factloom.operators.match import first_wins, match_all
+from factloom.operators.match import match_all
 from factloom.operators.taxonomy import categorize
 
 
 def embedded_sql(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
     """SQL text in string literals: path, sql, line of the opening quote."""
-    hits = match_all(files, content, [V.EMBEDDED_SQL], [path], prefilter=r"(?i)select|insert|update|delete|create|alter|drop")
+    hits = match_all(files, content, [V.EMBEDDED_SQL], [path], prefilter=r"(?iU)select|insert|update|delete|create|alter|drop")
     sql = F.btrim(F.col("groups")[0], F.lit(" \t\r\n\f\x0b"))
     return hits.select(path, F.col("match_seq").alias("seq"), sql.alias("sql"), "line").where(
         F.length("sql") > 20
@@ -28,12 +28,12 @@ def sql_functions(
     """
     base = line if line is not None else F.lit(1)
     source = stmts.select(*keys, F.col(sql), base.cast("int").alias("_base"))
-    hits = match_all(source, sql, [V.SQL_CALL], [*keys, "_base"], before=30, after=70, prefilter=r"\(")
-    named = hits.withColumn("name", F.col("groups")[0]).withColumn("_key", F.lower("name"))
-    named = named.where(~F.col("_key").isin(*V.SQL_KEYWORDS)).select(
-        *keys, "_key", "match_seq", "name", (F.col("_base") + F.col("line") - 1).alias("line"), "context"
+    hits = match_all(
+        source, sql, [V.SQL_CALL], [*keys, "_base"], before=30, after=70, prefilter=r"\(",
+        first_by=lambda p, m: m.group(1).lower(),
     )
-    first = first_wins(named, [*keys, "_key"], ["match_seq"]).drop("_key")
+    named = hits.withColumn("name", F.col("groups")[0]).where(~F.lower("name").isin(*V.SQL_KEYWORDS))
+    first = named.select(*keys, "match_seq", "name", (F.col("_base") + F.col("line") - 1).alias("line"), "context")
     return categorize(first, table)
 
 
@@ -87,23 +87,22 @@ def udf_registrations(files: DataFrame, path: str = "path", content: str = "cont
     The class is the first one named in the window of text before the hit.
     """
     hits = match_all(
-        files, content, V.UDF_PATTERNS, [path], before=V.ENCLOSING_CLASS_WINDOW, prefilter=r"register|UDF|@udf"
+        files, content, V.UDF_PATTERNS, [path], before=V.ENCLOSING_CLASS_WINDOW, prefilter=r"register|UDF|@udf",
+        first_by=lambda p, m: m.group(1),
     )
     window = F.left("context", F.length("context") - F.length(T.one_line(F.col("text"))))
     label = T.first_label(F.col("text"), V.UDF_LABELS, V.UDF_LABEL_OTHER, ignore_case=("@udf",))
-    named = hits.select(
+    return hits.select(
         path, F.col("groups")[0].alias("name"), T.find_first(window, V.ENCLOSING_CLASS).alias("class_name"),
-        "line", label.alias("registration_type"), "pattern_seq", "match_seq",
+        "line", label.alias("registration_type"),
     )
-    first = first_wins(named, [path, "name"], ["pattern_seq", "match_seq"])
-    return first.drop("pattern_seq", "match_seq")
 
 
 def xml_loaders(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
     """XML files loaded from Scala/Java text."""
     hits = match_all(
-        files, content, V.XML_LOAD_PATTERNS, [path], before=50, after=50, prefilter=r"\.xml|[\"']xml[\"']"
-    ).withColumn("name", F.col("groups")[0])
-    first = first_wins(hits, [path, "name"], ["pattern_seq", "match_seq"])
+        files, content, V.XML_LOAD_PATTERNS, [path], before=50, after=50, prefilter=r"\.xml|[\"']xml[\"']",
+        first_by=lambda p, m: m.group(1),
+    )
     label = T.first_label(F.col("text"), V.XML_LOAD_LABELS, V.XML_LOAD_LABEL_OTHER)
-    return first.select(path, F.col("name").alias("xml_file"), "line", label.alias("method"), "context")
+    return hits.select(path, F.col("groups")[0].alias("xml_file"), "line", label.alias("method"), "context")

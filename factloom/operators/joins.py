@@ -59,13 +59,15 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner")
 
 def last_before(
     points: DataFrame, edges: DataFrame, keys: Sequence[str], position: str,
-    edge_order: str, value: str, out: str,
+    edge_order: str, value: str, out: str, bounded: bool = False,
 ) -> DataFrame:
     """For each point, the value of the edge with the highest order among the
     edges of the same key at or before its position.
 
     Both sides are stacked and a running maximum passes over the positions:
-    linear, no pairs. Edges sort before points of the same position.
+    linear, no pairs. Edges sort before points of the same position. Keys that
+    may hold any number of rows are passed in blocks; ``bounded`` says that a
+    key cannot grow (a file under the size guard), so one window does.
     """
     p = points.withColumn("_edge", F.lit(None).cast("struct<o:bigint,v:string>")).withColumn("_side", F.lit(1))
     e = edges.select(
@@ -74,7 +76,11 @@ def last_before(
     ).withColumn("_side", F.lit(0))
     both = p.unionByName(e, allowMissingColumns=True)
     both = both.withColumn("_at", F.col(position).cast("bigint") * 2 + F.col("_side"))
-    filled = running_max(both, keys, "_at", F.col("_edge"), "_last")
+    if bounded:
+        window = Window.partitionBy(*keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        filled = both.withColumn("_last", F.max("_edge").over(window))
+    else:
+        filled = running_max(both, keys, "_at", F.col("_edge"), "_last")
     return filled.where(F.col("_side") == 1).withColumn(out, F.col("_last.v")).select(*points.columns, out)
 
 

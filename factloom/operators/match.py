@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Hashable, Iterable, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -23,6 +23,8 @@ def match_all(
     after: int = 0,
     flags: int = 0,
     prefilter: str | None = None,
+    first_by: Callable[[int, re.Match], Hashable] | None = None,
+    needs: Sequence[str] | None = None,
 ) -> DataFrame:
     """One row per match of each pattern: offset, line, groups and context.
 
@@ -31,7 +33,12 @@ def match_all(
     narrow step: nothing is shuffled, and a row is read once for all patterns.
     ``prefilter`` is a cheap pattern every match implies; rows without it stay
     in the JVM. ``context`` is the match with ``before``/``after`` characters
-    around it, on one line.
+    around it, on one line. ``first_by`` gives a key per (pattern number, match);
+    of the matches of one row with the same key only the first stays, in
+    pattern order. A row is one file, so this first-wins needs no shuffle.
+    ``needs`` names, per pattern, a lower-case text all its matches contain; the
+    pattern is skipped on ASCII texts without it (other texts have letters that
+    only equal ASCII ones when case is ignored).
     """
     source = df.select(*keep, F.col(text).alias("_text"))
     if prefilter:
@@ -49,9 +56,18 @@ def match_all(
                 body = value.as_py()
                 if body is None:
                     continue
+                met = set()
+                lower = body.lower() if needs and body.isascii() else None
                 for p, pattern in enumerate(compiled):
+                    if lower is not None and needs[p] not in lower:
+                        continue
                     line, seen = 1, 0
                     for m, hit in enumerate(pattern.finditer(body)):
+                        if first_by:
+                            key = first_by(p, hit)
+                            if key in met:
+                                continue
+                            met.add(key)
                         start, end = hit.span()
                         line += body.count("\n", seen, start)
                         seen = start

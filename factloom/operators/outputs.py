@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -18,19 +19,34 @@ COLUMNS = [
 ]
 
 
-def _pick(rule: str | int) -> Column:
-    if isinstance(rule, int):
-        return F.col("groups")[rule - 1]
-    shape, missing = V.NAME_SHAPES[rule]
-    fitting = F.filter("groups", lambda g: g.rlike(T.PY + shape))
-    return F.coalesce(F.get(fitting, F.lit(0)), F.lit(missing))
+def _of_pattern(values: list) -> Column:
+    """The entry of a list that belongs to the matching pattern."""
+    return F.element_at(F.array(*[F.lit(v) for v in values]), F.col("pattern_seq") + 1)
 
 
-def _by_pattern(values: list[Column]) -> Column:
-    result = F.lit(None)
-    for i, value in enumerate(values):
-        result = F.when(F.col("pattern_seq") == i, value).otherwise(result)
-    return result
+def _output_name(rules: list[str | int]) -> Column:
+    """Group the naming rule picks: a fixed one, or the first of a certain shape."""
+    numbers = [r if isinstance(r, int) else 0 for r in rules]
+    name = F.get("groups", _of_pattern(numbers) - 1)
+    kinds = _of_pattern([r if isinstance(r, str) else "" for r in rules])
+    for kind, (shape, missing) in V.NAME_SHAPES.items():
+        fitting = F.filter("groups", lambda g: g.rlike(T.PY + shape))
+        name = F.when(kinds == kind, F.coalesce(F.get(fitting, F.lit(0)), F.lit(missing))).otherwise(name)
+    return name
+
+
+def _first_output(patterns: list[tuple]) -> Callable[[int, re.Match], tuple]:
+    """Key of a match in the worker: its output type and name, as ``_output_name`` gives it."""
+    shapes = {rule: re.compile(shape) for rule, (shape, _) in V.NAME_SHAPES.items()}
+    rules = [(p[1], p[2]) for p in patterns]
+
+    def key(pattern: int, match: re.Match) -> tuple:
+        kind, rule = rules[pattern]
+        if isinstance(rule, int):
+            return kind, match.group(rule)
+        return kind, next((g for g in match.groups() if g and shapes[rule].search(g)), None)
+
+    return key
 
 
 def regex_outputs(
@@ -45,15 +61,14 @@ def regex_outputs(
     patterns = patterns or V.OUTPUT_PATTERNS
     hits = match_all(
         files, content, [p[0] for p in patterns], [path], before=40, after=60, flags=re.I,
-        prefilter=r"(?i)insert|create|merge|\(" if patterns is V.OUTPUT_PATTERNS else None,
+        first_by=_first_output(patterns), needs=V.OUTPUT_NEEDS if patterns is V.OUTPUT_PATTERNS else None,
     )
-    named = hits.select(
+    first = hits.select(
         F.col(path).alias("path"), "pattern_seq", "match_seq", "line", "context",
-        _by_pattern([_pick(p[2]) for p in patterns]).alias("name"),
-        _by_pattern([F.lit(p[1]) for p in patterns]).alias("output_type"),
-        F.concat(_by_pattern([F.lit(p[3]) for p in patterns]), F.lit(": "), F.left("text", F.lit(100))).alias("evidence"),
+        _output_name([p[2] for p in patterns]).alias("name"),
+        _of_pattern([p[1] for p in patterns]).alias("output_type"),
+        F.concat(_of_pattern([p[3] for p in patterns]), F.lit(": "), F.left("text", F.lit(100))).alias("evidence"),
     )
-    first = first_wins(named, ["path", "output_type", "name"], ["pattern_seq", "match_seq"])
     return first.select(
         "name", "output_type", "path", "line", F.lit(confidence).alias("confidence"),
         F.lit(layer).alias("detection_layer"), "evidence", "context",
@@ -71,7 +86,7 @@ def sql_outputs(stmts: DataFrame, lenient_insert: bool = False) -> DataFrame:
         insert = insert.replace(r"TABLE?\s+", r"(?:TABLE\s+)?")
     hits = match_all(
         stmts.withColumnRenamed("line", "stmt_line"), "sql", [insert, V.CREATE_TARGET], ["path", "stmt_line"],
-        prefilter=r"(?i)insert|create",
+        prefilter=r"(?iU)insert|create",
     )
     is_insert = F.col("pattern_seq") == 0
     name = F.when(is_insert, F.get("groups", F.lit(1))).otherwise(F.col("groups")[0])
@@ -117,7 +132,7 @@ def ranked(outputs: DataFrame) -> DataFrame:
 def containing_function(outputs: DataFrame, calls: DataFrame) -> DataFrame:
     """Adds the caller of the last edge, in edge order, at or before the output line."""
     edges = calls.select("path", "line", "edge_seq", "caller")
-    return last_before(outputs, edges, ["path"], "line", "edge_seq", "caller", "container").where(
+    return last_before(outputs, edges, ["path"], "line", "edge_seq", "caller", "container", bounded=True).where(
         F.coalesce("container", F.lit("")) != ""
     )
 

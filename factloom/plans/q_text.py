@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from factloom.functions import text as T
 from factloom.operators import facts, joins, markdown, match, modules, ordered, outputs, stats, truth
 from factloom.plans.corpus import stream_bodies, table
+from factloom.session import spread
 from factloom.plans.registry import query
 from factloom.sources import files as S
 from factloom.sources.chat import response_content
@@ -223,7 +224,7 @@ n AS (SELECT doc_id, i, hits, text,
 
 @query("match_line", _LINES + "SELECT doc_id, CAST(i - 1 AS INTEGER) AS seq, CAST(newlines + 1 AS INTEGER) AS line FROM n")
 def match_line(spark, d):
-    docs = table(spark, d, "documents")
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
     return docs.select("doc_id", F.posexplode(T.match_lines(F.col("text"), "(the|der|les) [a-z]+")).alias("seq", "line"))
 
 
@@ -233,7 +234,7 @@ SELECT doc_id, CAST(i - 1 AS INTEGER) AS match_seq, CAST(start AS INTEGER) AS st
      CAST(start + length(hits[i]) + 30 - greatest(start - 20, 0) AS BIGINT)), chr(10), ' ')) AS context FROM n""")
 def match_context(spark, d):
     hits = match.match_all(
-        table(spark, d, "documents"), "text", ["(?:the|der|les) [a-z]+"], ["doc_id"], before=20, after=30,
+        spread(table(spark, d, "documents").select("doc_id", "text")), "text", ["(?:the|der|les) [a-z]+"], ["doc_id"], before=20, after=30,
         prefilter="the|der|les",
     )
     return hits.select("doc_id", "match_seq", "start", "line", "text", "context")
@@ -248,7 +249,7 @@ SELECT doc_id, table_name, CAST(min(i - 1) AS INTEGER) AS seq FROM (
   FROM (SELECT doc_id, regexp_extract_all(text, '{_TABLE_SQL}', 1, 'i') AS l FROM documents))
 WHERE lower(table_name) NOT IN ('select', 'where', 'and', 'or', 'null', 'set', 'as', 'on', 'from') GROUP BY ALL""")
 def table_refs(spark, d):
-    return facts.table_refs(table(spark, d, "documents"), ["doc_id"], "text", qualified=False)
+    return facts.table_refs(spread(table(spark, d, "documents").select("doc_id", "text")), ["doc_id"], "text", qualified=False)
 
 
 @query("table_check", f"""
