@@ -266,6 +266,9 @@ PRIORITY_HEADINGS = [
     "module responsibility", "public interface", "core flow", "core algorithm",
 ]
 
+# Words of headings whose lines go into the output report.
+KEY_HEADING_WORDS = ["职责", "接口", "流程", "算法", "responsibilit", "interface", "flow", "algorithm"]
+
 # Diagram line repairs as (pattern, replacement).
 FLOWCHART_REPAIRS = [
     (r'(\w+)\[([^"\]]*?)\(([^)]*?)\)([^"\]]*?)\]', '$1["$2$3$4"]'),

@@ -8,7 +8,6 @@ from factloom import fixed_values as V
 from factloom.functions import text as T
 from factloom.operators.joins import salted_join
 from factloom.operators.match import match_all
-from factloom.session import stage_table
 
 
 def pointer_fields(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
@@ -58,7 +57,7 @@ def indirect_edges(calls: DataFrame, regs: DataFrame) -> DataFrame:
     number in ``copies``; repeating a row that often gives the full multiset.
     """
     targets = regs.groupBy("field", F.col("func").alias("callee")).agg(F.count("*").alias("copies"))
-    edges = salted_join(stage_table(calls), targets, "field")
+    edges = salted_join(calls, targets, "field")
     return edges.select(
         "path", F.col("expression").alias("caller"), "callee", "line",
         F.lit("indirect").alias("edge_type"), "field", "copies",
@@ -82,7 +81,13 @@ def dispatch_callbacks(fields: DataFrame, regs: DataFrame, min_fields: int = 2)
     tables = fields.groupBy("struct").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_fields).select("struct")
     kept = fields.select("struct", "field").distinct().join(tables, "struct", "left_semi")
     targets = regs.groupBy("field", "func").agg(F.count("*").alias("copies"))
-    return salted_join(stage_table(kept), targets, "field").select("struct", "field", "func", "copies")
+    return salted_join(kept, targets, "field").select("struct", "field", "func", "copies")
+
+
+def stored_view(facts: DataFrame, limit: int = V.MAX_CALLBACK_ROWS) -> DataFrame:
+    """The first rows of a callback table by place, as kept in the stored summary."""
+    rest = [c for c in facts.columns if c not in ("path", "line")]
+    return facts.orderBy("path", "line", *rest).limit(limit)
 
 
 def java_dispatch(symbols: DataFrame) -> DataFrame:

@@ -30,8 +30,9 @@ def split_modules(files: DataFrame, order: str, max_files: int = 10) -> DataFram
         F.sum("n").alias("_size"), F.count_if(F.col("n") >= 2).alias("_good"),
         F.max_by("_group", F.when(F.col("n") >= 2, F.struct("n", (-F.col("first")).alias("f")))).alias("_largest"),
     )
-    sized = grouped.join(shape, "module").join(groups.select("module", "_group", "n"), ["module", "_group"])
-    numbered = chunk(sized, ["module"], order, max_files, "_part")
+    # one small row per folder, joined once after the files are numbered
+    folders = groups.select("module", "_group", "n").join(shape, "module")
+    numbered = chunk(grouped, ["module"], order, max_files, "_part").join(folders, ["module", "_group"])
     folder = F.when(F.col("n") >= 2, F.col("_group")).otherwise(F.col("_largest"))
     part = (
         F.when(F.col("_size") <= max_files, F.col("module"))

@@ -66,20 +66,22 @@ def truth_index(calls: DataFrame, symbols: DataFrame, udfs: DataFrame) -> DataFr
 # mentions ---------------------------------------------------------------
 
 def mentions(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """Distinct names each text mentions as calls or diagram labels."""
+    """Distinct names each text mentions as calls or diagram labels.
+
+    A row is one text, so the names are made distinct inside the row.
+    """
     body = F.col(text)
     message, label, call = V.MENTION_PATTERNS
     plain = F.filter(
         T.find_all(body, call), lambda n: (F.length(n) > 3) & ~T.is_upper(F.left(n, F.lit(1)))
     )
     names = F.array_distinct(F.concat(T.find_all(body, message), T.find_all(body, label), plain))
-    found = texts.select(*keys, F.explode(names).alias("name"))
-    return found.distinct()
+    return texts.select(*keys, F.explode(names).alias("name"))
 
 
 def table_mentions(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     names = F.array_distinct(T.find_all(F.col(text), V.TABLE_MENTION))
-    found = texts.select(*keys, F.explode(names).alias("table_name")).distinct()
+    found = texts.select(*keys, F.explode(names).alias("table_name"))
     return found.where(~F.lower("table_name").isin(*V.TABLE_STOP_STATEMENT))
 
 

@@ -114,10 +114,16 @@ SELECT c.path, 'p->handler' AS caller, r.func AS callee, {i(16)} AS line, 'indir
 FROM {CB} c, (SELECT 'cb_' || b AS func, count(*) AS copies FROM {CB} GROUP BY ALL) r"""
 
 
+def callback_facts(spark, d):
+    """Pointer fields, registrations and indirect calls, found once and stored."""
+    files = P.c_files(spark, d)
+    return stage_table(C.pointer_fields(files)), stage_table(C.registrations(files)), stage_table(C.indirect_calls(files))
+
+
 @query("indirect_edges", _INDIRECT)
 def indirect_edges(spark, d):
     files = P.c_files(spark, d)
-    return C.indirect_edges(C.indirect_calls(files), C.registrations(files))
+    return C.indirect_edges(stage_table(C.indirect_calls(files)), stage_table(C.registrations(files)))
 
 
 @query("dispatch_tables", f"""
@@ -127,7 +133,7 @@ SELECT struct, (SELECT count(*) FROM f g WHERE g.struct = d.struct) AS n_fields,
 FROM (SELECT DISTINCT struct, field FROM f) d JOIN n USING (field) GROUP BY struct""")
 def dispatch_tables(spark, d):
     files = P.c_files(spark, d)
-    return C.dispatch_tables(C.pointer_fields(files), C.registrations(files))
+    return C.dispatch_tables(stage_table(C.pointer_fields(files)), C.registrations(files))
 
 
 @query("dispatch_callbacks", f"""
@@ -135,8 +141,8 @@ WITH f AS (SELECT DISTINCT 'ops_' || s AS struct, unnest(['on_' || t, 'handler']
 r AS (SELECT field, func, count(*) AS copies FROM ({_REGS}) GROUP BY ALL)
 SELECT struct, field, func, copies FROM f JOIN r USING (field)""")
 def dispatch_callbacks(spark, d):
-    files = P.c_files(spark, d)
-    return C.dispatch_callbacks(C.pointer_fields(files), C.registrations(files))
+    fields, regs, _ = callback_facts(spark, d)
+    return C.dispatch_callbacks(fields, regs)
 
 
 @query("callback_summary", f"""
@@ -144,11 +150,39 @@ WITH c AS (SELECT count(*) AS n, count(DISTINCT s) AS s FROM {CB})
 SELECT unnest(['func_pointer_fields', 'callback_registrations', 'indirect_calls', 'dispatch_tables', 'enhanced_edges']) AS fact,
        unnest([2 * n, 2 * n, n, s, n * n]) AS n FROM c""")
 def callback_summary(spark, d):
-    files = P.c_files(spark, d)
-    fields, regs, calls = C.pointer_fields(files), C.registrations(files), C.indirect_calls(files)
+    fields, regs, calls = callback_facts(spark, d)
     return C.callback_summary(fields, regs, calls, C.dispatch_tables(fields, regs), C.indirect_edges(calls, regs))
 
 
+@query("callback_cap", f"SELECT * FROM ({_REGS}) ORDER BY path, line, var, field, func LIMIT 500")
+def callback_cap(spark, d):
+    return C.stored_view(C.registrations(P.c_files(spark, d)))
+
+
+@query("extract_errors", rows(CB, "path, 'extract error' AS error"))
+def extract_errors(spark, d):
+    wrong = P.c_files(spark, d).withColumn("language", F.lit("Python"))
+    return X.errors(X.extract(wrong)).select("path", F.substring_index("error", ":", 1).alias("error"))
+
+
+@query("structure_totals", f"""
+WITH c AS (SELECT count(*) AS n FROM {CB}), j AS (SELECT count(*) AS n FROM {JB})
+SELECT 'symbol' AS fact, CAST(5 * c.n + 4 * j.n AS BIGINT) AS n FROM c, j
+UNION ALL SELECT 'import', 2 * c.n + 2 * j.n FROM c, j UNION ALL SELECT 'call', 2 * c.n + 2 * j.n FROM c, j""")
+def structure_totals(spark, d):
+    files = P.c_files(spark, d).unionByName(P.java_files(spark, d))
+    return X.extract(files).groupBy("fact").agg(F.count("*").alias("n"))
+
+
+@query("symbol_names", f"""
+SELECT name, count(*) AS n, min(path) AS path FROM (
+  SELECT unnest(['LIMIT', '_cache', 'source_rows', 'run_' || k, 'Job' || k]) AS name, path FROM {PB}) GROUP BY name""")
+def symbol_names(spark, d):
+    from factloom.operators.truth import first_reference
+
+    return first_reference(X.symbols(X.extract(P.python_files(spark, d))), "name", ["path", "seq"], ["path"])
+
+
 @query("call_graph", f"""
 SELECT path, caller, callee, line, 'direct' AS edge_type, '' AS field, CAST(1 AS BIGINT) AS copies FROM ({_C_CALLS})
 UNION ALL SELECT path, caller, callee, line, edge_type, field, copies FROM ({_INDIRECT})

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from factloom.functions import text as T
 from factloom.operators import callbacks as C, extract as X, facts, markdown as M, modules, outputs as O, stats
 from factloom.plans import corpus as P, reports as R
-from factloom.plans.q_code import CB, JB, PB, SB, XB, _PY_OUTPUTS, i, python_graph, rows
+from factloom.plans.q_code import CB, JB, PB, SB, XB, _PY_OUTPUTS, callback_facts, i, python_graph, rows
 from factloom.plans.q_text import _NAMES, _paths
 from factloom.plans.registry import query
 from factloom.session import stage_table
@@ -273,10 +273,9 @@ UNION ALL SELECT m.module, 0, a.struct || ' 1 ' || a.field || ' ' || func, '
 UNION ALL SELECT module, 1, printf('%04d', k), '  ' || text FROM rn WHERE k <= 20
 UNION ALL SELECT module, 2, printf('%04d', k), '  p->handler()' FROM cn WHERE k <= 15""")
 def callback_info(spark, d):
-    files = P.c_files(spark, d)
-    fields, regs = C.pointer_fields(files), C.registrations(files)
+    fields, regs, calls = callback_facts(spark, d)
     return R.callback_info(
-        files, C.dispatch_tables(fields, regs), fields, C.dispatch_callbacks(fields, regs), regs, C.indirect_calls(files)
+        P.c_files(spark, d), C.dispatch_tables(fields, regs), fields, C.dispatch_callbacks(fields, regs), regs, calls
     )
 
 

@@ -248,7 +248,7 @@ def related_analyses(outputs: DataFrame, analyses: DataFrame, max_lines: int = 3
     pairs = contains_join(texts, "_hay", needles, "_needle", ignore_case=False)
     matched = needles.join(pairs, "_needle").join(texts, "_hay").groupBy("path").agg(F.min("module").alias("module"))
     rows = M.sections(analyses, ["module"], "markdown")
-    wanted = F.lower("header").rlike("职责|接口|流程|算法|responsibilit|interface|flow|algorithm")
+    wanted = F.lower("header").rlike("|".join(V.KEY_HEADING_WORDS))
     lines = rows.where(wanted).select("module", "section", F.posexplode(F.split("content", "\n")).alias("pos", "line"))
     kept = top_k(lines, ["module"], [F.col("section"), F.col("pos")], max_lines)
     return matched.join(kept, "module").select("path", "module", "rank", "line")

@@ -60,7 +60,7 @@ def test_extension_and_modules(spark):
 
 
 def test_identifier_tokens_follow_python(spark):
-    names = ["ngx_httpProcessRequest2", "HTTPServer", "getX", "a.b_C", "XMLParser_ID", "x1y2", ""]
+    names = ["web_httpHandleCall2", "HTTPServer", "getX", "a.b_C", "XMLParser_ID", "x1y2", ""]
     df = spark.createDataFrame([(n,) for n in names], "n string")
     want = [
         [t.lower() for part in re.split(r"[_.]", n) for t in re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?=[A-Z]|$)", part)] for n in names

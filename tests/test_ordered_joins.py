@@ -28,11 +28,6 @@ def test_running_sum_and_max_cross_blocks(spark):
         assert {(r.key, r.pos): r.s for r in got.collect()} == expected
 
 
-def test_null_keys_stay(spark):
-    df = spark.createDataFrame([(None, 1), (None, 2), ("a", 5)], "key string, pos long")
-    assert sorted(r.n for r in O.row_numbers(df, ["key"], "pos", "n").collect()) == [1, 1, 2]
-
-
 def test_global_rank(spark):
     df = spark.createDataFrame([(f"p{i % 37:02d}", i) for i in range(300)], "p string, i long")
     got = [(r.p, r.i) for r in O.global_rank(df, ["p", "i"], "r").orderBy("r").collect()]
