@@ -97,8 +97,7 @@ def contains_join(
     wanted = names.select(F.col(name).alias("_name"), fold(F.col(name)).alias("_key")).where(
         F.length("_key") > 0
     ).distinct()
-    lengths = wanted.agg(F.sort_array(F.collect_set(F.length("_key")))).scalar()
-    distinct = texts.select(F.col(text).alias("_text")).distinct().withColumn("_lens", lengths)
+    distinct = texts.select(F.col(text).alias("_text")).distinct().withColumn("_lens", _lengths(wanted, "_key"))
     size = F.length("_text")
     pieces = F.flatten(
         F.transform(
@@ -112,9 +111,16 @@ def contains_join(
     return exploded.join(wanted, "_key").select(F.col("_text").alias(text), F.col("_name").alias(name))
 
 
-def _suffixes(name: Column) -> Column:
-    size = F.length(name)
-    return F.transform(F.sequence(F.lit(1), size), lambda i: F.substring(name, i, size))
+def _lengths(df: DataFrame, column: str) -> Column:
+    """The distinct lengths of a column as one list; a list of lengths stays short."""
+    return df.agg(F.sort_array(F.collect_set(F.length(column)))).scalar()
+
+
+def _endings(df: DataFrame, column: str, lengths: Column) -> DataFrame:
+    """Adds ``ending``: one row per ending of the text that has one of the lengths."""
+    size = F.length(column)
+    cut = F.transform(F.filter("_lens", lambda n: n <= size), lambda n: F.substring(F.col(column), size - n + 1, n))
+    return df.withColumn("_lens", lengths).withColumn("ending", F.explode(cut)).drop("_lens")
 
 
 def fuzzy_match(
@@ -133,15 +139,17 @@ def fuzzy_match(
     lower_names = names.select("name", F.lower("name").alias("key"))
     lower_cands = cands.select("candidate", F.lower("candidate").alias("key"))
 
-    by_name = lower_cands.groupBy("key").agg(F.min("candidate").alias("candidate"))
-    shorter = lower_names.select(
-        "name", F.explode(F.array_distinct(_suffixes(F.col("key")))).alias("key")
-    ).where(F.length("key") >= min_suffix).join(by_name, "key").select("name", "candidate")
+    by_name = lower_cands.groupBy(F.col("key").alias("ending")).agg(F.min("candidate").alias("candidate"))
+    shorter = _endings(lower_names, "key", _lengths(lower_cands, "key")).where(F.length("ending") >= min_suffix).join(
+        by_name, "ending"
+    ).select("name", "candidate")
 
-    endings = lower_cands.select("candidate", F.explode(F.array_distinct(_suffixes(F.col("key")))).alias("key"))
-    wanted = endings.join(lower_names.select("key").distinct(), "key", "left_semi")
-    by_ending = wanted.groupBy("key").agg(F.min("candidate").alias("candidate"))
-    longer = lower_names.where(F.length("key") >= min_suffix).join(by_ending, "key").select("name", "candidate")
+    wanted = lower_names.where(F.length("key") >= min_suffix)
+    ends = _endings(lower_cands, "key", _lengths(wanted, "key")).join(
+        wanted.select(F.col("key").alias("ending")).distinct(), "ending", "left_semi"
+    )
+    by_ending = ends.groupBy("ending").agg(F.min("candidate").alias("candidate"))
+    longer = wanted.join(by_ending, wanted["key"] == by_ending["ending"]).select("name", "candidate")
 
     alike = similar_words(names, cands, threshold)
     every = shorter.unionByName(longer).unionByName(alike)
