@@ -8,7 +8,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from factloom import fixed_values as V, schema
-from factloom.functions import text as T
 from factloom.functions.languages import EXTRACTORS
 from factloom.operators.facts import sql_functions, sql_statements
 

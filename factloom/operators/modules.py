@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from factloom import fixed_values as V
 from factloom.functions import text as T
 from factloom.operators.ordered import char_budget, chunk
 

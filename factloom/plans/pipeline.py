@@ -48,7 +48,8 @@ def structure(
     """Stage 1: facts of every file. Each file is parsed once."""
     functions = taxonomy.function_table(spark)
     source = S.source_files(spark, root, max_files, skip_tests)
-    t = {"files": A.write_table(global_rank(source, ["path"], "file_seq"), out, "files")}
+    # the contents are read and written once, without a shuffle; only paths are ranked
+    t = {"files": A.write_table(source, out, "files")}
     good = t["files"].where("error = ''")
     tagged = A.write_table(X.extract(good), out, "facts", "fact")
     t["symbols"] = A.write_table(X.symbols(tagged).unionByName(X.sql_symbols(good)), out, "symbols")
@@ -70,7 +71,8 @@ def structure(
     t["errors"] = A.write_table(
         X.errors(tagged).unionByName(t["files"].where("error <> ''").select("path", "error")), out, "errors"
     )
-    t["module_files"] = A.write_table(MO.split_modules(t["files"].select("path", "module", "language", "file_seq"), "file_seq"), out, "module_files")
+    ordered = global_rank(t["files"].select("path", "module", "language"), ["path"], "file_seq")
+    t["module_files"] = A.write_table(MO.split_modules(ordered, "file_seq"), out, "module_files")
     A.write_modules(A.nested_files(t["files"], t["symbols"], t["imports"], X.direct_calls(tagged), t["sql_stmts"]), out)
     return t
 
@@ -110,7 +112,7 @@ def analyse_modules(
 ) -> DataFrame:
     """Stage 2: a text per module part from the injected generator."""
     files = t["files"]
-    parts = t["module_files"].select("path", F.col("part").alias("module"))
+    parts = t["module_files"].select("path", F.col("part").alias("module"), "file_seq")
     placed = files.drop("module").join(parts, "path")
     index = MO.symbol_index(t["symbols"], placed)
     preview = MO.source_preview(placed, t["symbols"], "file_seq", context_size)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factloom.functions import text as T
 from factloom.operators import callbacks as C, extract as X, facts, outputs as O, taxonomy
 from factloom.plans import corpus as P
 from factloom.plans.registry import query

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factloom.functions import text as T
 from factloom.operators import callbacks as C, extract as X, facts, markdown as M, modules, outputs as O, stats
 from factloom.plans import corpus as P, reports as R
 from factloom.plans.q_code import CB, JB, PB, SB, XB, _PY_OUTPUTS, callback_facts, i, python_graph, rows
-from factloom.plans.q_text import _NAMES, _paths
+from factloom.plans.q_text import _paths
 from factloom.plans.registry import query
 from factloom.session import stage_table
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factloom.functions import text as T
-from factloom.operators import facts, joins, markdown, match, modules, ordered, outputs, stats, truth
+from factloom.operators import facts, joins, match, modules, ordered, outputs, stats, truth
 from factloom.plans.corpus import stream_bodies, table
 from factloom.session import spread
 from factloom.plans.registry import query
@@ -339,7 +339,8 @@ WITH names AS (SELECT DISTINCT unnest({_WORDS}) AS name FROM benchmark)
 SELECT conv_id, turn, name FROM conversations JOIN names ON contains(lower(text), name)""")
 def names_in_text(spark, d):
     words = table(spark, d, "benchmark").select(F.explode(T.find_all(F.lower("text"), r"\p{L}+", 0)).alias("name"))
-    return truth.udfs_in_text(table(spark, d, "conversations"), ["conv_id", "turn"], words)
+    talks = spread(table(spark, d, "conversations").select("conv_id", "turn", "text"))
+    return truth.udfs_in_text(talks, ["conv_id", "turn"], words)
 
 
 @query("fuzzy_names", f"""

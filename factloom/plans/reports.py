@@ -16,6 +16,7 @@ from factloom.functions import text as T
 from factloom.operators import markdown as M
 from factloom.operators.ordered import chunk, global_rank, top_k
 from factloom.operators.outputs import type_histogram
+from factloom.session import stage_table
 
 KEYS = ["section", "n", "sub", "pos"]
 
@@ -290,14 +291,16 @@ def final_document(
     shifted = M.normalize_headings(analyses.select("module", "markdown"), ["module"], "markdown", 4, "markdown")
     repaired = M.fix_diagrams(shifted, ["module"], "markdown", "markdown")
     wrapped = M.wrap_diagrams(repaired, ["module"], "markdown", "markdown")
-    texts = global_rank(wrapped, ["module"], "ord").withColumn("ord", F.col("ord") + 1)
+    # only the names are ranked; the texts are repaired once and read twice
+    ranks = global_rank(analyses.select("module"), ["module"], "ord").withColumn("ord", F.col("ord") + 1)
+    texts = stage_table(wrapped.join(ranks, "module"))
     heading = F.concat(F.lit("### 3."), F.col("ord").cast("string"), F.lit(" `"), T.display_name(F.col("module")), F.lit("`"))
-    heads = _lines(texts, 4, F.col("ord"), 0, F.lit("0"), heading)
+    heads = _lines(ranks, 4, F.col("ord"), 0, F.lit("0"), heading)
     rows = texts.select("ord", F.posexplode(F.split("markdown", "\n")).alias("at", "text"))
     body = _lines(rows, 4, F.col("ord"), 1, F.format_string("%09d", "at"), F.col("text"))
     listed = M.toc(texts, ["ord"], "markdown")
     toc_heads = _lines(
-        texts, 1, F.col("ord"), 0, F.lit("0"),
+        ranks, 1, F.col("ord"), 0, F.lit("0"),
         F.concat(F.lit("  - ["), F.substring(heading, 5, 1 << 20), F.lit("](#"), T.anchor(F.substring(heading, 5, 1 << 20)), F.lit(")")),
     )
     toc_body = _lines(listed, 1, F.col("ord"), 1, F.format_string("%09d", "pos"), F.col("entry"))

@@ -1,7 +1,6 @@
 """Folder scan, all stages with a stub generator, and the file stream."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from factloom import fixed_values as V
 from factloom.operators import callbacks as C, modules as MO, outputs as O
