@@ -372,7 +372,21 @@ def final_document(spark, d):
     return R.final_document(P.module_texts(spark, d), "Parts", "Layers.", "Flows.").where("section < 6")
 
 
-@query("module_prompts")
+@query("module_prompts", f"""
+WITH b AS (SELECT c_custkey AS file_seq, 'java/' || lower(c_mktsegment) AS module, 'java/' || lower(c_mktsegment) || '/Customer' || c_custkey || '.java' AS path,
+  {_JAVA_SQL} AS content, CAST(c_custkey AS VARCHAR) AS k, CAST(c_nationkey AS VARCHAR) AS n FROM customer),
+p AS (SELECT *, CAST(floor((row_number() OVER (PARTITION BY module ORDER BY file_seq) - 1) / 10) + 1 AS BIGINT) AS part,
+  '### ' || path || ' (Java)' || chr(10) || '  class Customer' || k || ' sig: class Customer' || k || ' extends Base' || n || ' implements Audit' || n || ', Scored' || chr(10)
+  || '  variable Customer' || k || '.score' || chr(10) || '  public method Customer' || k || '.rate → int (base: int, label: String, w)' || chr(10)
+  || '  protected method Customer' || k || '.audit → void sig: protected abstract void audit()' AS lines,
+  chr(10) || repeat('=', 60) || chr(10) || '### ' || path || ' (Java, ' || length(content) || ' chars)' || chr(10) || repeat('=', 60) || chr(10) || content AS block FROM b),
+r AS (SELECT *, 16000 - coalesce(sum(length(block)) OVER (PARTITION BY module ORDER BY file_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest FROM p),
+t AS (SELECT *, CASE WHEN length(block) <= rest THEN block WHEN rest > 500 THEN left(block, CAST(rest AS BIGINT)) END AS shown FROM r)
+SELECT module || '_part' || part AS module, '{R.SYSTEM}' AS system,
+  'Module ' || module || ', part ' || part || ' (' || count(*) || ' files)' || chr(10) || chr(10) || 'Symbols:' || chr(10) || string_agg(lines, chr(10) ORDER BY path)
+  || chr(10) || chr(10) || 'Callbacks:' || chr(10) || '(none)' || chr(10) || chr(10) || 'Outputs:' || chr(10) || '(none)' || chr(10) || chr(10) || 'Source:' || chr(10)
+  || coalesce(string_agg(shown, chr(10) ORDER BY file_seq), '') AS "user"
+FROM t GROUP BY module, part""")
 def module_prompts(spark, d):
     files = P.java_files(spark, d)
     found = stage_table(X.extract(files), "fact")
