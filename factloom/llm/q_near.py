@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import simhash, vectors
+from factloom.llm import repeats, simhash, vectors
 from factloom.llm.common import table
 from factloom.llm.registry import query
 
@@ -36,3 +36,10 @@ FROM v JOIN named USING (r) LEFT JOIN counted USING (r)""")
 def op5_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all vectors within their labels."""
     return vectors.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op2_suffix_repeats")
+def op2_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without its repeated 400-byte strings."""
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("_row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
