@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from factloom.llm import rules
+from factloom.llm import classifier, rules
 from factloom.llm.common import table
 from factloom.llm.registry import query
 
@@ -39,3 +40,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of the quality rules for every document."""
     judged = rules.quality_rules(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op1_quality_classifier")
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document by the model fitted on the rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = classifier.train(docs, table(spark, sf_dir, "labels"))
+    scored = classifier.score_documents(docs, model)
+    return scored.select("_row.doc_id", classifier.held_out(F.col("_row.doc_id")).alias("held_out"), "score", "predicted")
