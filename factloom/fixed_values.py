@@ -75,24 +75,34 @@ TEST_FILE_PATTERNS = [
     r"^\w+_spec\.rb$", r"^\w+_test\.rb$", r"^\w+Test\.php$",
 ]
 TEST_MARKER_WINDOW = 5000
-TEST_MARKERS = [
-    "import unittest", "import pytest", "from unittest", "from pytest", "@pytest.fixture",
-    "@pytest.mark", "def test_", "class Test",
-    "@Test", "@BeforeEach", "@AfterEach", "@BeforeAll", "@AfterAll", "import org.junit",
-    "import org.testng", "import static org.junit",
-    "import org.scalatest", "import org.specs2", "class.*Spec.*extends", "class.*Suite.*extends",
-    "describe(", "it(", "test(", "expect(", "import.*from.*jest", "import.*from.*vitest",
-    'import.*testing"', "func Test", "#[test]", "#[cfg(test)]",
-    "require.*rspec", "describe.*do", "RSpec.describe",
-]
+# The same folder names also stand with a parent (src/test, src/tests); a folder
+# name alone already decides, so those two have no effect.
+TEST_MARKERS = {
+    "python": [
+        "import unittest", "import pytest", "from unittest", "from pytest", "@pytest.fixture",
+        "@pytest.mark", "def test_", "class Test",
+    ],
+    "java": [
+        "@Test", "@BeforeEach", "@AfterEach", "@BeforeAll", "@AfterAll", "import org.junit",
+        "import org.testng", "import static org.junit",
+    ],
+    "scala": ["import org.scalatest", "import org.specs2", "class.*Spec.*extends", "class.*Suite.*extends"],
+    "javascript": ["describe(", "it(", "test(", "expect(", "import.*from.*jest", "import.*from.*vitest"],
+    "go": ['import.*testing"', "func Test"],
+    "rust": ["#[test]", "#[cfg(test)]"],
+    "ruby": ["require.*rspec", "describe.*do", "RSpec.describe"],
+}
+# own choice: the extensions each language's markers are meant for
+TEST_MARKER_EXTENSIONS = {
+    "python": [".py"], "java": [".java"], "scala": [".scala", ".sc"], "javascript": [".js", ".ts", ".jsx", ".tsx"],
+    "go": [".go"], "rust": [".rs"], "ruby": [".rb"],
+}
 
-# Limits.
+# Limits of the stored views; nothing is cut unless a caller passes one.
 MAX_FILE_BYTES = 2_000_000
 MAX_FILES = 5_000
 MAX_GRAPH_ROWS = 5_000
 MAX_CALLBACK_ROWS = 500
-MAX_DISPATCH_ROWS = 200
-SQL_CHARS = 500
 
 # Words that look like SQL function calls but are keywords.
 SQL_KEYWORDS = [

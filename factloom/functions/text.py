@@ -51,9 +51,10 @@ def line_count(text: Column) -> Column:
 def decode_utf8(content: Column) -> Column:
     """Bytes to text, invalid bytes dropped.
 
-    ``make_valid_utf8`` puts U+FFFD for them, so that character is dropped too.
+    ``make_valid_utf8`` puts U+FFFD for them, so that character is dropped too,
+    and so is a byte order mark at the start.
     """
-    return F.translate(F.make_valid_utf8(content.cast("string")), "�", "")
+    return F.regexp_replace(F.translate(F.make_valid_utf8(content.cast("string")), "�", ""), "^\ufeff", "")
 
 
 # paths ------------------------------------------------------------------

@@ -84,10 +84,11 @@ def dispatch_callbacks(fields: DataFrame, regs: DataFrame, min_fields: int = 2)
     return salted_join(kept, targets, "field").select("struct", "field", "func", "copies")
 
 
-def stored_view(facts: DataFrame, limit: int = V.MAX_CALLBACK_ROWS) -> DataFrame:
-    """The first rows of a callback table by place, as kept in the stored summary."""
+def stored_view(facts: DataFrame, limit: int | None = None) -> DataFrame:
+    """A callback table in order of place, whole or its first ``limit`` rows."""
     rest = [c for c in facts.columns if c not in ("path", "line")]
-    return facts.orderBy("path", "line", *rest).limit(limit)
+    ordered = facts.orderBy("path", "line", *rest)
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def java_dispatch(symbols: DataFrame) -> DataFrame:

@@ -128,6 +128,8 @@ def call_graph(direct: DataFrame, xml_calls: DataFrame, indirect: DataFrame) ->
     return d.unionByName(i)
 
 
-def capped(graph: DataFrame, limit: int = V.MAX_GRAPH_ROWS) -> DataFrame:
-    """The stored view of a graph: the first rows, direct edges before indirect."""
-    return graph.orderBy(F.col("edge_type") == "indirect", "path", "edge_seq").limit(limit)
+def capped(graph: DataFrame, limit: int | None = None) -> DataFrame:
+    """The stored view of a graph: direct edges before indirect, all of them or the first ``limit``."""
+    rest = [c for c in ("caller", "callee", "line") if c in graph.columns]
+    ordered = graph.orderBy(F.col("edge_type") == "indirect", "path", "edge_seq", *rest)
+    return ordered if limit is None else ordered.limit(limit)

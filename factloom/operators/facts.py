@@ -14,9 +14,7 @@ def embedded_sql(files: DataFrame, path: str = "path", content: str = "content")
     """SQL text in string literals: path, sql, line of the opening quote."""
     hits = match_all(files, content, [V.EMBEDDED_SQL], [path], prefilter=r"(?iU)select|insert|update|delete|create|alter|drop")
     sql = F.btrim(F.col("groups")[0], F.lit(" \t\r\n\f\x0b"))
-    return hits.select(path, F.col("match_seq").alias("seq"), sql.alias("sql"), "line").where(
-        F.length("sql") > 20
-    ).withColumn("sql", F.left("sql", F.lit(V.SQL_CHARS)))
+    return hits.select(path, F.col("match_seq").alias("seq"), sql.alias("sql"), "line").where(F.length("sql") > 20)
 
 
 def sql_functions(
@@ -77,7 +75,7 @@ def sql_statements(files: DataFrame, path: str = "path", content: str = "content
     return rows.select(
         path, "seq", F.concat(F.lit("SQL_"), "verb", F.lit("_"), "line").alias("name"), "verb", "line",
         (F.col("line") + T.count_of(F.col("sql"), "\n")).cast("int").alias("end_line"),
-        F.left("sql", F.lit(V.SQL_CHARS)).alias("signature"),
+        F.col("sql").alias("signature"),
     )
 
 

@@ -96,14 +96,15 @@ def char_budget(
     )
 
 
-def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, out: str = "rank") -> DataFrame:
-    """First ``k`` rows per key.
+def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int | None, out: str = "rank") -> DataFrame:
+    """First ``k`` rows per key, or all of them with their rank.
 
     Spark limits the groups on the map side (rank filter before the shuffle),
     so a hot key sends at most ``k`` rows per task.
     """
     window = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(out, F.row_number().over(window)).where(F.col(out) <= k)
+    ranked = df.withColumn(out, F.row_number().over(window))
+    return ranked if k is None else ranked.where(F.col(out) <= k)
 
 
 def global_rank(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:

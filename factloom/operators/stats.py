@@ -53,15 +53,16 @@ def top_level_dirs(files: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def entry_points(files: DataFrame, limit: int = 20) -> DataFrame:
-    return files.where(is_entry_point(F.col("path"))).select("path").orderBy("path").limit(limit)
+def entry_points(files: DataFrame, limit: int | None = None) -> DataFrame:
+    found = files.where(is_entry_point(F.col("path"))).select("path").orderBy("path")
+    return found if limit is None else found.limit(limit)
 
 
-def outline(files: DataFrame, per_folder: int = 8) -> DataFrame:
+def outline(files: DataFrame, per_folder: int | None = None) -> DataFrame:
     """Two-level folder outline as lines in order: parent, pos, line.
 
-    At most ``per_folder`` entries below each top-level folder, then a line
-    with the number left out.
+    With ``per_folder``, at most so many entries below each top-level folder,
+    then a line with the number left out.
     """
     parts = T.segments(F.col("path"))
     level1 = files.select(
@@ -77,8 +78,10 @@ def outline(files: DataFrame, per_folder: int = 8) -> DataFrame:
     kids = top_k(level2, ["parent"], [F.col("child")], per_folder, "pos").join(sizes, "parent")
     branch = F.when(F.col("pos") == F.col("children"), F.lit("│   └── ")).otherwise(F.lit("│   ├── "))
     body = kids.select("parent", "pos", F.concat(branch, "child", slash).alias("line"))
-    more = sizes.where(F.col("children") > per_folder).select(
-        "parent", F.lit(per_folder + 1).alias("pos"),
-        F.format_string("│   └── ... (%d more)", F.col("children") - per_folder).alias("line"),
-    )
-    return heads.unionByName(body).unionByName(more).orderBy("parent", "pos")
+    lines = heads.unionByName(body)
+    if per_folder is not None:
+        lines = lines.unionByName(sizes.where(F.col("children") > per_folder).select(
+            "parent", F.lit(per_folder + 1).alias("pos"),
+            F.format_string("│   └── ... (%d more)", F.col("children") - per_folder).alias("line"),
+        ))
+    return lines.orderBy("parent", "pos")

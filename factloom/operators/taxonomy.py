@@ -38,12 +38,12 @@ def function_table(spark: SparkSession) -> DataFrame:
 def categorize(calls: DataFrame, table: DataFrame, name: str = "name") -> DataFrame:
     """Adds is_builtin and category; the first category wins, misses are unknown.
 
-    The table is a few hundred rows by definition, so it is broadcast.
+    The table may be the caller's own, so Spark measures it before it broadcasts it.
     """
     one = table.groupBy(F.lower("name").alias("_fn")).agg(
         F.min_by("category", "category_rank").alias("_category")
     )
-    joined = calls.join(F.broadcast(one), F.lower(F.col(name)) == F.col("_fn"), "left")
+    joined = calls.join(one, F.lower(F.col(name)) == F.col("_fn"), "left")
     return joined.withColumn("is_builtin", F.col("_fn").isNotNull()).withColumn(
         "category", F.coalesce("_category", F.lit("unknown"))
     ).drop("_fn", "_category")

@@ -153,7 +153,7 @@ def callback_summary(spark, d):
     return C.callback_summary(fields, regs, calls, C.dispatch_tables(fields, regs), C.indirect_edges(calls, regs))
 
 
-@query("callback_cap", f"SELECT * FROM ({_REGS}) ORDER BY path, line, var, field, func LIMIT 500")
+@query("callback_cap", f"SELECT * FROM ({_REGS})")
 def callback_cap(spark, d):
     return C.stored_view(C.registrations(P.c_files(spark, d)))
 
@@ -195,15 +195,14 @@ def call_graph(spark, d):
 
 
 @query("call_graph_cap", f"""
-SELECT path, caller, callee FROM (
-  SELECT path, caller, callee, row_number() OVER (ORDER BY path, seq) AS rn FROM ({_C_CALLS})) WHERE rn <= 300""")
+SELECT path, caller, callee FROM ({_C_CALLS}) UNION ALL SELECT path, caller, callee FROM ({_INDIRECT})""")
 def call_graph_cap(spark, d):
     files = P.c_files(spark, d)
     facts_ = X.extract(files)
     none = X.direct_calls(facts_).where("false")
     indirect = C.indirect_edges(C.indirect_calls(files), C.registrations(files))
     graph = X.call_graph(X.direct_calls(facts_), none, indirect)
-    return X.capped(graph, 300).select("path", "caller", "callee")
+    return X.capped(graph).select("path", "caller", "callee")
 
 
 # Java -----------------------------------------------------------------------

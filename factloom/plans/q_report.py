@@ -269,8 +269,8 @@ cn AS (SELECT 'src/' || t AS module, row_number() OVER (PARTITION BY t ORDER BY
 SELECT module, {i(0)} AS sub, struct || ' 0 ' || field AS pos, '  ' || struct || ': ' || field AS line FROM f
 UNION ALL SELECT m.module, 0, a.struct || ' 1 ' || a.field || ' ' || func, '    ' || a.field || ' = ' || func
   FROM (SELECT DISTINCT module, struct FROM f) m JOIN any_f a USING (struct) JOIN g USING (field)
-UNION ALL SELECT module, 1, printf('%04d', k), '  ' || text FROM rn WHERE k <= 20
-UNION ALL SELECT module, 2, printf('%04d', k), '  p->handler()' FROM cn WHERE k <= 15""")
+UNION ALL SELECT module, 1, printf('%09d', k), '  ' || text FROM rn
+UNION ALL SELECT module, 2, printf('%09d', k), '  p->handler()' FROM cn""")
 def callback_info(spark, d):
     fields, regs, calls = callback_facts(spark, d)
     return R.callback_info(
@@ -319,15 +319,14 @@ mn AS (SELECT *, row_number() OVER (ORDER BY path, seq) AS r FROM m),
 u AS (SELECT 'udf_' || n AS name, min(path) AS path FROM {SB} GROUP BY 1),
 l AS (
 SELECT unnest([1, 2, 3, 4, 5, 6]) AS section, -1 AS n, '0000' AS pos, unnest({_CTX_HEADS}) AS line
-UNION ALL SELECT DISTINCT 1, 0, module || chr(9) || '0000', '### ' || module FROM pn
-UNION ALL SELECT 1, 0, module || chr(9) || printf('%04d', r), '  - `' || qual || '` ' || kind || ' @ ' || path || ':' || ln FROM pn WHERE r <= 30
-UNION ALL SELECT DISTINCT 1, 0, module || chr(9) || '0031', '  ... (' || (size - 30) || ' more)' FROM pn WHERE size > 30
-UNION ALL SELECT 2, 0, path || chr(9) || printf('%015d', seq), '  `' || caller || '` → `' || callee || '` @ ' || path || ':' || ln FROM en WHERE r <= 500
-UNION ALL SELECT 3, 0, path || chr(9) || printf('%06d', seq), '  `' || path || '` imports `' || source || '`' FROM mn WHERE r <= 300
+UNION ALL SELECT DISTINCT 1, 0, module || chr(9) || '000000000', '### ' || module FROM pn
+UNION ALL SELECT 1, 0, module || chr(9) || printf('%09d', r), '  - `' || qual || '` ' || kind || ' @ ' || path || ':' || ln FROM pn
+UNION ALL SELECT 2, 0, path || chr(9) || printf('%015d', seq), '  `' || caller || '` → `' || callee || '` @ ' || path || ':' || ln FROM en
+UNION ALL SELECT 3, 0, path || chr(9) || printf('%06d', seq), '  `' || path || '` imports `' || source || '`' FROM mn
 UNION ALL SELECT 4, 0, name, '  - `' || name || '` @ ' || path || ':6 (spark.udf.register)' FROM u
 UNION ALL SELECT 5, 0, 'conf/' || g || '.xml' || chr(9) || path, '  - `conf/' || g || '.xml` loaded by `' || path || '` via XMLLoader.load' FROM {SB}
 UNION ALL SELECT 6, 0, path || chr(9) || '000002', '  - `pipeline/step` @ ' || path || ':3' || chr(10) || '    ```SELECT upper(s_name), rank_' || n || '(s_acctbal)' || chr(10)
-  || '    FROM ext.supp_' || n || ' WHERE s_acctbal > 0```' FROM (SELECT * FROM {XB} ORDER BY path LIMIT 50))
+  || '    FROM ext.supp_' || n || ' WHERE s_acctbal > 0```' FROM {XB})
 SELECT CAST(section AS INTEGER) AS section, CAST(n AS BIGINT) AS n, {i(0)} AS sub, pos, line FROM l""")
 def structured_context(spark, d):
     java, scala = P.java_files(spark, d), P.scala_files(spark, d)

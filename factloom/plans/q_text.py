@@ -70,9 +70,9 @@ def module_folders(spark, d):
 
 
 @query("max_files_cap", """
-SELECT path FROM (SELECT source || '/doc_' || doc_id || '.txt' AS path FROM documents) ORDER BY path LIMIT 500""")
+SELECT path FROM (SELECT source || '/doc_' || doc_id || '.txt' AS path FROM documents)""")
 def max_files_cap(spark, d):
-    return S.first_files(_document_files(spark, d).select("path"), 500)
+    return S.first_files(_document_files(spark, d).select("path"), None)
 
 
 @query("file_rank", """
@@ -171,7 +171,7 @@ def repo_totals(spark, d):
 
 
 @query("entry_points", _path_sql("1 AS one").replace(
-    "SELECT path, 1 AS one FROM p", "SELECT path FROM p WHERE name IN ('main.c', 'app.py', 'Domain.py') ORDER BY path LIMIT 20"))
+    "SELECT path, 1 AS one FROM p", "SELECT path FROM p WHERE name IN ('main.c', 'app.py', 'Domain.py')"))
 def entry_points(spark, d):
     return stats.entry_points(_paths(spark, d))
 
@@ -180,8 +180,7 @@ def entry_points(spark, d):
 two AS (SELECT DISTINCT segs[1] AS parent, segs[2] AS child FROM p),
 num AS (SELECT parent, child, row_number() OVER (PARTITION BY parent ORDER BY child) AS pos, count(*) OVER (PARTITION BY parent) AS n FROM two)
 SELECT parent, CAST(0 AS INTEGER) AS pos, '├── ' || parent || '/' AS line FROM (SELECT DISTINCT parent FROM two)
-UNION ALL SELECT parent, CAST(pos AS INTEGER), CASE WHEN pos = n THEN '│   └── ' ELSE '│   ├── ' END || child || '/' FROM num WHERE pos <= 8
-UNION ALL SELECT DISTINCT parent, CAST(9 AS INTEGER), '│   └── ... (' || (n - 8) || ' more)' FROM num WHERE n > 8"""))
+UNION ALL SELECT parent, CAST(pos AS INTEGER), CASE WHEN pos = n THEN '│   └── ' ELSE '│   ├── ' END || child || '/' FROM num"""))
 def folder_outline(spark, d):
     return stats.outline(_paths(spark, d))
 

@@ -46,11 +46,14 @@ def write_document(lines: DataFrame, path: str, keys: list[str] = KEYS) -> None:
 
 # callbacks --------------------------------------------------------------
 
-def callback_info(files: DataFrame, tables: DataFrame, fields: DataFrame, callbacks: DataFrame, regs: DataFrame, calls: DataFrame) -> DataFrame:
+def callback_info(
+    files: DataFrame, tables: DataFrame, fields: DataFrame, callbacks: DataFrame, regs: DataFrame, calls: DataFrame,
+    max_regs: int | None = None, max_calls: int | None = None,
+) -> DataFrame:
     """Callback facts per module as lines: module, sub, pos, line.
 
     Dispatch tables belong to every module that declares one of their fields;
-    registrations are cut at 20 and indirect calls at 15 per module.
+    all registrations and indirect calls are listed unless a caller limits them.
     """
     where = files.select("path", "module")
     here = fields.join(where, "path").select("module", "struct", "field").distinct()
@@ -64,12 +67,12 @@ def callback_info(files: DataFrame, tables: DataFrame, fields: DataFrame, callba
         "module", F.lit(0).alias("sub"), F.concat_ws(" ", "struct", F.lit("1"), "field", "func").alias("pos"),
         F.concat(F.lit("    "), "field", F.lit(" = "), "func").alias("line"),
     )
-    set_here = top_k(regs.join(where, "path"), ["module"], [F.col("path"), F.col("line"), F.col("field")], 20).select(
-        "module", F.lit(1).alias("sub"), F.format_string("%04d", "rank").alias("pos"),
+    set_here = top_k(regs.join(where, "path"), ["module"], [F.col("path"), F.col("line"), F.col("field")], max_regs).select(
+        "module", F.lit(1).alias("sub"), F.format_string("%09d", "rank").alias("pos"),
         F.concat(F.lit("  "), "var", F.lit("."), "field", F.lit(" = "), "func").alias("line"),
     )
-    called = top_k(calls.join(where, "path"), ["module"], [F.col("path"), F.col("line"), F.col("expression")], 15).select(
-        "module", F.lit(2).alias("sub"), F.format_string("%04d", "rank").alias("pos"),
+    called = top_k(calls.join(where, "path"), ["module"], [F.col("path"), F.col("line"), F.col("expression")], max_calls).select(
+        "module", F.lit(2).alias("sub"), F.format_string("%09d", "rank").alias("pos"),
         F.concat(F.lit("  "), "expression", F.lit("()")).alias("line"),
     )
     return _stack([shown, filled, set_here, called])
@@ -79,9 +82,9 @@ def callback_info(files: DataFrame, tables: DataFrame, fields: DataFrame, callba
 
 def structured_context(
     files: DataFrame, symbols: DataFrame, graph: DataFrame, imports: DataFrame, udfs: DataFrame, loaders: DataFrame,
-    per_module: int = 30, max_edges: int = 500, max_imports: int = 300, max_sql: int = 50,
+    per_module: int | None = None, max_edges: int | None = None, max_imports: int | None = None, max_sql: int | None = None,
 ) -> DataFrame:
-    """Facts a generated text must agree with, as report lines."""
+    """Facts a generated text must agree with, as report lines; all of them unless a caller limits a section."""
     spark = files.sparkSession
     place = lambda: F.concat(F.lit(" @ "), "path", F.lit(":"), F.col("line").cast("string"))
     public = symbols.where(F.col("kind").isin("function", "class", "method", "interface")).join(
@@ -89,23 +92,24 @@ def structured_context(
     )
     sizes = public.groupBy("module").agg(F.count("*").alias("size"))
     shown = top_k(public, ["module"], [F.col("path"), F.col("seq")], per_module)
-    mod = lambda rank: F.concat("module", F.lit("\t"), F.format_string("%04d", rank))
+    mod = lambda rank: F.concat("module", F.lit("\t"), F.format_string("%09d", rank))
+    first = lambda df, order, n: df if n is None else df.orderBy(*order).limit(n)
     heads = _lines(sizes, 1, 0, 0, mod(F.lit(0)), F.concat(F.lit("### "), "module"))
     body = _lines(
         shown, 1, 0, 0, mod(F.col("rank")),
         F.concat(F.lit("  - `"), T.qualified(F.col("parent"), F.col("name")), F.lit("` "), "kind", place()),
     )
-    more = _lines(
+    more = [] if per_module is None else [_lines(
         sizes.where(F.col("size") > per_module), 1, 0, 0, mod(F.lit(per_module + 1)),
         F.format_string("  ... (%d more)", F.col("size") - per_module),
-    )
-    edges = graph.orderBy(F.col("edge_type") == "indirect", "path", "edge_seq").limit(max_edges)
+    )]
+    edges = first(graph, [F.col("edge_type") == "indirect", "path", "edge_seq"], max_edges)
     calls = _lines(
         edges, 2, F.when(F.col("edge_type") == "indirect", 1).otherwise(0), 0,
         F.concat("path", F.lit("\t"), F.format_string("%015d", "edge_seq")),
         F.concat(F.lit("  `"), "caller", F.lit("` → `"), "callee", F.lit("`"), place()),
     )
-    kept = imports.orderBy("path", "seq").limit(max_imports)
+    kept = first(imports, ["path", "seq"], max_imports)
     used = _lines(
         kept, 3, 0, 0, F.concat("path", F.lit("\t"), F.format_string("%06d", "seq")),
         F.concat(F.lit("  `"), "path", F.lit("` imports `"), "source", F.lit("`")),
@@ -119,18 +123,18 @@ def structured_context(
         loaders, 5, 0, 0, F.concat_ws("\t", "xml_file", "path"),
         F.concat(F.lit("  - `"), "xml_file", F.lit("` loaded by `"), "path", F.lit("` via "), "method"),
     )
-    in_xml = symbols.where("kind = 'sql_in_xml'").orderBy("path", "seq").limit(max_sql)
+    in_xml = first(symbols.where("kind = 'sql_in_xml'"), ["path", "seq"], max_sql)
     sql = _lines(
         in_xml, 6, 0, 0, F.concat("path", F.lit("\t"), F.format_string("%06d", "seq")),
-        F.concat(F.lit("  - `"), "parent", F.lit("`"), place(), F.lit("\n    ```"), F.left("signature", F.lit(200)), F.lit("```")),
+        F.concat(F.lit("  - `"), "parent", F.lit("`"), place(), F.lit("\n    ```"), "signature", F.lit("```")),
     )
     titles = ["Public interface per module", "Verified calls", "Imports", "Registered UDFs", "XML files loaded", "SQL in XML"]
     tops = _stack([_fixed(spark, i + 1, [f"## {title}"], n=-1) for i, title in enumerate(titles)])
-    return _stack([tops, heads, body, more, calls, used, named, loads, sql])
+    return _stack([tops, heads, body, *more, calls, used, named, loads, sql])
 
 
-def validation_summary(validated: DataFrame, keys: list[str], shown: int = 20) -> DataFrame:
-    """Summary text per document: counts, at most 20 names of each status, accuracy."""
+def validation_summary(validated: DataFrame, keys: list[str], shown: int | None = None) -> DataFrame:
+    """Summary text per document: counts, the names of each status (at most ``shown``), accuracy."""
     ranked = top_k(validated, [*keys, "status"], [F.col("name")], shown)
     place = F.when(F.col("found_in") != "", F.concat(F.lit(" @ "), "found_in", F.lit(":"), F.col("line").cast("string"))).otherwise("")
     item = F.concat(F.lit("  - `"), "name", F.lit("`"), F.when(F.col("status") == "verified", place).otherwise(F.lit(" (not found)")))
@@ -139,7 +143,7 @@ def validation_summary(validated: DataFrame, keys: list[str], shown: int = 20) -
             F.array_sort(F.collect_list(F.when(F.col("status") == status, F.struct("rank", item.alias("item"))))), lambda r: r["item"]
         ), "\n"
     )
-    # at most 2 x 20 lines per document
+    # the names of one document, which its text bounds
     lists = ranked.groupBy(*keys).agg(pick("verified").alias("ok"), pick("unverified").alias("bad"))
     counts = validated.groupBy(*keys).agg(
         F.count_if(F.col("status") == "verified").alias("v"), F.count("*").alias("all")
@@ -152,8 +156,8 @@ def validation_summary(validated: DataFrame, keys: list[str], shown: int = 20) -
     return counts.join(lists, keys).select(*keys, text.alias("summary"))
 
 
-def correction_prompts(texts: DataFrame, validated: DataFrame, keys: list[str], text: str = "text", shown: int = 10) -> DataFrame:
-    """What to correct in each text: up to ten unverified names, then the text.
+def correction_prompts(texts: DataFrame, validated: DataFrame, keys: list[str], text: str = "text", shown: int | None = None) -> DataFrame:
+    """What to correct in each text: its unverified names (at most ``shown``), then the text.
 
     Texts with nothing to correct come back as they are.
     """
@@ -235,7 +239,7 @@ def io_flow_document(outputs: DataFrame, inputs: DataFrame, title: str) -> DataF
     return _stack([heads, overview, detail, sources, context, types, summary])
 
 
-def related_analyses(outputs: DataFrame, analyses: DataFrame, max_lines: int = 30) -> DataFrame:
+def related_analyses(outputs: DataFrame, analyses: DataFrame, max_lines: int | None = None) -> DataFrame:
     """Key lines of the first module analysis whose name contains the output's file name.
 
     Both names are compared with slashes and dots as underscores; the lines are

@@ -34,14 +34,14 @@ def relative(path: Column, root: str) -> Column:
     return F.regexp_replace(path, f"^{scheme}:/*\\Q{rest.strip('/')}\\E/", "")
 
 
-def with_text(files: DataFrame, max_bytes: int = V.MAX_FILE_BYTES) -> DataFrame:
-    """Files as text; a file beyond the size guard is kept as a row with an error."""
-    fits = F.col("size") <= max_bytes
-    return files.select(
-        "path", "size",
-        F.when(fits, T.decode_utf8(F.col("bytes"))).otherwise(F.lit("")).alias("content"),
-        F.when(fits, F.lit("")).otherwise(F.lit("file too large")).alias("error"),
-    )
+def with_text(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Files as text. With ``max_bytes``, a larger file is kept as a row with an error and never opened."""
+    read = lambda df: df.select("path", "size", T.decode_utf8(F.col("bytes")).alias("content"), F.lit("").alias("error"))
+    if max_bytes is None:
+        return read(files)
+    # two filters on the size, which the file source takes before it reads any content
+    large = files.where(F.col("size") > max_bytes).select("path", "size", F.lit("").alias("content"), F.lit("file too large").alias("error"))
+    return read(files.where(F.col("size") <= max_bytes)).unionByName(large)
 
 
 def with_language(files: DataFrame, table: dict[str, str] | None = None) -> DataFrame:
@@ -76,32 +76,47 @@ def keep_for_outputs(path: Column) -> Column:
     return ~F.exists(_folders(path), lambda s: s.startswith(".") | s.isin(*V.SKIP_OUTPUT))
 
 
-def is_test_file(path: Column, content: Column | None = None) -> Column:
-    """Test by folder name, file name or a framework marker near the top."""
+def is_test_file(path: Column, content: Column | None = None, strict_markers: bool = False) -> Column:
+    """Test by folder name, file name or a framework marker near the top.
+
+    A marker of any language counts; with ``strict_markers`` only those of the
+    file's own language do, and are read as the patterns they are written as.
+    """
     in_folder = F.exists(_folders(path), lambda s: F.lower(s).isin(*V.TEST_DIRS))
     name = T.base_name(path)
     by_name = reduce(lambda a, b: a | b, [name.rlike(T.PY + p) for p in V.TEST_FILE_PATTERNS])
     result = in_folder | by_name
     if content is not None:
         head = F.left(F.lower(content), F.lit(V.TEST_MARKER_WINDOW))
-        result = result | reduce(lambda a, b: a | b, [head.contains(m.lower()) for m in V.TEST_MARKERS])
+        if strict_markers:
+            ext = T.extension(path)
+            own = [ext.isin(*V.TEST_MARKER_EXTENSIONS[lang]) & reduce(lambda a, b: a | b, [_marked(head, m.lower()) for m in marks]) for lang, marks in V.TEST_MARKERS.items()]
+        else:
+            own = [head.contains(m.lower()) for marks in V.TEST_MARKERS.values() for m in marks]
+        result = result | reduce(lambda a, b: a | b, own)
     return result
 
 
+def _marked(head: Column, marker: str) -> Column:
+    return head.rlike(".*".join("\\Q" + piece + "\\E" for piece in marker.split(".*"))) if ".*" in marker else head.contains(marker)
+
+
 def source_files(
-    spark: SparkSession, root: str, max_files: int = V.MAX_FILES, skip_tests: bool = False,
-    max_bytes: int = V.MAX_FILE_BYTES,
+    spark: SparkSession, root: str, max_files: int | None = None, skip_tests: bool = False,
+    max_bytes: int | None = None, strict_markers: bool = False,
 ) -> DataFrame:
-    """The files fact extraction reads, capped in path order."""
+    """The files fact extraction reads; with ``max_files`` the first ones in path order."""
     files = scan(spark, root, list(V.EXTRACT_LANGUAGE)).where(keep_for_extract(F.col("path")))
     if skip_tests:
         head = T.decode_utf8(F.substring(F.col("bytes"), 1, 4 * V.TEST_MARKER_WINDOW))
-        files = files.where(~is_test_file(F.col("path"), head))
+        files = files.where(~is_test_file(F.col("path"), head, strict_markers))
     return with_language(with_text(first_files(files, max_files), max_bytes))
 
 
-def first_files(files: DataFrame, max_files: int) -> DataFrame:
-    """First files in path order; the paths are cut before any content moves."""
+def first_files(files: DataFrame, max_files: int | None) -> DataFrame:
+    """First files in path order, or all; the paths are cut before any content moves."""
+    if max_files is None:
+        return files
     chosen = files.select("path").orderBy("path").limit(max_files)
     return files.join(chosen, "path", "left_semi")
 
