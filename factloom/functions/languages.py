@@ -188,7 +188,10 @@ def xml_facts(source: str) -> list[dict]:
             )
 
     parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, chars
-    parser.Parse(data, True)
+    try:
+        parser.Parse(data, True)
+    except expat.ExpatError as error:  # what was read before the fault stays
+        out.append({"fact": "error", "name": f"extract error: {error}"})
     return [f for f in out if f]
 
 
@@ -200,7 +203,8 @@ _LITERAL = re.compile(
 _DIRECTIVE = re.compile(r"^[ \t]*#(?:[^\n\\]|\\.|\\\n)*", re.M)
 _BLANK = re.compile(r"[^\n]")
 _NAMED_CALL = re.compile(r"[A-Za-z_$~][\w$]*(?=\s*\()")
-_LINK = re.compile(r"(?:\.|->|::)\s*$")
+# member links before a name; only C and C++ have the arrow
+_LINK = {True: re.compile(r"(?:\.|->|::)\s*$"), False: re.compile(r"(?:\.|::)\s*$")}
 # Words before a parenthesis that are no calls.
 _NO_CALL = {
     "if", "for", "while", "switch", "catch", "return", "sizeof", "synchronized", "super", "this",
@@ -378,15 +382,22 @@ def brace_facts(
         scope.end = len(code)
         if scope.fact:
             scope.fact["end_line"] = line_at(len(source) - 1) if source else 1
-    facts += _calls(source, code, scopes, heads, line_at, top)
+    facts += _calls(source, code, scopes, heads, line_at, top, separator == "::")
     facts.sort(key=lambda f: f[0])
     return [f for _, f in facts]
 
 
-def _chain_start(code: str, at: int) -> int:
+def _word_before(code: str, at: int) -> int:
+    """Where the text before ``at`` ends, white space left out."""
+    while at and code[at - 1].isspace():
+        at -= 1
+    return at
+
+
+def _chain_start(code: str, at: int, arrow: bool) -> int:
     """Start of the receiver chain that leads to the name at ``at``."""
     while True:
-        link = _LINK.search(code, max(0, at - 80), at)
+        link = _LINK[arrow].search(code, max(0, _word_before(code, at) - 2), at)
         if not link:
             return at
         at = link.start()
@@ -404,7 +415,7 @@ def _chain_start(code: str, at: int) -> int:
             at -= 1
 
 
-def _calls(source, code, scopes, heads, line_at, top) -> list[tuple[int, dict]]:
+def _calls(source, code, scopes, heads, line_at, top, arrow=False) -> list[tuple[int, dict]]:
     named = sorted((s for s in scopes if s.name), key=lambda s: s.body)
     heads = sorted(heads)
     head_starts = [h[0] for h in heads]
@@ -421,11 +432,13 @@ def _calls(source, code, scopes, heads, line_at, top) -> list[tuple[int, dict]]:
         h = bisect.bisect_right(head_starts, at) - 1
         if h >= 0 and at < heads[h][1]:
             continue
-        before = code[max(0, at - 12):at].rstrip()
+        end = _word_before(code, at)
+        before = code[max(0, end - 12):end]
         if before.endswith("@") or re.search(r"\b(?:new|class|def|object|trait)$", before):
             continue
-        start = _chain_start(code, at)
-        lead = code[max(0, start - 12):start].rstrip()
+        start = _chain_start(code, at, arrow)
+        end = _word_before(code, start)
+        lead = code[max(0, end - 12):end]
         if lead.endswith("@"):
             continue
         if re.search(r"\bnew$", lead):

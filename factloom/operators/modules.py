@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from factloom.functions import text as T
-from factloom.operators.ordered import char_budget, chunk
+from factloom.operators.ordered import chunk, running_sum
 
 
 def module_sizes(files: DataFrame) -> DataFrame:
@@ -96,7 +96,9 @@ def source_preview(
     marks = symbols.where(F.col("line") > head_lines).groupBy("path").agg(
         F.array_sort(F.collect_list(F.struct("seq", "line", "kind", "name"))).alias("_marks")
     )
-    joined = files.join(marks, "path", "left").withColumn("_lines", lines)
+    # only long files meet their symbols; the others stay where they were read
+    marked = files.where(is_long).join(marks, "path", "left").unionByName(files.where(~is_long).withColumn("_marks", F.lit(None).cast(marks.schema["_marks"].dataType)))
+    joined = marked.withColumn("_lines", lines)
     inside = F.filter(F.coalesce("_marks", F.array()), lambda m: m["line"] <= F.size("_lines"))
     shown = F.flatten(
         F.transform(
@@ -118,7 +120,13 @@ def source_preview(
     bar = "=" * 60
     header = F.format_string(f"\n{bar}\n### %s (%s, %d chars)\n{bar}\n", "path", "language", F.length("content"))
     blocks = joined.select("module", "path", order, F.concat(header, F.when(is_long, short).otherwise(F.col("content"))).alias("text"))
-    return char_budget(blocks, ["module"], order, "text", max_tokens * 4, 500)
+    # the budget is settled on sizes; then only the blocks that are shown move
+    sizes = blocks.select("module", "path", order, F.length("text").cast("bigint").alias("_size"))
+    used = running_sum(sizes, ["module"], order, F.col("_size"), "_before", before_only=True)
+    rest = (F.lit(max_tokens * 4) - F.col("_before")).alias("_rest")
+    shown_blocks = used.where((F.col("_size") <= rest) | (rest > 500)).select("module", "path", rest)
+    cut = F.when(F.length("text") <= F.col("_rest"), F.col("text")).otherwise(F.left("text", F.col("_rest").cast("int")))
+    return blocks.join(shown_blocks, ["module", "path"]).select("module", "path", order, cut.alias("text"))
 
 
 def to_analyse(modules: DataFrame, files: DataFrame, symbols: DataFrame, cached: DataFrame, force: bool = False) -> DataFrame:

@@ -16,6 +16,8 @@ from factloom.operators import (
 )
 from factloom.operators.ordered import global_rank
 from factloom.plans import reports as R
+from factloom.functions import text as T
+from factloom.session import stage_table
 from factloom.sources import artefacts as A, chat, files as S
 
 
@@ -30,7 +32,7 @@ def phase_range(text: str) -> tuple[int, int]:
 def recon(spark: SparkSession, root: str, out: str) -> dict[str, DataFrame]:
     """Stage 0: statistics of all files, as small JSON tables."""
     listing = S.scan(spark, root).where(S.keep_for_stats(F.col("path")))
-    known = S.with_language(S.with_text(S.scan(spark, root, list(V.STATS_LANGUAGE)).where(S.keep_for_stats(F.col("path"))), 1 << 40), V.STATS_LANGUAGE)
+    known = S.with_language(S.with_text(S.scan(spark, root, list(V.STATS_LANGUAGE)).where(S.keep_for_stats(F.col("path")))), V.STATS_LANGUAGE)
     languages = stats.language_stats(known)
     tables = {
         "languages": languages, "totals": stats.totals(listing), "entry_points": stats.entry_points(listing),
@@ -43,7 +45,7 @@ def recon(spark: SparkSession, root: str, out: str) -> dict[str, DataFrame]:
 
 
 def structure(
-    spark: SparkSession, root: str, out: str, max_files: int = V.MAX_FILES, skip_tests: bool = False
+    spark: SparkSession, root: str, out: str, max_files: int | None = None, skip_tests: bool = False
 ) -> dict[str, DataFrame]:
     """Stage 1: facts of every file. Each file is parsed once."""
     functions = taxonomy.function_table(spark)
@@ -93,14 +95,13 @@ def summary(t: DataFrame | dict) -> DataFrame:
 def identify_outputs(spark: SparkSession, root: str, out: str, t: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """Stage 1.5: output points in three layers, and what feeds them."""
     keep = S.keep_for_outputs(F.col("path"))
-    scanned = S.with_text(S.scan(spark, root, V.OUTPUT_EXTENSIONS).where(keep), 1 << 40)
-    layers = [
-        O.regex_outputs(scanned), O.regex_outputs(t["files"].where("error = ''"), confidence="medium", layer="ast"),
-        O.sql_outputs(t["sql_stmts"]),
-    ]
+    scanned = S.with_text(S.scan(spark, root, V.OUTPUT_EXTENSIONS).where(keep))
+    # the same patterns: only files the first layer has not read can add a row
+    others = t["files"].where("error = ''").where(~(T.extension(F.col("path")).isin(*V.OUTPUT_EXTENSIONS) & S.keep_for_outputs(F.col("path"))))
+    layers = [O.regex_outputs(scanned), O.regex_outputs(others, confidence="medium", layer="ast"), O.sql_outputs(t["sql_stmts"])]
     found = O.merge_layers(layers)
     headers = S.scan(spark, root, V.PUBLIC_HEADER_EXTENSIONS).unionByName(S.scan(spark, root).where(F.col("path").isin(*V.LIBRARY_BUILD_FILES)))
-    library = O.library_outputs(S.with_text(headers, 1 << 40))
+    library = O.library_outputs(S.with_text(headers))
     t["outputs"] = A.write_table(O.with_library_fallback(found, library), out, "outputs")
     t["output_inputs"] = A.write_table(O.trace_inputs(t["outputs"], t["calls"], t["sql_stmts"], t["symbols"]), out, "output_inputs")
     return t
@@ -108,28 +109,38 @@ def identify_outputs(spark: SparkSession, root: str, out: str, t: dict[str, Data
 
 def analyse_modules(
     out: str, t: dict[str, DataFrame], make_client: Callable, cached: DataFrame | None = None, force: bool = False,
-    context_size: int = 4000,
+    context_size: int = 4000, resume: bool = False,
 ) -> DataFrame:
-    """Stage 2: a text per module part from the injected generator."""
-    files = t["files"]
+    """Stage 2: a text per module, or part of a large one, from the injected generator.
+
+    ``cached`` texts of more than 200 characters are taken as they are.
+    ``resume`` takes those stored below ``out`` and appends the others to them,
+    so a stored text is never replaced while it is read.
+    """
+    spark = t["files"].sparkSession
+    stored = A.read_table(spark, out, "analyses") if resume and not force else None
+    have = cached if cached is not None and not force else stored
     parts = t["module_files"].select("path", F.col("part").alias("module"), "file_seq")
-    placed = files.drop("module").join(parts, "path")
+    placed = t["files"].drop("module").join(parts, "path")
     index = MO.symbol_index(t["symbols"], placed)
     preview = MO.source_preview(placed, t["symbols"], "file_seq", context_size)
     info = R.callback_info(placed, t["dispatch_tables"], t["func_ptrs"], t["dispatch_callbacks"], t["callback_regs"], t["indirect_calls"])
     prompts = R.module_prompts(placed, "file_seq", index, preview, info, MO.module_outputs(placed, t["outputs"]))
-    if cached is not None and not force:
-        done = cached.where(F.length("markdown") > 200).select("module")
-        prompts = prompts.join(done, "module", "left_anti")
+    if have is not None:
+        prompts = prompts.join(have.where(F.length("markdown") > 200).select("module"), "module", "left_anti")
     with_symbols = placed.join(t["symbols"].select("path").distinct(), "path", "left_semi").select("module").distinct()
-    prompts = prompts.join(
-        with_symbols.withColumnRenamed("module", "_m"), F.regexp_replace("module", r"_part\d+$", "") == F.col("_m"), "left_semi"
-    )
+    prompts = prompts.join(with_symbols, "module", "left_semi")
     fresh = A.write_table(chat.generate(prompts, make_client), out, "generated")
     fixed = M.wrap_diagrams(M.fix_diagrams(fresh.where("error = ''"), ["module"], "markdown", "markdown"), ["module"], "markdown", "markdown")
     every = fixed.select("module", "markdown")
-    if cached is not None and not force:
-        every = every.unionByName(cached.where(F.length("markdown") > 200).select("module", "markdown"))
+    if stored is not None:
+        every.write.mode("append").parquet(f"{out}/analyses")
+        # a short text may be there twice, before and after
+        longest = F.max_by("markdown", F.length("markdown")).alias("markdown")
+        return A.read_table(spark, out, "analyses").groupBy("module").agg(longest)
+    if have is not None:
+        # stored first: the cached table may be the very one that is replaced
+        every = stage_table(every.unionByName(have.where(F.length("markdown") > 200).select("module", "markdown")))
     return A.write_table(every, out, "analyses")
 
 
@@ -181,21 +192,48 @@ def report(spark: SparkSession, out: str, t: dict[str, DataFrame], analyses: Dat
     R.write_document(R.io_flow_document(t["outputs"], t["output_inputs"], title), f"{out}/io_flows")
 
 
+# tables of stages 1 and 1.5, as a later stage reads them back
+STORED = (
+    "files", "symbols", "imports", "sql_stmts", "udfs", "xml_loaders", "func_ptrs", "callback_regs", "indirect_calls", "dispatch_tables", "dispatch_callbacks", "java_dispatch", "calls",
+    "xml_tables", "errors", "module_files", "outputs", "output_inputs",
+)
+
+
+def texts_over_modules(out: str, t: dict[str, DataFrame], analyses: DataFrame, make_client: Callable) -> dict[str, DataFrame]:
+    """Stages 2.5 and 3: flows across modules, and the architecture, validated and refined."""
+    lines = R.all_callbacks(t["dispatch_tables"], t["dispatch_callbacks"], t["callback_regs"], t["indirect_calls"])
+    prompts = {
+        "cross_flows": R.flow_prompts(t["calls"], lines, analyses),
+        "synthesis": R.synthesis_prompts(R.structured_context(t["files"], t["symbols"], t["calls"], t["imports"], t["udfs"], t["xml_loaders"]), analyses),
+    }
+    return {name: A.write_table(generate_and_refine(prompt, t, make_client, f"{out}/{name}_rounds"), out, name) for name, prompt in prompts.items()}
+
+
 def run(
-    spark: SparkSession, root: str, out: str, phases: str = "all", max_files: int = V.MAX_FILES, skip_tests: bool = False,
+    spark: SparkSession, root: str, out: str, phases: str = "all", max_files: int | None = None, skip_tests: bool = False,
     make_client: Callable | None = None, context_size: int = 4000, force: bool = False, title: str = "Report",
 ) -> dict[str, DataFrame]:
-    """Runs the stages of ``phases``; stages 2 to 4 need a generator."""
+    """Runs the stages of ``phases``; stages 2 and 3 need a generator.
+
+    A range that starts later reads what earlier stages have stored.
+    """
     first, last = phase_range(phases)
     t: dict[str, DataFrame] = {}
     metadata = recon(spark, root, out) if first <= 0 else {}
-    if last >= 1:
-        t = structure(spark, root, out, max_files, skip_tests)
-        t = identify_outputs(spark, root, out, t)
-    if last >= 2 and make_client:
-        analyses = analyse_modules(out, t, make_client, force=force, context_size=context_size)
-        t["analyses"] = analyses
-        if last >= 4:
-            metadata = metadata or recon(spark, root, out)
-            report(spark, out, t, analyses, title, metadata)
+    if last >= 1 and first <= 1:
+        t = identify_outputs(spark, root, out, structure(spark, root, out, max_files, skip_tests))
+    elif last >= 1:
+        t = {name: A.read_table(spark, out, name) for name in STORED}
+    if last >= 2 and first > 2:
+        t["analyses"] = A.read_table(spark, out, "analyses")
+    elif last >= 2 and make_client:
+        t["analyses"] = analyse_modules(out, t, make_client, force=force, context_size=context_size)
+    if last >= 3 and first > 3:
+        t |= {name: A.read_table(spark, out, name) for name in ("cross_flows", "synthesis")}
+    elif last >= 3 and make_client and "analyses" in t:
+        t |= texts_over_modules(out, t, t["analyses"], make_client)
+    if last >= 4 and "analyses" in t:
+        metadata = metadata or recon(spark, root, out)
+        text = lambda name: next((r.text for r in t[name].take(1)), "") if name in t else ""
+        report(spark, out, t, t["analyses"], title, metadata, text("synthesis"), text("cross_flows"))
     return {**metadata, **t}

@@ -499,3 +499,31 @@ def xml_sql_calls(spark, d):
 @query("xml_tables", rows(XB, f"path, 'ext.supp_' || n AS table_name, {i(0)} AS seq"))
 def xml_tables(spark, d):
     return facts.table_refs(X.xml_sql(X.extract(P.xml_files(spark, d))), ["path"])
+
+
+# SQL longer than any display column: the table stands after 600 characters and more --------------
+
+_LONG = "'INSERT OVERWRITE TABLE dw.long_' || (o_orderkey % 97) || ' SELECT ' || repeat('column_name_' || o_orderkey || ', ', 40 + CAST(o_orderkey % 9 AS INTEGER)) || 'x FROM raw.deep_' || (o_orderkey % 89)"
+
+
+def _long_sql(spark, d):
+    """A Python file per order with one long statement."""
+    sql = (
+        "concat('INSERT OVERWRITE TABLE dw.long_', o_orderkey % 97, ' SELECT ', repeat(concat('column_name_', o_orderkey, ', '), 40 + int(o_orderkey % 9)), "
+        "'x FROM raw.deep_', o_orderkey % 89)"
+    )
+    return P.table(spark, d, "orders").selectExpr("concat('sql/o_', o_orderkey, '.py') AS path", f"concat('x = 1\\nq = \"', {sql}, '\"\\n') AS content")
+
+
+@query("long_sql_tables", """
+SELECT 'sql/o_' || o_orderkey || '.py' AS path, unnest(['dw.long_' || (o_orderkey % 97), 'raw.deep_' || (o_orderkey % 89)]) AS table_name FROM orders""")
+def long_sql_tables(spark, d):
+    return facts.table_refs(facts.embedded_sql(_long_sql(spark, d)), ["path"]).select("path", "table_name")
+
+
+@query("long_sql_outputs", f"""
+SELECT 'sql/o_' || o_orderkey || '.py' AS path, 'dw.long_' || (o_orderkey % 97) AS name, {i(2)} AS line, length({_LONG})::INTEGER AS chars FROM orders""")
+def long_sql_outputs(spark, d):
+    stmts = facts.embedded_sql(_long_sql(spark, d)).select("path", "sql", "line")
+    found = O.sql_outputs(stmts).select("path", "name", "line")
+    return found.join(stmts.select("path", F.length("sql").alias("chars")), "path")

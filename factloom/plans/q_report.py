@@ -379,20 +379,54 @@ p AS (SELECT *, CAST(floor((row_number() OVER (PARTITION BY module ORDER BY file
   || '  variable Customer' || k || '.score' || chr(10) || '  public method Customer' || k || '.rate → int (base: int, label: String, w)' || chr(10)
   || '  protected method Customer' || k || '.audit → void sig: protected abstract void audit()' AS lines,
   chr(10) || repeat('=', 60) || chr(10) || '### ' || path || ' (Java, ' || length(content) || ' chars)' || chr(10) || repeat('=', 60) || chr(10) || content AS block FROM b),
-r AS (SELECT *, 16000 - coalesce(sum(length(block)) OVER (PARTITION BY module ORDER BY file_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest FROM p),
+r AS (SELECT *, 16000 - coalesce(sum(length(block)) OVER (PARTITION BY module, part ORDER BY file_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest FROM p),
 t AS (SELECT *, CASE WHEN length(block) <= rest THEN block WHEN rest > 500 THEN left(block, CAST(rest AS BIGINT)) END AS shown FROM r)
 SELECT module || '_part' || part AS module, '{R.SYSTEM}' AS system,
-  'Module ' || module || ', part ' || part || ' (' || count(*) || ' files)' || chr(10) || chr(10) || 'Symbols:' || chr(10) || string_agg(lines, chr(10) ORDER BY path)
+  'Module ' || module || '_part' || part || ' (' || count(*) || ' files)' || chr(10) || chr(10) || 'Symbols:' || chr(10) || string_agg(lines, chr(10) ORDER BY path)
   || chr(10) || chr(10) || 'Callbacks:' || chr(10) || '(none)' || chr(10) || chr(10) || 'Outputs:' || chr(10) || '(none)' || chr(10) || chr(10) || 'Source:' || chr(10)
   || coalesce(string_agg(shown, chr(10) ORDER BY file_seq), '') AS "user"
 FROM t GROUP BY module, part""")
 def module_prompts(spark, d):
-    files = P.java_files(spark, d)
-    found = stage_table(X.extract(files), "fact")
-    symbols = X.symbols(found)
+    split = stage_table(modules.split_modules(P.java_files(spark, d), "file_seq"))
+    files = split.drop("module").withColumnRenamed("part", "module")
+    symbols = stage_table(X.symbols(X.extract(files)))
     where = files.select("path", "module")
     no_lines = where.select("module", F.lit(0).alias("sub"), F.lit("").alias("pos"), F.lit("").alias("line")).where("false")
     return R.module_prompts(
         files, "file_seq", modules.symbol_index(symbols, files), modules.source_preview(files, symbols, "file_seq"),
         no_lines, modules.module_outputs(files, O.regex_outputs(files)),
     )
+
+
+@query("all_callbacks", f"""
+WITH f AS (SELECT DISTINCT 'ops_' || s AS struct, unnest(['on_' || t, 'handler']) AS field FROM {CB}),
+a AS (SELECT 'ops_' || s AS struct, unnest(['on_' || t, 'handler']) AS field FROM {CB}),
+r AS (SELECT path, 12 AS line, 'on_' || t AS field, 'handle_' || b AS func FROM {CB} UNION ALL SELECT path, 13, 'handler', 'cb_' || b FROM {CB}),
+n AS (SELECT field, count(*) AS n FROM r GROUP BY field),
+h AS (SELECT struct, (SELECT count(*) FROM a WHERE a.struct = f.struct) AS n_fields, sum(n) AS n_regs FROM f JOIN n USING (field) GROUP BY struct),
+l AS (
+SELECT 1 AS section, struct AS pos, '  ' || struct || ' (' || n_fields || ' fields, ' || CAST(n_regs AS BIGINT) || ' registrations)' AS line FROM h
+UNION ALL SELECT DISTINCT 1, struct || chr(9) || field || chr(9) || func, '    ' || field || ' = ' || func FROM f JOIN r USING (field)
+UNION ALL SELECT 2, path || chr(9) || printf('%09d', r.line) || chr(9) || field || chr(9) || func, '  p.' || field || ' = ' || func || ' @ ' || path || ':' || r.line FROM r
+UNION ALL SELECT 3, path || chr(9) || '000000016' || chr(9) || 'p->handler', '  p->handler() @ ' || path || ':16' FROM {CB})
+SELECT CAST(section AS INTEGER) AS section, CAST(0 AS BIGINT) AS n, {i(0)} AS sub, pos, line FROM l""")
+def all_callbacks(spark, d):
+    fields, regs, calls = callback_facts(spark, d)
+    return R.all_callbacks(C.dispatch_tables(fields, regs), C.dispatch_callbacks(fields, regs), regs, calls)
+
+
+@query("flow_prompts", f"""
+WITH m AS (SELECT 0 AS s, 'm_' || p_partkey AS pos, '### m_' || p_partkey || chr(10) || '## Core flow' || chr(10) || p_name AS line FROM part),
+e AS (SELECT 9 AS s, path || chr(9) || printf('%015d', seq) || chr(9) || callee AS pos, '  `run_' || k || '` → `' || callee || '` @ ' || path || ':' || (16 + seq) AS line
+  FROM (SELECT path, k, unnest([0, 1]) AS seq, unnest(['p->handler', 'helper_' || s]) AS callee FROM {CB})),
+a AS (SELECT * FROM m UNION ALL SELECT * FROM e),
+f AS (SELECT string_agg(line || chr(10), '' ORDER BY s, pos COLLATE "C") AS facts FROM a)
+SELECT 'flows' AS module, '{R.SYSTEM}' AS system, 'Describe the flows that cross modules, from these facts.' || chr(10) || chr(10) || left(facts, 60000) AS "user" FROM f""".replace(' COLLATE "C"', ""))
+def flow_prompts(spark, d):
+    files = P.c_files(spark, d)
+    direct = X.direct_calls(X.extract(files))
+    graph = stage_table(X.call_graph(direct, direct.where("false"), C.indirect_edges(C.indirect_calls(files), C.registrations(files)).where("false")))
+    part = P.table(spark, d, "part")
+    texts = part.select(F.concat(F.lit("m_"), F.col("p_partkey").cast("string")).alias("module"), F.concat(F.lit("## Core flow\n"), "p_name").alias("markdown"))
+    none = R._lines(texts.where("false"), 1, 0, 0, F.col("module"), F.col("markdown"))
+    return R.flow_prompts(graph, none, texts)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from factloom import fixed_values as V
 from factloom.functions import text as T
 from factloom.operators import markdown as M
-from factloom.operators.ordered import chunk, global_rank, top_k
+from factloom.operators.ordered import char_budget, global_rank, top_k
 from factloom.operators.outputs import type_histogram
 from factloom.session import stage_table
 
@@ -371,30 +371,63 @@ def html_pages(texts: DataFrame, keys: list[str], text: str, title: Column, out:
 SYSTEM = "You describe source code. State only what the facts below support, and mark guesses as guesses."
 
 
-def module_prompts(files: DataFrame, order: str, index: DataFrame, preview: DataFrame, callbacks: DataFrame, outputs: DataFrame, max_files: int = 10) -> DataFrame:
-    """(module, system, user) per module part of at most ``max_files`` files.
+def module_prompts(files: DataFrame, order: str, index: DataFrame, preview: DataFrame, callbacks: DataFrame, outputs: DataFrame) -> DataFrame:
+    """(module, system, user) per module of ``files``, which are split already.
 
-    ``index``, ``preview`` and ``outputs`` rows carry a path, ``callbacks`` rows
-    a module. A part is bounded by its files and the size guard, so its text
-    is one row.
+    ``index``, ``preview`` and ``outputs`` rows carry the module. A module is
+    bounded by the split, its source by the preview's budget.
     """
-    parts = chunk(files.select("path", "module", order), ["module"], order, max_files, "part")
-    joined = lambda df, name, *by: df.join(parts.select("path", "module", "part"), ["path", "module"]).groupBy("module", "part").agg(
+    joined = lambda df, name, *by: df.groupBy("module").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*by, "text"))), lambda r: r["text"]), "\n").alias(name)
     )
     index_text = joined(index, "_index", "path", "seq")
     preview_text = joined(preview, "_source", order)
     output_text = joined(outputs, "_outputs", "path", "line", "name")
-    # callback lines are cut per module, tables once per module
-    callback_text = callbacks.groupBy("module").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sub", "pos", "line"))), lambda r: r["line"]), "\n").alias("_callbacks")
-    )
-    sizes = parts.groupBy("module", "part").agg(F.count("*").alias("n"))
-    key = ["module", "part"]
-    whole = sizes.join(index_text, key, "left").join(preview_text, key, "left").join(output_text, key, "left").join(callback_text, "module", "left")
+    callback_text = joined(callbacks.withColumnRenamed("line", "text"), "_callbacks", "sub", "pos")
+    sizes = files.groupBy("module").agg(F.count("*").alias("n"))
+    whole = sizes.join(index_text, "module", "left").join(preview_text, "module", "left").join(output_text, "module", "left").join(callback_text, "module", "left")
     user = F.concat(
-        F.lit("Module "), "module", F.lit(", part "), F.col("part").cast("string"), F.format_string(" (%d files)", "n"),
+        F.lit("Module "), "module", F.format_string(" (%d files)", "n"),
         F.lit("\n\nSymbols:\n"), F.coalesce("_index", F.lit("(none)")), F.lit("\n\nCallbacks:\n"), F.coalesce("_callbacks", F.lit("(none)")),
         F.lit("\n\nOutputs:\n"), F.coalesce("_outputs", F.lit("(none)")), F.lit("\n\nSource:\n"), F.coalesce("_source", F.lit("")),
     )
-    return whole.select(F.concat("module", F.lit("_part"), F.col("part").cast("string")).alias("module"), F.lit(SYSTEM).alias("system"), user.alias("user"))
+    return whole.select("module", F.lit(SYSTEM).alias("system"), user.alias("user"))
+
+
+def _one_prompt(lines: DataFrame, name: str, task: str, budget: int) -> DataFrame:
+    """(module, system, user) from report lines, as far as the budget of characters goes."""
+    ranked = global_rank(lines, KEYS, "ord").select(F.lit(name).alias("module"), "ord", F.concat("line", F.lit("\n")).alias("line"))
+    kept = char_budget(ranked, ["module"], "ord", "line", budget, 0)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "line"))), lambda r: r["line"]), "")
+    return kept.groupBy("module").agg(text.alias("_facts")).select("module", F.lit(SYSTEM).alias("system"), F.concat(F.lit(task + "\n\n"), "_facts").alias("user"))
+
+
+def summaries(analyses: DataFrame, section: int, max_chars: int = 2000) -> DataFrame:
+    """The key sections of each module's text as report lines."""
+    short = M.key_sections(analyses.select("module", "markdown"), ["module"], "markdown", max_chars)
+    return _lines(short, section, 0, 0, F.col("module"), F.concat(F.lit("### "), "module", F.lit("\n"), "summary"))
+
+
+def all_callbacks(tables: DataFrame, callbacks: DataFrame, regs: DataFrame, calls: DataFrame) -> DataFrame:
+    """Callback facts over all modules as report lines: dispatch tables with their functions, registrations, indirect calls."""
+    place = lambda: F.concat(F.lit(" @ "), "path", F.lit(":"), F.col("line").cast("string"))
+    at = lambda: F.concat("path", F.lit("\t"), F.format_string("%09d", "line"))
+    heads = _lines(tables, 1, 0, 0, F.col("struct"), F.concat(F.lit("  "), "struct", F.format_string(" (%d fields, %d registrations)", "n_fields", "n_registrations")))
+    filled = _lines(callbacks, 1, 0, 0, F.concat_ws("\t", "struct", "field", "func"), F.concat(F.lit("    "), "field", F.lit(" = "), "func"))
+    made = _lines(regs, 2, 0, 0, F.concat_ws("\t", at(), "field", "func"), F.concat(F.lit("  "), "var", F.lit("."), "field", F.lit(" = "), "func", place()))
+    used = _lines(calls, 3, 0, 0, F.concat_ws("\t", at(), "expression"), F.concat(F.lit("  "), "expression", F.lit("()"), place()))
+    return _stack([heads, filled, made, used])
+
+
+def flow_prompts(calls: DataFrame, callbacks: DataFrame, analyses: DataFrame, budget: int = 60_000) -> DataFrame:
+    """The prompt for flows across modules: summaries, then callback facts (``all_callbacks``), then call edges."""
+    edges = _lines(
+        calls, 9, F.when(F.col("edge_type") == "indirect", 1).otherwise(0), 0, F.concat("path", F.lit("\t"), F.format_string("%015d", "edge_seq"), F.lit("\t"), "callee"),
+        F.concat(F.lit("  `"), "caller", F.lit("` → `"), "callee", F.lit("` @ "), "path", F.lit(":"), F.col("line").cast("string")),
+    )
+    return _one_prompt(_stack([summaries(analyses, 0), callbacks, edges]), "flows", "Describe the flows that cross modules, from these facts.", budget)
+
+
+def synthesis_prompts(context: DataFrame, analyses: DataFrame, budget: int = 60_000) -> DataFrame:
+    """The prompt for the architecture: summaries, then the facts a text must agree with (``structured_context``)."""
+    return _one_prompt(_stack([summaries(analyses, 0), context]), "architecture", "Describe the architecture, from these facts.", budget)

@@ -50,6 +50,7 @@ def compare(df, con, sql: str) -> str:
     right = sorted((tuple(_norm(r[i]) for i in at) for r in rel.fetchall()), key=repr)
     if left == right:
         return "" if left else "both sides empty"
-    extra = [r for r in left if r not in set(right)][:2] if len(left) < 200000 else []
-    missing = [r for r in right if r not in set(left)][:2] if len(right) < 200000 else []
+    here, there = set(left), set(right)
+    extra = [r for r in left if r not in there][:2]
+    missing = [r for r in right if r not in here][:2]
     return f"{len(left)} rows != {len(right)} rows; spark only {extra}; duckdb only {missing}"

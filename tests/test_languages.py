@@ -80,3 +80,19 @@ def test_xml_elements_and_sql():
     assert [(f["name"], f["kind"], f["parent"], f["line"]) for f in out] == [
         ("a", "xml_element", "", 2), ("b", "xml_element", "a", 3), ("SQL_b_3", "sql_in_xml", "a/b", 3), ("d", "xml_element", "a", 4)]
     assert out[0]["signature"] == "<a x=é, y=2>" and out[0]["end_line"] == 4
+
+
+def test_links_and_spaces():
+    from factloom.functions import languages as L
+
+    calls = lambda facts: [f["name"] for f in facts if f["fact"] == "call"]
+    assert calls(L.java_facts("class A { void m() { xs.map(x -> h(x)); a" + " " * 200 + ".b(); } }")) == ["xs.map", "h", "a" + " " * 200 + ".b"]
+    assert calls(L.scala_facts("object A { def m() = { p -> h(x) } }")) == ["h"]
+    assert calls(L.c_facts("void f() { p->q->run(1); }")) == ["p->q->run"]
+
+
+def test_facts_before_a_fault_stay():
+    from factloom.functions import languages as L
+
+    found = L.xml_facts("<a><b>x</b><c></a>")
+    assert [f["name"] for f in found if f["fact"] == "symbol"] == ["a", "b", "c"] and [f["fact"] for f in found][-1] == "error"

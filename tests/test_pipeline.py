@@ -34,11 +34,14 @@ def root(tmp_path_factory):
         path.write_text(text)
     (folder / "bytes.py").write_bytes(b"A = '\xff\xfeok'\n")
     (folder / "big.py").write_bytes(b"#" * (V.MAX_FILE_BYTES + 1))
+    (folder / "mark.py").write_bytes(b"\xef\xbb\xbfdef marked():\n    pass\n")
     return str(folder)
 
 
 def test_scan_filters_guard_and_bytes(spark, root):
-    rows = {r.path: r for r in S.source_files(spark, root).collect()}
+    rows = {r.path: r for r in S.source_files(spark, root, max_bytes=V.MAX_FILE_BYTES).collect()}
+    assert S.source_files(spark, root).where("path = 'big.py' and error = '' and length(content) > 2000000").count() == 1
+    assert rows["mark.py"].content.startswith("def marked")
     assert "node_modules/x.py" not in rows and ".hidden/y.py" not in rows and "Makefile" not in rows
     assert "a b+c%20.py" in rows and rows["big.py"].error == "file too large" and rows["big.py"].content == ""
     assert rows["bytes.py"].content == "A = 'ok'\n"
@@ -69,6 +72,19 @@ def make_client():
 client = make_client()
 
 
+def make_broken():
+    def client():
+        def generate(system, user):
+            raise RuntimeError("not to be called")
+
+        return generate
+
+    return client
+
+
+broken = make_broken()
+
+
 def test_all_stages(spark, root, tmp_path):
     out = str(tmp_path / "out")
     t = pipeline.run(spark, root, out, make_client=client, title="Demo")
@@ -78,16 +94,16 @@ def test_all_stages(spark, root, tmp_path):
     edges = {(r.caller, r.callee, r.edge_type) for r in t["calls"].collect()}
     assert ("o->handler", "on_event", "indirect") in edges and ("run", "go", "direct") in edges and ("p/s", "upper", "direct") in edges
     assert {(r.struct, r.n_fields) for r in t["dispatch_tables"].collect()} == {("ops", 2), ("ops_t", 2)}
-    assert {"bad.py", "big.py"} == names(t["errors"], "path")
+    assert {"bad.py"} == names(t["errors"], "path") and "marked" in names(t["symbols"], "name")
     assert {(r["class"], r.relation, r.target) for r in t["java_dispatch"].collect()} == {("A", "extends", "B"), ("A", "implements", "C")}
     outputs = {(r.name, r.output_type) for r in t["outputs"].collect()}
     assert {("dw.t", "db_table"), ("topic", "message")} <= outputs
     inputs = {(r.relationship, r.source_name) for r in t["output_inputs"].collect()}
     assert {("upstream_caller", "top"), ("sql_input", "raw.t1"), ("data_read", "source_rows")} <= inputs
     assert t["totals"].first().build_systems == ["Make"]
-    assert {r.fact: r.n for r in pipeline.summary(t).collect()}["errors"] == 2
+    assert {r.fact: r.n for r in pipeline.summary(t).collect()}["errors"] == 1
     texts = {r.module: r.markdown for r in t["analyses"].collect()}
-    assert "src_part1" in texts and 'A["fx"]' in texts["src_part1"] and "<details>" in texts["src_part1"]
+    assert "src" in texts and 'A["fx"]' in texts["src"] and "<details>" in texts["src"]
     document = "\n".join(r.value for r in spark.read.text(f"{out}/report").collect())
     assert "# Demo" in document and "## 4. Rebuild guide" in document and "make\n" in document
     assert spark.read.parquet(f"{out}/module_pages").count() == len(texts)
@@ -95,6 +111,14 @@ def test_all_stages(spark, root, tmp_path):
     assert stored.where("path = 'src/app.py' and module = 'src'").count() == 1
     again = pipeline.analyse_modules(f"{out}/again", t, client, cached=t["analyses"])
     assert {r.module: r.markdown for r in again.collect()} == texts
+    # the stored texts are taken, and neither replaced nor lost
+    for how in ({"cached": A.read_table(spark, out, "analyses")}, {"resume": True}):
+        assert {r.module: r.markdown for r in pipeline.analyse_modules(out, t, broken, **how).collect()} == texts
+    assert "## Flow" in document and t["cross_flows"].count() == 1 and t["synthesis"].first().text in document
+    later = pipeline.run(spark, root, out, "4", make_client=broken, title="Again")
+    assert {r.module for r in later["analyses"].collect()} == set(texts)
+    document = "\n".join(r.value for r in spark.read.text(f"{out}/report").collect())
+    assert "# Again" in document and t["synthesis"].first().text in document
 
 
 def test_generate_validate_refine(spark, root, tmp_path):

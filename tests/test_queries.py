@@ -13,14 +13,18 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+# what the llm folder registers is compared in its own tests
+NAMES = [n for n in entry.queries() if n not in entry.LLM_QUERIES and n != "pipeline"]
+
+
+@pytest.mark.parametrize("name", NAMES)
 def test_query(spark, con, name):
     df = entry.queries()[name](spark, SF)
     sql = entry.oracle_sql().get(name)
     if sql is None:
         assert df.count() > 0
     else:
-        assert compare(df, con, sql) in ("", "both sides empty")
+        assert compare(df, con, sql) == ""
 
 
 def test_entry(spark):
