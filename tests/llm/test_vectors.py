@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from factloom.llm.vectors import bounds, fit_codebook, link_vectors, multi_sequence, units
+from factloom.llm.vectors import bounds, fit_codebook, link_vectors, multi_sequence, reach, units
 
 from .test_simhash import union
 
@@ -61,6 +61,7 @@ def test_blocks(spark, monkeypatch):
 def test_no_rows(spark):
     assert run(spark, []) == []
     assert run(spark, [(1, None, None)]) == [(1, 0, 1, True)]
+    assert run(spark, [(1, [2.0], 3), (2, [1.0], 3), (3, [-1.0], 3)]) == [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)]
 
 
 def test_recall_of_visits():
@@ -69,9 +70,11 @@ def test_recall_of_visits():
     x = units(np.array([e for _, e, _ in rows]))
     books = fit_codebook(x[:, :8], 16), fit_codebook(x[:, 8:], 16)
     near = [bounds(x[:, :8], books[0]), bounds(x[:, 8:], books[1])]
+    limit = reach(x, books, 0.98)
+    assert limit <= 0.0401
     found = wanted = 0
     for i in range(len(x)):
-        cells = set(multi_sequence(near[0][1][i], near[1][1][i], 0.04))
+        cells = set(multi_sequence(near[0][1][i], near[1][1][i], limit))
         for j in np.flatnonzero(x @ x[i] >= 0.98):
             wanted += 1
             found += (int(near[0][0][j]), int(near[1][0][j])) in cells
