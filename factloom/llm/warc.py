@@ -4,8 +4,12 @@ Writing: one file per task, under a name of the attempt and then renamed; the
 content depends on the rows only. Of records with equal payloads of at least
 ``min_bytes`` that with the largest page_id is the response, the others revisit it.
 
+A record is stored as a gzip member of its own, with the compressed and the full
+length in the extra field "sl" of its header, or plain with ``compress=False``.
+
 Reading: files are cut into ranges of ``chunk`` bytes. A task looks for the magic
-in its range and emits, for each candidate, the offset its header leads to, and
+(of a member or a plain record) in its range and emits, for each candidate, the
+offset its header's length leads to, and
 where the chain from it leaves the range. Pointer jumping from each file's start
 over these exits, doubling the step each round, finds where the chain enters each
 range; candidates that no chain reaches, such as the magic inside a payload, are
@@ -22,7 +26,9 @@ import base64
 import hashlib
 import math
 import re
+import struct
 import uuid
+import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
 
@@ -40,6 +46,9 @@ MAX_HEADER = 1 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2000-01-01T00:00:00Z"
 _ID = "urn:page:"
+_GZIP = b"\x1f\x8b\x08\x04"
+_MEMBER = struct.Struct("<4s4sBBH2sHII")  # magic, time, flags, system, extra length, "sl", its length, compressed length, full length
+_MAGICS = re.compile(re.escape(MAGIC) + b"|" + re.escape(_GZIP))
 _FIELD = re.compile(rb"^([!-9;-~]+):[ \t]*([^\r\n]*)\r$", re.M)
 
 
@@ -61,6 +70,25 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     return MAGIC + "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def member(data: bytes, level: int = 6) -> bytes:
+    """A record as a gzip member that states its lengths."""
+    packer = zlib.compressobj(level, zlib.DEFLATED, -15)
+    body = packer.compress(data) + packer.flush()
+    head = _MEMBER.pack(_GZIP, b"\0" * 4, 0, 255, 12, b"sl", 8, _MEMBER.size + len(body) + 8, len(data) & 0xFFFFFFFF)
+    return head + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
+
+
+def successor(data: bytes, at: int) -> int | None:
+    """Where the record at ``at`` says that the next one starts; None if no record's header is there."""
+    if data.startswith(_GZIP, at):
+        if at + _MEMBER.size > len(data):
+            return None
+        *_, extra, name, size, length, _ = _MEMBER.unpack_from(data, at)
+        return at + length if (extra, name, size) == (12, b"sl", 8) and length > _MEMBER.size + 8 else None
+    head = header_of(data, at)
+    return head[1] + int(head[0]["content-length"]) + 4 if head else None
+
+
 def header_of(data: bytes, at: int) -> tuple[dict[str, str], int] | None:
     """Fields and end of the header at ``at``; None if it isn't one."""
     end = data.find(b"\r\n\r\n", at)
@@ -81,7 +109,7 @@ def roles(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     return out.select("page_id", "url", "html", revisit.alias("revisit"), F.when(revisit, F.col("last")).alias("refers_to"))
 
 
-def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
+def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0, compress: bool = True) -> DataFrame:
     """Writes the archives; gives a row per file: file, bytes, records."""
     prepare(pages.sparkSession)
     schema = pa.schema([("file", pa.string()), ("bytes", pa.int64()), ("records", pa.int64())])
@@ -89,7 +117,7 @@ def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         store, base = pafs.FileSystem.from_uri(folder)
-        name = f"part-{task.partitionId():08d}.warc"
+        name = f"part-{task.partitionId():08d}.warc{'.gz' if compress else ''}"
         trial = f"{base}/.{name}-{task.taskAttemptId()}"
         size = n = 0
         store.create_dir(base, recursive=True)
@@ -97,6 +125,7 @@ def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
             for batch in batches:
                 for page_id, url, html, revisit, refers_to in values(batch, "page_id", "url", "html", "revisit", "refers_to"):
                     data = record(page_id, url, html.encode(), refers_to, revisit)
+                    data = member(data) if compress else data
                     f.write(data)
                     size += len(data)
                     n += 1
@@ -119,12 +148,12 @@ def candidates(data: bytes, base: int, lo: int, hi: int) -> list[tuple[int, int,
     The exit is the first offset at or after ``hi`` on the chain, None if the chain breaks inside.
     """
     found: list[tuple[int, int]] = []
-    at = data.find(MAGIC, lo - base)
-    while 0 <= at < hi - base:
-        head = header_of(data, at)
-        if head:
-            found.append((at + base, base + head[1] + int(head[0]["content-length"]) + 4))
-        at = data.find(MAGIC, at + 1)
+    for m in _MAGICS.finditer(data, lo - base):
+        if m.start() >= hi - base:
+            break
+        after = successor(data, m.start())
+        if after is not None:
+            found.append((m.start() + base, base + after))
     exits: dict[int, int | None] = {}
     for offset, after in reversed(found):
         exits[offset] = after if after >= hi else exits.get(after)
@@ -175,6 +204,20 @@ def entries(files: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return reached.join(files.select("file", "bytes"), "file").filter("offset < bytes").select("file", "bytes", "offset")
 
 
+def _whole(f, uri: str, at: int) -> tuple[bytes, int]:
+    """The plain bytes of the record at ``at``, and where the next one starts."""
+    f.seek(at)
+    data = f.read(4096)
+    while (after := successor(data, 0)) is None:
+        more = f.read(len(data)) if len(data) <= 2 * MAX_HEADER else b""
+        if not more:
+            raise ValueError(f"{uri}: no record at {at}")
+        data += more
+    data += f.read(after - len(data)) if after > len(data) else b""
+    data = data[:after]
+    return (zlib.decompress(data, 31) if data.startswith(_GZIP) else data), at + after
+
+
 PARSED = "page_id bigint, url string, record_type string, refers_to bigint, digest string, payload binary"
 
 
@@ -193,20 +236,12 @@ def read_warc(files: DataFrame, chunk: int = CHUNK) -> DataFrame:
                 store, path = pafs.FileSystem.from_uri(uri)
                 with store.open_input_file(path) as f:
                     while at < end:
-                        f.seek(at)
-                        data = f.read(4096)
-                        while (head := header_of(data, 0)) is None:
-                            more = f.read(len(data)) if len(data) <= 2 * MAX_HEADER else b""
-                            if not more:
-                                raise ValueError(f"{uri}: no record at {at}")
-                            data += more
-                        fields, start = head
+                        data, at = _whole(f, uri, at)
+                        fields, start = header_of(data, 0)
                         length = int(fields["content-length"])
-                        f.seek(at + start)
-                        block = f.read(length)
-                        if len(block) != length or f.read(4) != b"\r\n\r\n":
-                            raise ValueError(f"{uri}: damaged record at {at}")
-                        at += start + length + 4
+                        block = data[start : start + length]
+                        if len(block) != length or data[start + length :] != b"\r\n\r\n":
+                            raise ValueError(f"{uri}: damaged record before {at}")
                         kind = fields["warc-type"]
                         payload = block.partition(b"\r\n\r\n")[2] if kind == "response" else None
                         out.add((number(fields["warc-record-id"]), fields["warc-target-uri"], kind, number(fields.get("warc-refers-to")), fields["warc-payload-digest"].removeprefix("sha1:"), payload), length)

@@ -1,5 +1,6 @@
 """Archives: round trip, and records that payloads only seem to hold."""
 
+import gzip
 import hashlib
 
 import pytest
@@ -32,10 +33,10 @@ def pages():
     return rows
 
 
-@pytest.mark.parametrize("chunk", [64, 700, 1 << 20])
-def test_round_trip(spark, chunk):
+@pytest.mark.parametrize(("chunk", "compress"), [(64, False), (64, True), (700, True), (1 << 20, False), (1 << 20, True)])
+def test_round_trip(spark, chunk, compress):
     df = spark.createDataFrame(pages(), "page_id bigint, url string, html string").withColumn("digest", F.lit(1)).repartition(3)
-    files = warc.write_warc(df, warc.new_folder(spark))
+    files = warc.write_warc(df, warc.new_folder(spark), compress=compress)
     got = warc.described(warc.read_warc(files, chunk))
     assert sorted((tuple(r) for r in got.collect()), key=repr) == expected(pages())
 
@@ -51,6 +52,22 @@ def test_no_rows(spark):
     assert warc.described(warc.read_warc(warc.write_warc(df, warc.new_folder(spark)))).collect() == []
 
 
+def test_members_inside_members():
+    """A record whose stored payload holds whole members: only the outer chain is followed."""
+    inner = warc.member(warc.record(9, "u", b"x" * 50, None, False))
+    outer = [warc.member(warc.record(i, "u", inner * 3, None, False), level=0) for i in range(4)]
+    data = b"".join(outer)
+    assert gzip.decompress(data).count(b"WARC/1.1") == 4
+    found = warc.candidates(data, 0, 0, len(data))
+    assert len(found) == 20
+    at, seen = 0, []
+    follow = {o: s for o, s, _ in found}
+    while at < len(data):
+        seen.append(at)
+        at = follow[at]
+    assert seen == [sum(map(len, outer[:i])) for i in range(4)]
+
+
 def test_digest():
     assert warc.digest_of(b"") == "3I42H3S6NNFQ2MSVX7XZKYAYSCX5QBYJ"
     assert len(hashlib.sha1(b"x").digest()) == 20
