@@ -118,11 +118,12 @@ def global_rank(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
 
     ensure_checkpoint_dir(df.sparkSession)
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).checkpoint()
-    tagged = ranged.withColumn("_part", F.spark_partition_id())
-    counts = tagged.groupBy("_part").agg(F.count("*").alias("_rows"))
+    # the stored rows keep their partition and place, which this number is made of
+    placed = ranged.withColumn("_at", F.monotonically_increasing_id())
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_rows"))
     # one row per partition of the table: as many rows as there are tasks
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_part", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy("_part").orderBy(*order)
-    numbered = tagged.withColumn("_rn", F.row_number().over(inside)).join(offsets, "_part")
-    return numbered.withColumn(out, (F.col("_offset") + F.col("_rn") - 1).cast("bigint")).select(*df.columns, out)
+    numbered = placed.join(F.broadcast(offsets), part == F.col("_part"))
+    return numbered.select(*df.columns, (F.col("_offset") + place).cast("bigint").alias(out))
