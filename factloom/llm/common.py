@@ -45,6 +45,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def own_shuffle(df: DataFrame, key: str) -> DataFrame:
+    """Re-keys an aggregate by a bigint ``key`` it is grouped by.
+
+    A join on that key would use the aggregate's own shuffle, which adaptive
+    execution can't split; so both sides are shuffled for the join, and a hot key
+    of the other side is dealt over several tasks.
+    """
+    return df.withColumn(key, F.col(key).bitwiseXOR(F.lit(0).cast("bigint")))
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import stage
+from factloom.llm.common import own_shuffle, stage
 
 MAX_ROUNDS = 60
 
@@ -19,14 +19,14 @@ def _large_star(links: DataFrame) -> DataFrame:
     """Joins each larger neighbour of a node to the least node beside it."""
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
+    return both.filter("b > a").join(own_shuffle(least, "a"), "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """Joins a node and its smaller neighbours to the least of them; links run from high to low."""
     down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b")
     least = down.groupBy("a").agg(F.min("b").alias("low"))
-    moved = down.join(least, "a").filter("b > low").select(F.col("b").alias("a"), F.col("low").alias("b"))
+    moved = down.join(own_shuffle(least, "a"), "a").filter("b > low").select(F.col("b").alias("a"), F.col("low").alias("b"))
     return moved.union(least.select("a", F.col("low").alias("b"))).distinct()
 
 

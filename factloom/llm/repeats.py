@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import Rows, prepare, stage, text_or_empty, values
+from factloom.llm.common import Rows, own_shuffle, prepare, stage, text_or_empty, values
 
 LENGTH = 400
 GRAM = 64
@@ -278,12 +278,12 @@ def _interval(starts: Column, count: Column, length: int) -> list[Column]:
 def _hot_cuts(runs: DataFrame, length: int) -> DataFrame:
     """Intervals of hot spans, from counts of their runs and, where those differ, of their starts."""
     met = runs.groupBy("h").agg(F.count("*").alias("n"), F.min("sh").alias("low"), F.max("sh").alias("high")).filter("n > 1")
-    alike = runs.join(met.select("h", (F.col("low") != F.col("high")).alias("mixed")), "h")
+    alike = runs.join(own_shuffle(met.select("h", (F.col("low") != F.col("high")).alias("mixed")), "h"), "h")
     alike = stage(alike.select("k", "th", "p", "m", "h", "sh", "starts", "mixed"))
     bodies = alike.filter("mixed").groupBy("h", "sh").agg(F.count("*").alias("n"), F.max("starts").alias("starts"))
     starts = bodies.select("h", F.explode("starts").alias("s")).groupBy("h", "s").agg(F.count("*").alias("n")).filter("n > 1").select("h", "s")
-    mixed = alike.filter("mixed").join(bodies.select("h", "sh", "n"), ["h", "sh"])
-    single = mixed.filter("n = 1").select("k", "th", "p", "h", F.posexplode("starts").alias("i", "s")).join(starts, ["h", "s"])
+    mixed = alike.filter("mixed").join(own_shuffle(bodies.select("h", "sh", "n"), "h"), ["h", "sh"])
+    single = mixed.filter("n = 1").select("k", "th", "p", "h", F.posexplode("starts").alias("i", "s")).join(own_shuffle(starts, "h"), ["h", "s"])
     return (
         alike.filter("not mixed").select(*_interval(F.col("p"), F.col("m"), length))
         .union(mixed.filter("n > 1").select(*_interval(F.col("p"), F.col("m"), length)))
@@ -295,13 +295,13 @@ def repeated(keyed: DataFrame, length: int = LENGTH, group_limit: int = GROUP_LI
     """Per text with repeats (k, th): ``cuts``, the intervals [lo, hi) of bytes to remove; they may overlap."""
     found = stage(keyed.select("k", "th", "text").mapInArrow(_find_spans(length), "k bigint, th bigint, p bigint, m int, h bigint, sh bigint"))
     met = found.groupBy("h").agg(F.count("*").alias("n"), F.min("sh").alias("low"), F.max("sh").alias("high")).filter("n > 1")
-    alike = stage(found.join(met.select("h", (F.col("low") != F.col("high")).alias("mixed")), "h"))
+    alike = stage(found.join(own_shuffle(met.select("h", (F.col("low") != F.col("high")).alias("mixed")), "h"), "h"))
     copy = F.min(F.struct("k", "th", "p", "m"))
     distinct = stage(alike.filter("mixed").groupBy("h", "sh").agg(F.count("*").alias("n"), copy.alias("c")).select("h", "sh", "n", "c.*"))
     whole = alike.filter("not mixed").select("k", "th", "p", "m").union(
         alike.filter("mixed").join(distinct.filter("n > 1").select("h", "sh"), ["h", "sh"], "left_semi").select("k", "th", "p", "m"))
     groups = distinct.groupBy("h").agg(F.count("*").alias("size"))
-    chosen = distinct.join(groups, "h").groupBy("k", "th").agg(F.collect_list(F.struct("p", "m", "h", "sh", (F.col("size") > group_limit).alias("hot"))).alias("chosen"))
+    chosen = distinct.join(own_shuffle(groups, "h"), "h").groupBy("k", "th").agg(F.collect_list(F.struct("p", "m", "h", "sh", (F.col("size") > group_limit).alias("hot"))).alias("chosen"))
     pieces = stage(keyed.select("k", "th", "text").join(chosen, ["k", "th"]).mapInArrow(_read_spans(length), PIECES), "hot")
     cold = pieces.filter("not hot").select("k", "th", "p", "m", "h", "data").repartition("h").sortWithinPartitions("h")
     hot = pieces.filter("hot").select("k", "th", "p", "m", "h", "sh", "starts")
@@ -320,8 +320,11 @@ def merged(cuts: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, group_limit: int = GROUP_LIMIT, sort_bytes: int = SORT_BYTES) -> DataFrame:
-    """Each row as ``_row``, with n_bytes, n_removed, n_spans and ``kept``, the remaining bytes."""
+def remove_repeats(docs: DataFrame, length: int = LENGTH, group_limit: int = GROUP_LIMIT, sort_bytes: int = SORT_BYTES, as_text: bool = False) -> DataFrame:
+    """Each row as ``_row``, with n_bytes, n_removed, n_spans and ``kept``, the remaining bytes.
+
+    ``as_text`` gives ``kept`` as text; bytes of a character that a cut has split are dropped.
+    """
     prepare(docs.sparkSession)
     keyed = _keyed(docs)
     cuts = stage(repeated(keyed, length, group_limit, sort_bytes))
@@ -336,26 +339,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, group_limit: int = GRO
                 for lo, hi in gone:
                     kept.append(data[at:lo])
                     at = hi
-                out.append((len(data), sum(hi - lo for lo, hi in gone), len(gone), b"".join([*kept, data[at:]])))
+                rest = b"".join([*kept, data[at:]])
+                out.append((len(data), sum(hi - lo for lo, hi in gone), len(gone), rest.decode("utf-8", "ignore") if as_text else rest))
             columns = list(zip(*out, strict=True)) or [[]] * 4
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=["_row", "n_bytes", "n_removed", "n_spans", "kept"])
 
     kind = joined.schema["_row"].dataType.simpleString()
-    return joined.mapInArrow(cut, f"_row {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    return joined.mapInArrow(cut, f"_row {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept {'string' if as_text else 'binary'}")
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The rows with what is left of their texts; bytes of a character that a cut has split are dropped."""
+    """The rows with what is left of their texts; a text without repeats stays as it is, null too."""
     names = docs.columns
-    found = remove_repeats(docs, length)
-    changed = F.when(F.col("n_removed") > 0, F.col("left")).otherwise(F.col("_row.text"))
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left = [None if not n else b.decode("utf-8", "ignore") for n, b in values(batch, "n_removed", "kept")]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(left, pa.string())], names=["_row", "n_removed", "left"])
-
-    kind = found.schema["_row"].dataType.simpleString()
-    decoded = found.select("_row", "n_removed", "kept").mapInArrow(decode, f"_row {kind}, n_removed bigint, left string")
-    return decoded.select(*(changed.alias("text") if n == "text" else F.col("_row")[n].alias(n) for n in names))
+    left = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("_row.text"))
+    return remove_repeats(docs, length, as_text=True).select(*(left.alias("text") if n == "text" else F.col("_row")[n].alias(n) for n in names))

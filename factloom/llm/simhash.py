@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import Rows, prepare, stage, text_or_empty, values
+from factloom.llm.common import Rows, own_shuffle, prepare, stage, text_or_empty, values
 from factloom.llm.components import components
 
 RADIUS = 3
@@ -216,7 +216,7 @@ def simhash_components(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     member = components(links(stage(groups.select("fp"))))
     placed = groups.join(member, groups.fp == member.node, "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
     least = placed.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = stage(placed.join(least, "component").select("fp", "component_id"))
+    named = stage(placed.join(own_shuffle(least, "component"), "component").select("fp", "component_id"))
     return found.join(named, "fp").select("doc_id", "fp", "component_id")
 
 

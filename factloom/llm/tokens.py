@@ -2,19 +2,22 @@
 
 A tokenizer that drops white space gives the ids of a text as those of its
 white-space separated words, one after another. Words repeat, so each is
-encoded once per worker; the cache is emptied when it holds ``MAX_WORDS``.
+encoded once per worker and found again in a cache of two generations: when the
+young one is full, it becomes the old one, from which words that come
+up again are taken over.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 
-MAX_WORDS = 1 << 19
+# runs of letters in a generation; of whole words a fourth, as they are put together fast
+MAX_WORDS = 1 << 18
 BLOCK_CHARS = 1 << 20
 _WORD = re.compile(r"[^ \t\n\r]+")
 # letters below U+0100, then signs that neither start a contraction nor a special token
@@ -45,15 +48,17 @@ class WordEncoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
+        self.known_before: dict[str, bytes] = {}
         self.letters: dict[str, bytes] = {}
+        self.letters_before: dict[str, bytes] = {}
 
     def _one_by_one(self, words: list[str]) -> list[bytes]:
         return [np.array(found.ids, "<u4").tobytes() for found in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def _learn_letters(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.letters]
-        if len(self.letters) + len(new) > self.max_words:
-            self.letters = {w: self.letters[w] for w in words if w in self.letters}
+        if len(self.letters) > self.max_words:
+            self.letters, self.letters_before = {}, self.letters
+        new = _taken_over(words, self.letters, self.letters_before)
         for i in range(0, len(new), 1000):
             some = new[i : i + 1000]
             (found,) = self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)
@@ -68,19 +73,20 @@ class WordEncoder:
                 self.letters.update(zip(some, self._one_by_one(some), strict=True))
 
     def _learn(self, words: list[str]) -> None:
-        new = {w for w in set(words) if w not in self.known}
+        if len(self.known) > self.max_words // 4:
+            self.known, self.known_before = {}, self.known
+        new = _taken_over(words, self.known, self.known_before)
         if not new:
             return
-        if len(self.known) + len(new) > self.max_words:
-            self.known = {w: self.known[w] for w in set(words) - new}
         plain = {w: (m[1].lower(), m[2]) for w in new if (m := _PLAIN.match(w))}
         self._learn_letters({core for core, _ in plain.values()})
         signs = list({s for _, s in plain.values() if s})
         ids_of = dict(zip(signs, self._one_by_one(signs), strict=True)) | {"": b""}
-        letters = self.letters
-        self.known.update((w, letters[core] + ids_of[s]) for w, (core, s) in plain.items())
+        known, letters = self.known, self.letters
+        for w, (core, s) in plain.items():
+            known[w] = letters[core] + ids_of[s]
         rest = [w for w in new if w not in plain]
-        self.known.update(zip(rest, self._one_by_one(rest), strict=True))
+        known.update(zip(rest, self._one_by_one(rest), strict=True))
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers; a null text has none."""
@@ -91,6 +97,19 @@ class WordEncoder:
         return b"".join(parts)
 
 
+def _taken_over(words: Iterable[str], young: dict[str, bytes], old: dict[str, bytes]) -> list[str]:
+    """The words that neither generation knows; those of the old one go to the young one."""
+    new = []
+    for w in set(words):
+        if w not in young:
+            found = old.get(w)
+            if found is None:
+                new.append(w)
+            else:
+                young[w] = found
+    return new
+
+
 def word_blocks(text: str) -> Iterator[list[str]]:
     """The words of a text in blocks, so that a very long text is no list of all its words."""
     if len(text) <= BLOCK_CHARS:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import prepare, stage
+from factloom.llm.common import own_shuffle, prepare, stage
 from factloom.llm.components import components
 
 THRESHOLD = 0.98
@@ -273,6 +273,6 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, cells: int =
     named = named.withColumn("component", F.coalesce("component", "gid"))
     least = named.groupBy("component").agg(F.min("low").alias("component_id"))
     total = (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).cast("bigint")
-    facts = stage(named.join(least, "component").select("label", "embedding", total.alias("n_links"), "component_id"))
+    facts = stage(named.join(own_shuffle(least, "component"), "component").select("label", "embedding", total.alias("n_links"), "component_id"))
     linked = rows.filter("valid").join(facts, ["label", "embedding"]).select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
     return linked.unionByName(alone)

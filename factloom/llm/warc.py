@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import Rows, prepare, shared_folder, stage, values
+from factloom.llm.common import Rows, own_shuffle, prepare, shared_folder, stage, values
 
 MAGIC = b"WARC/1.1\r\n"
 CHUNK = 8 << 20
@@ -104,7 +104,8 @@ def roles(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
     rows = rows.withColumn("digest", F.sha1("html"))
     many = rows.filter(F.octet_length("html") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).filter("n > 1")
-    out = rows.join(many.select("digest", "last"), "digest", "left")
+    # stored, so that the join shuffles both sides and can split a hot payload
+    out = rows.join(stage(many.select("digest", "last")), "digest", "left")
     revisit = F.col("last").isNotNull() & ~F.col("last").eqNullSafe(F.col("page_id"))
     return out.select("page_id", "url", "html", revisit.alias("revisit"), F.when(revisit, F.col("last")).alias("refers_to"))
 
@@ -272,7 +273,7 @@ def described(records: DataFrame) -> DataFrame:
     rows = stage(records.mapInArrow(measure, "page_id bigint, record_type string, refers_to bigint, digest string, payload_bytes bigint"))
     responses = rows.filter("record_type = 'response'")
     known = responses.groupBy(F.col("page_id").alias("refers_to"), "digest").agg(F.max("payload_bytes").alias("payload_bytes"))
-    revisits = rows.filter("record_type = 'revisit'").drop("payload_bytes").join(known, ["refers_to", "digest"], "left")
+    revisits = rows.filter("record_type = 'revisit'").drop("payload_bytes").join(own_shuffle(known, "refers_to"), ["refers_to", "digest"], "left")
     return responses.unionByName(revisits).select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to")
 
 

@@ -49,9 +49,19 @@ def match_all(
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         compiled = [re.compile(p, flag_value) for p in patterns]
+        types = [pa.int32()] * 4 + [pa.string(), pa.list_(pa.string()), pa.string()]
+
+        def found(batch: pa.RecordBatch, rows: list[int], hits: list[list]) -> pa.RecordBatch:
+            index = pa.array(rows, pa.int64())
+            columns = [batch.column(i).take(index) for i in range(n_keep)]
+            columns += [pa.array(h, t) for h, t in zip(hits, types)]
+            names = batch.schema.names[:n_keep] + [c.split()[0] for c in MATCH_COLUMNS.split(", ")]
+            return pa.RecordBatch.from_arrays(columns, names=names)
+
         for batch in batches:
             rows: list[int] = []
             hits: list[list] = [[], [], [], [], [], [], []]
+            size = 0
             for r, value in enumerate(batch.column(n_keep)):
                 body = value.as_py()
                 if body is None:
@@ -75,16 +85,16 @@ def match_all(
                         if before or after:
                             around = body[max(0, start - before):end + after].replace("\n", " ").strip()
                         rows.append(r)
+                        size += 2 * len(around) + 2 * len(hit.group())
                         for column, item in zip(
                             hits, (p, m, start, line, hit.group(), [g or "" for g in hit.groups()], around)
                         ):
                             column.append(item)
-            index = pa.array(rows, pa.int64())
-            types = [pa.int32()] * 4 + [pa.string(), pa.list_(pa.string()), pa.string()]
-            columns = [batch.column(i).take(index) for i in range(n_keep)]
-            columns += [pa.array(h, t) for h, t in zip(hits, types)]
-            names = batch.schema.names[:n_keep] + [c.split()[0] for c in MATCH_COLUMNS.split(", ")]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+                        # dense texts give many more bytes of hits than they have
+                        if len(rows) >= 20_000 or size >= 8 << 20:
+                            yield found(batch, rows, hits)
+                            rows, hits, size = [], [[], [], [], [], [], [], []], 0
+            yield found(batch, rows, hits)
 
     return source.mapInArrow(scan, f"{fields}, {MATCH_COLUMNS}" if fields else MATCH_COLUMNS)
 

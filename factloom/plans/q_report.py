@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from factloom.operators import callbacks as C, extract as X, facts, markdown as M, modules, outputs as O, stats
 from factloom.plans import corpus as P, reports as R
@@ -338,10 +340,22 @@ def structured_context(spark, d):
     )
 
 
-@query("rebuild_guide", f"SELECT '{R._GUIDES['make'].replace(chr(10), chr(10))}' AS guide")
+# one code base per market segment, with a build file of its own
+_BUILD_FILES = {"AUTOMOBILE": ("CMakeLists.txt", "cmake"), "BUILDING": ("Makefile", "make"), "FURNITURE": ("build.gradle", "gradle"), "HOUSEHOLD": ("go.mod", "go"), "MACHINERY": ("readme.c", "")}
+_GUIDE_CASE = "CASE c_mktsegment " + " ".join(
+    f"WHEN '{seg}' THEN '" + (R._GUIDES[guide] if guide else "Start with the data types, then the core modules, written in C.").replace("'", "''") + "'" for seg, (_, guide) in _BUILD_FILES.items()) + " END"
+
+
+@query("rebuild_guide", f"SELECT DISTINCT c_mktsegment AS segment, {_GUIDE_CASE} AS guide FROM customer")
 def rebuild_guide(spark, d):
-    files = _paths(spark, d).withColumn("language", F.lit("C"))
-    return R.rebuild_guide(stats.totals(files), stats.primary_language(stats.language_stats(files)))
+    customer = P.table(spark, d, "customer")
+    found = []
+    for segment, (marker, _) in _BUILD_FILES.items():
+        path = F.concat(F.lit("m/"), F.col("c_custkey").cast("string"), F.lit("/" + marker))
+        files = customer.where(F.col("c_mktsegment") == segment).select(path.alias("path"), F.col("c_name").alias("content"), F.lit("C").alias("language"))
+        guide = R.rebuild_guide(stats.totals(files).where("total_files > 0"), stats.primary_language(stats.language_stats(files)))
+        found.append(guide.select(F.lit(segment).alias("segment"), "guide"))
+    return reduce(DataFrame.unionByName, found)
 
 
 _MODULE_DOC = P.MODULE_TEXT.replace("# Module", "@ Module").replace("## ", "##### ").replace("@ Module", "#### Module").replace(
