@@ -527,3 +527,81 @@ def long_sql_outputs(spark, d):
     stmts = facts.embedded_sql(_long_sql(spark, d)).select("path", "sql", "line")
     found = O.sql_outputs(stmts).select("path", "name", "line")
     return found.join(stmts.select("path", F.length("sql").alias("chars")), "path")
+
+
+# every form of a pattern table, one file per row, the form chosen by its key ---------------------
+
+# (text, registration type)
+_UDF_FORMS = [
+    ('spark.udf.register("u_{k}", f)', "spark.udf.register"), ('session.udf.register("u_{k}", f)', "udf.register"), ('val u = UDF("u_{k}")', "udf.register"),
+    ('ctx.registerFunction("u_{k}", f)', "registerFunction"), ('reg.registerJavaFunction("u_{k}", "com.A")', "registerJavaFunction"), ("@udf class u_{k}", "@UDF annotation"),
+    ('@UDF(1) object u_{k}', "@UDF annotation"), ('UDFRegistration("u_{k}")', "udf.register"), ('functions.register("u_{k}", f)', "udf.register"),
+]
+# (text, method)
+_XML_FORMS = [
+    ('spark.read.xml("c/{k}.xml")', "spark.read.xml"), ('spark.read.format("xml").option("a", "b").load("c/{k}.xml")', "spark.read.format(xml)"), ('XMLLoader.load("c/{k}.xml")', "XMLLoader.load"),
+    ('new XmlReader("c/{k}.xml")', "XmlReader"), ('x.load("c/{k}.xml")', ".load(xml)"), ('Source.fromFile("c/{k}.xml")', "scala.io.Source"), ('XML.parse("c/{k}.xml")', "scala.xml.XML"),
+    ('configPath = "c/{k}.xml"', ".load(xml)"),
+]
+# (text, name, types)
+_OUTPUT_FORMS = [
+    ("INSERT INTO TABLE a.t_{k}", "a.t_{k}", "db_table"), ("CREATE TABLE t_{k}", "t_{k}", "db_table"), ("MERGE INTO t_{k}", "t_{k}", "db_table"), ('x.write.csv("/o/{k}")', "/o/{k}", "spark_file"),
+    ('x.save("o_{k}")', "o_{k}", "spark_file"), ('x.saveAsTable("t_{k}")', "t_{k}", "spark_table"), ('x.insertInto("t_{k}")', "t_{k}", "spark_table"),
+    ('spark.sql("a INSERT INTO TABLE t_{k}")', "t_{k}", "db_table spark_table"), ('x.option("dbtable", "t_{k}")', "t_{k}", "db_table"), ('open("f_{k}.txt", "wb")', "f_{k}.txt", "file"),
+    ('x.to_json("f_{k}")', "f_{k}", "file"), ('json.dump(x, open("f_{k}"))', "f_{k}", "file"), ('Path("f_{k}").write_text(1)', "f_{k}", "file api_endpoint"), ('@app.route("/r_{k}")', "/r_{k}", "api_endpoint"),
+    ('@app.get("/r_{k}")', "/r_{k}", "api_endpoint"), ('path("r_{k}")', "r_{k}", "api_endpoint"), ('@GetMapping(value="/r_{k}")', "/r_{k}", "api_endpoint"), ('x.send("m_{k}")', "m_{k}", "message"),
+    ('x.publish("m_{k}")', "m_{k}", "message"), ('x.emit("m_{k}")', "m_{k}", "message"),
+]
+
+
+def _form_sql(forms: list[tuple], column: int, key: str) -> str:
+    listed = ", ".join("'" + f[column].replace("'", "''") + "'" for f in forms)
+    return f"replace([{listed}][{key} % {len(forms)} + 1], '{{k}}', {key}::VARCHAR)"
+
+
+def _form_files(spark, d, table: str, key: str, forms: list[tuple], before: str, after: str, ext: str):
+    text = F.element_at(F.array(*[F.lit(f[0]) for f in forms]), (F.col(key) % len(forms) + 1).cast("int"))
+    body = F.replace(F.concat(F.lit(before), text, F.lit(after)), F.lit("{k}"), F.col(key).cast("string"))
+    return P.table(spark, d, table).select(F.concat(F.lit("f/"), F.col(key).cast("string"), F.lit(ext)).alias("path"), body.alias("content"))
+
+
+@query("udf_forms", f"""
+SELECT 'f/' || c_custkey || '.scala' AS path, 'u_' || c_custkey AS name, 'Job' || c_custkey AS class_name, {i(2)} AS line, {_form_sql(_UDF_FORMS, 1, 'c_custkey')} AS registration_type FROM customer""")
+def udf_forms(spark, d):
+    return facts.udf_registrations(_form_files(spark, d, "customer", "c_custkey", _UDF_FORMS, "class Job{k} {\n  ", "\n}\n", ".scala"))
+
+
+@query("xml_load_forms", f"""
+SELECT 'f/' || c_custkey || '.scala' AS path, 'c/' || c_custkey || '.xml' AS xml_file, {i(2)} AS line, {_form_sql(_XML_FORMS, 1, 'c_custkey')} AS method,
+  'class Job' || c_custkey || ' {{   ' || {_form_sql(_XML_FORMS, 0, 'c_custkey')} || ' }}' AS context FROM customer""")
+def xml_load_forms(spark, d):
+    found = facts.xml_loaders(_form_files(spark, d, "customer", "c_custkey", _XML_FORMS, "class Job{k} {\n  ", "\n}\n", ".scala"))
+    return found.withColumn("context", F.when(F.col("context").startswith("class"), F.col("context")))
+
+
+@query("output_forms", f"""
+WITH f AS (SELECT o_orderkey AS k, string_split({_form_sql(_OUTPUT_FORMS, 2, 'o_orderkey')}, ' ') AS types FROM orders)
+SELECT {_form_sql(_OUTPUT_FORMS, 1, 'k')} AS name, unnest(types) AS output_type, 'f/' || k || '.py' AS path, {i(2)} AS line, {_form_sql(_OUTPUT_FORMS, 0, 'k')} AS context FROM f""")
+def output_forms(spark, d):
+    found = O.regex_outputs(_form_files(spark, d, "orders", "o_orderkey", _OUTPUT_FORMS, "\n", "\n", ".py"))
+    return found.select("name", "output_type", "path", "line", "context")
+
+
+@query("short_sql", f"""
+SELECT 'f/' || p_partkey || '.py' AS path, 'SELECT ' || repeat('a', p_partkey % 10) || ' FROM t' AS sql, {i(1)} AS line FROM part WHERE p_partkey % 10 > 6""")
+def short_sql(spark, d):
+    """Texts around the length that counts as SQL."""
+    body = F.concat(F.lit('q = "SELECT '), F.repeat(F.lit("a"), (F.col("p_partkey") % 10).cast("int")), F.lit(' FROM t"\n'))
+    files = P.table(spark, d, "part").select(F.concat(F.lit("f/"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), body.alias("content"))
+    return facts.embedded_sql(files).select("path", "sql", "line")
+
+
+@query("dispatch_field_counts", """
+SELECT 'ops_' || p_partkey AS struct, p_partkey % 4 AS n_fields, CAST(1 AS BIGINT) AS n_registrations FROM part WHERE p_partkey % 4 >= 2""")
+def dispatch_field_counts(spark, d):
+    """Structs with none to three pointer fields; one alone makes no dispatch table."""
+    k = F.col("p_partkey").cast("string")
+    fields = F.array_join(F.transform(F.slice(F.array(F.lit("a"), F.lit("b"), F.lit("c")), F.lit(1), (F.col("p_partkey") % 4).cast("int")), lambda f: F.concat(F.lit("  int (*"), f, F.lit("_"), k, F.lit(")(int);\n"))), "")
+    body = F.concat(F.lit("struct ops_"), k, F.lit(" {\n  int n;\n"), fields, F.lit("};\nvoid set(struct ops_"), k, F.lit(" *p) {\n  p->a_"), k, F.lit(" = h_"), k, F.lit(";\n}\n"))
+    files = P.table(spark, d, "part").select(F.concat(F.lit("f/"), k, F.lit(".c")).alias("path"), body.alias("content"))
+    return C.dispatch_tables(stage_table(C.pointer_fields(files)), stage_table(C.registrations(files)))
