@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import chat, packing, records
+from factloom.llm import chat, packing, pieces, records
 from factloom.llm.common import stage, table
 from factloom.llm.registry import query
 
@@ -44,3 +44,10 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = chat.canonical_turns(table(spark, sf_dir, "conversations")).unionByName(chat.canonical_turns(extra))
     stored = stage(chat.format_chat(turns))
     return chat.read_chat(stored.repartition("conv_id").sortWithinPartitions("conv_id", "piece"))
+
+
+@query("op4_sentencepiece")
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents by streaming Viterbi, and the digest of what they decode to."""
+    found = pieces.decode_documents(pieces.encode_documents(table(spark, sf_dir, "documents")))
+    return found.select("doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), F.sha2("text", 256).alias("decoded_sha256"))
