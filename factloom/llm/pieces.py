@@ -2,10 +2,10 @@
 
 The ids of a text are those of the segmentation with the greatest sum of piece
 scores (ties: the longer last piece). The search reads one character at a time and
-keeps a window of the longest piece's length: only starts from which some piece may
-still go on are alive. Whenever the best paths to all of them run through one
-boundary, the ids before it are committed and forgotten, so memory does not grow
-with the text.
+keeps a window of twice the longest piece's length: only starts from which some piece
+may still go on are alive. When none is, or the window is full, the boundary that the
+best paths to all of them run through is committed with the ids before it, which are
+then forgotten, so memory does not grow with the text.
 
 A character of no piece becomes its UTF-8 bytes, at a score below all pieces. Spaces
 are written as U+2581 with one before the text, and a U+2581 of the text itself as
@@ -34,6 +34,8 @@ SPACE = "▁"
 MAX_CUTS = 3 << 17
 BLOCK_CHARS = 1 << 20
 PENALTY = 10.0
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+SIGNS = ".,;:!?*$%&#|"
 
 
 def default_path() -> str:
@@ -52,6 +54,7 @@ class PieceCodec:
         self.pieces = {model.id_to_piece(i): (model.get_score(i), i) for i in plain}
         self.bytes = {int(model.id_to_piece(i)[1:-1], 16): i for i in range(n) if model.is_byte(i)}
         self.prefixes = {p[:k] for p in self.pieces for k in range(1, len(p))}
+        self.window = 2 * max(map(len, self.pieces))
         self.unknown = min(s for s, _ in self.pieces.values()) - PENALTY
         self.raw = [b""] * n
         for piece, (_, i) in self.pieces.items():
@@ -60,8 +63,11 @@ class PieceCodec:
             self.raw[i] = bytes([byte])
         inside = "".join(p for p in self.pieces if len(p) > 1)
         cut_lines = "\n" not in inside and not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.pieces)
-        # cuts that no piece crosses; a single cut where a vocabulary allows none
-        self.cuts = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+") if cut_lines else None
+        # cuts that no piece crosses: around line ends, before a space after another character, between a letter and some signs
+        after_letters = {y for p in self.pieces for x, y in zip(p, p[1:], strict=False) if re.match(f"[{LETTERS}]", x)}
+        signs = "".join(re.escape(c) for c in SIGNS if c not in after_letters)
+        word = f"{SPACE}*[{LETTERS}]+(?=[{signs}])|" if signs else ""
+        self.cuts = re.compile(f"\n|{word}{SPACE}*[^{SPACE}\n]+|{SPACE}+") if cut_lines else None
         self.max_cuts = max_cuts
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
@@ -71,39 +77,45 @@ class PieceCodec:
 
     def viterbi(self, chars: Iterable[str]) -> Iterator[list[int]]:
         """Ids of a stream of characters, committed boundary by boundary."""
-        pieces, prefixes = self.pieces, self.prefixes
+        pieces, prefixes, unknown = self.pieces, self.prefixes, self.unknown
         done = at = 0
-        score, back = {0: 0.0}, {}  # best score of each boundary in the window; where its last piece starts, and its ids
-        alive = {0: ""}  # starts of pieces that may still end: what they have read
+        score: dict[int, float] = {0: 0.0}  # best score of each boundary in the window
+        back: dict[int, tuple] = {}  # where its last piece starts, and its ids
+        alive = [(0, "")]  # starts of pieces that may still end, ascending, and what they have read
         for char in chars:
-            at += 1
-            best, start, ids = -np.inf, 0, None
-            going = {}
-            for s, read in alive.items():  # in ascending order, so ties go to the longer piece
+            before, at = at, at + 1
+            best, last = -np.inf, None
+            going = []
+            for start, read in alive:  # ties go to the longer piece
                 read += char
                 found = pieces.get(read)
-                if found and score[s] + found[0] > best:
-                    best, start, ids = score[s] + found[0], s, found[1]
+                if found is not None:
+                    total = score[start] + found[0]
+                    if total > best:
+                        best, last = total, (start, (found[1],))
                 if read in prefixes:
-                    going[s] = read
-            if char not in pieces and score[at - 1] + self.unknown > best:
-                best, start, ids = score[at - 1] + self.unknown, at - 1, self._of_char(char)
-            score[at], back[at] = best, (start, ids if isinstance(ids, list) else [ids])
-            going[at] = ""
+                    going.append((start, read))
+            if char not in pieces and score[before] + unknown > best:
+                best, last = score[before] + unknown, (before, self._of_char(char))
+            score[at], back[at] = best, last
+            if not going:  # all paths run through this boundary
+                yield self._path(back, done, at)
+                score, back, done = {at: 0.0}, {}, at
+            elif at - done > self.window:
+                # the boundary that the paths to all living starts have in common
+                ends = {start for start, _ in going} | {at}
+                while len(ends) > 1:
+                    far = max(ends)
+                    ends.remove(far)
+                    ends.add(back[far][0] if far > done else done)
+                (meet,) = ends
+                if meet > done:
+                    yield self._path(back, done, meet)
+                    base, done = score[meet], meet
+                    back = {k: v for k, v in back.items() if k > meet}
+                    score = {k: v - base for k, v in score.items() if k >= meet}
+            going.append((at, ""))
             alive = going
-            # the boundary that the paths to all living starts have in common
-            ends = set(alive)
-            while len(ends) > 1:
-                last = max(ends)
-                ends.remove(last)
-                ends.add(back[last][0] if last > done else done)
-            (meet,) = ends
-            if meet > done:
-                yield self._path(back, done, meet)
-                base = score[meet]
-                back = {k: v for k, v in back.items() if k > meet}
-                score = {k: v - base for k, v in score.items() if k >= meet}
-                done = meet
         if at > done:
             yield self._path(back, done, at)
 
