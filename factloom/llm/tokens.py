@@ -16,12 +16,12 @@ from functools import lru_cache
 
 import numpy as np
 
-# runs of letters in a generation; of whole words a fourth, as they are put together fast
-MAX_WORDS = 1 << 18
+# runs of letters, and whole words, in a generation
+MAX_WORDS = 3 << 17
 BLOCK_CHARS = 1 << 20
 _WORD = re.compile(r"[^ \t\n\r]+")
 # letters below U+0100, then signs that neither start a contraction nor a special token
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*$%&#|()\-]*)\Z")
+_PLAIN = re.compile(r"^([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*$%&#|()\-]*)$", re.M)
 
 
 def default_path() -> str:
@@ -58,7 +58,7 @@ class WordEncoder:
     def _learn_letters(self, words: set[str]) -> None:
         if len(self.letters) > self.max_words:
             self.letters, self.letters_before = {}, self.letters
-        new = _taken_over(words, self.letters, self.letters_before)
+        new = list(_taken_over(words, self.letters, self.letters_before))
         for i in range(0, len(new), 1000):
             some = new[i : i + 1000]
             (found,) = self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)
@@ -73,20 +73,24 @@ class WordEncoder:
                 self.letters.update(zip(some, self._one_by_one(some), strict=True))
 
     def _learn(self, words: list[str]) -> None:
-        if len(self.known) > self.max_words // 4:
+        if len(self.known) > self.max_words:
             self.known, self.known_before = {}, self.known
         new = _taken_over(words, self.known, self.known_before)
         if not new:
             return
-        plain = {w: (m[1].lower(), m[2]) for w in new if (m := _PLAIN.match(w))}
-        self._learn_letters({core for core, _ in plain.values()})
-        signs = list({s for _, s in plain.values() if s})
+        # words hold no line end, so they are matched as the lines of one text
+        plain = _PLAIN.findall("\n".join(new))
+        # letters below U+0100 are lower-cased one to one
+        cores = "\n".join([core for core, _ in plain]).lower().split("\n") if plain else []
+        self._learn_letters(set(cores))
+        signs = list({s for _, s in plain if s})
         ids_of = dict(zip(signs, self._one_by_one(signs), strict=True)) | {"": b""}
         known, letters = self.known, self.letters
-        for w, (core, s) in plain.items():
-            known[w] = letters[core] + ids_of[s]
-        rest = [w for w in new if w not in plain]
-        known.update(zip(rest, self._one_by_one(rest), strict=True))
+        for (core, s), low in zip(plain, cores, strict=True):
+            known[core + s] = letters[low] + ids_of[s]
+        if len(plain) < len(new):
+            rest = [w for w in new if w not in known]
+            known.update(zip(rest, self._one_by_one(rest), strict=True))
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers; a null text has none."""
@@ -97,16 +101,12 @@ class WordEncoder:
         return b"".join(parts)
 
 
-def _taken_over(words: Iterable[str], young: dict[str, bytes], old: dict[str, bytes]) -> list[str]:
+def _taken_over(words: Iterable[str], young: dict[str, bytes], old: dict[str, bytes]) -> set[str]:
     """The words that neither generation knows; those of the old one go to the young one."""
-    new = []
-    for w in set(words):
-        if w not in young:
-            found = old.get(w)
-            if found is None:
-                new.append(w)
-            else:
-                young[w] = found
+    missing = set(words).difference(young)
+    new = missing.difference(old)
+    back = missing - new
+    young.update(zip(back, map(old.__getitem__, back), strict=True))
     return new
 
 
