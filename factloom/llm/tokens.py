@@ -95,12 +95,23 @@ class WordEncoder:
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers; a null text has none."""
         parts = []
-        for words in word_blocks(text or ""):
+        for words in word_blocks(_folded(text or "")):
             self._learn(words)
             parts.append(b"".join([self.known[w] for w in words]))
         return b"".join(parts)
 
 
+def _folded(text: str) -> str:
+    """Lower-cased as the tokenizer does it, where that is one to one and no special token can be in the text; fewer words are then new."""
+    if "<" in text:
+        return text
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
 def _taken_over(words: Iterable[str], young: dict[str, bytes], old: dict[str, bytes]) -> set[str]:
     """The words that neither generation knows; those of the old one go to the young one."""
     missing = set(words).difference(young)
