@@ -25,7 +25,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, that with the least doc_id."""
+    """One document of each group of near copies stays, that with the least doc_id; five-word shingles count beside the fingerprints."""
     return simhash.keep_one(docs)
 
 

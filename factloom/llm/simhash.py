@@ -32,7 +32,7 @@ null. Repeated rows fall into one group. Other columns are not read.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.llm import shingles
 from factloom.llm.common import Rows, own_shuffle, prepare, stage, text_or_empty, values
 from factloom.llm.components import components
 
@@ -58,30 +59,49 @@ def _hash(shingle: bytes) -> int:
     return xxhash.xxh64_intdigest(shingle, SEED)
 
 
-def fingerprint(text: str | None, size: int = SHINGLE) -> int:
-    """Majority of the bits of all shingles' hashes; words are read in blocks."""
-    ones, total, kept = np.zeros(64, np.int64), 0, []
+def _hashes(text: str | None, size: int) -> Iterator[np.ndarray]:
+    """Hashes of all shingles in order; words are read in blocks. A text of fewer words is one shingle."""
+    kept: list[bytes] = []
     block: list[bytes] = []
+    short = True
 
-    def count(words: list[bytes]) -> int:
-        nonlocal ones
-        hashes = np.fromiter((_hash(s) for s in map(b" ".join, zip(*(words[k:] for k in range(size)), strict=False))), np.uint64)
-        ones += np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        return len(hashes)
+    def of(words: list[bytes]) -> np.ndarray:
+        return np.fromiter((_hash(s) for s in map(b" ".join, zip(*(words[k:] for k in range(size)), strict=False))), np.uint64)
 
     for word in _words(text or ""):
         block.append(word)
         if len(block) >= _BLOCK:
-            total += count(kept + block)
-            kept, block = (kept + block)[-(size - 1) :] if size > 1 else [], []
+            yield of(kept + block)
+            kept, block, short = (kept + block)[-(size - 1) :] if size > 1 else [], [], False
     words = kept + block
-    if total == 0 and 0 < len(words) < size:
-        return _hash(b" ".join(words))
     if len(words) >= size:
-        total += count(words)
+        yield of(words)
+    elif short and words:
+        yield np.array([_hash(b" ".join(words))], np.uint64)
+
+
+def _majority(parts: Iterable[np.ndarray]) -> int:
+    ones, total = np.zeros(64, np.int64), 0
+    for hashes in parts:
+        ones += np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        total += len(hashes)
     return int(_BITS[2 * ones > total].sum()) if total else 0
 
 
+def fingerprint(text: str | None, size: int = SHINGLE) -> int:
+    """Majority of the bits of all shingles' hashes."""
+    return _majority(_hashes(text, size))
+
+
+def _threes(text: str | None) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.uint64), *_hashes(text, 3)])
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    """Numbers of the distinct five-word shingles of a text."""
+    return shingles.shingle_set(_threes(text))
+
+
 def _words(text: str) -> Iterator[bytes]:
     """Words as UTF-8. On bytes, lower() changes A-Z alone and split() cuts at the six ASCII spaces alone."""
     data = text.encode().lower()
@@ -209,23 +229,57 @@ def links(distinct: DataFrame) -> DataFrame:
     return pairs.distinct()
 
 
+def _placed(found: DataFrame) -> DataFrame:
+    """fp, its least doc_id (low) and its component's least fingerprint."""
+    groups = found.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    member = components(links(stage(groups.select("fp"))))
+    return groups.join(member, groups.fp == member.node, "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
+
+
 def simhash_components(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """doc_id, fp and component_id (least doc_id reachable) of every row."""
     found = stage(fingerprints(docs, size))
-    groups = found.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    member = components(links(stage(groups.select("fp"))))
-    placed = groups.join(member, groups.fp == member.node, "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
+    placed = _placed(found)
     least = placed.groupBy("component").agg(F.min("low").alias("component_id"))
     named = stage(placed.join(own_shuffle(least, "component"), "component").select("fp", "component_id"))
     return found.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def sketches(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """doc_id, fp, the text's hash t, its number n of five-word shingles and their band keys of every row; narrow."""
+    prepare(docs.sparkSession)
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("t", pa.int64()), ("n", pa.int64()), ("bands", pa.list_(pa.int64()))])
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = Rows(schema)
+            for doc_id, t, text in values(batch, "doc_id", "t", "text"):
+                threes = _threes(text)
+                found = shingles.shingle_set(threes)
+                out.add((doc_id, signed(_majority([threes]) if size == 3 else fingerprint(text, size)), t, len(found), shingles.band_keys(found)))
+            yield out.take()
+
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text_or_empty()).alias("t"), text_or_empty().alias("text"))
+    return rows.mapInArrow(compute, "doc_id bigint, fp bigint, t bigint, n bigint, bands array<bigint>")
+
+
+def near_components(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """doc_id, t and component of every row: fingerprints within RADIUS, or five-word shingles alike (``shingles``), linked."""
+    found = stage(sketches(docs, size))
+    placed = stage(_placed(found).select("fp", "component"))
+    texts = stage(found.filter("n > 0").select("t", "fp", "n").distinct().join(placed, "fp").select("t", F.col("component").alias("c"), "n"))
+    keyed = found.filter("n > 0").select("t", F.explode("bands").alias("key"))
+    member = components(shingles.links(docs, texts, keyed, shingle_set))
+    joined = placed.join(member, placed.component == member.node, "left").select("fp", F.coalesce(member.component, placed.component).alias("component"))
+    return found.select("doc_id", "fp", "t").join(stage(joined), "fp").select("doc_id", "t", "component")
+
+
 def keep_one(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """One row of each component, with its own columns: that whose doc_id names it; of repeated rows one stays.
+    """One row of each component (``near_components``), with its own columns: that with the least doc_id; of repeated rows one stays.
 
     Components without any doc_id keep all their rows, as nothing tells them apart.
     """
-    named = simhash_components(docs, size).select("doc_id", "component_id").distinct()
-    kept = named.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept_id"))
+    found = stage(near_components(docs, size))
+    kept = found.groupBy("component").agg(F.min("doc_id").alias("_kept_id")).select("_kept_id").distinct()
     without = docs.filter("doc_id is null")
     return docs.join(kept, docs.doc_id == kept["_kept_id"], "left_semi").dropDuplicates(["doc_id"]).unionByName(without)
