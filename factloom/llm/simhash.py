@@ -275,11 +275,15 @@ def near_components(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """One row of each component (``near_components``), with its own columns: that with the least doc_id; of repeated rows one stays.
+    """One row of each component (``near_components``), with its own columns.
 
-    Components without any doc_id keep all their rows, as nothing tells them apart.
+    The row with the least doc_id stays, of several that with the least hash of
+    the text; a row without doc_id stays only where its component has none with
+    one. Of rows that repeat doc_id and text one stays.
     """
-    found = stage(near_components(docs, size))
-    kept = found.groupBy("component").agg(F.min("doc_id").alias("_kept_id")).select("_kept_id").distinct()
-    without = docs.filter("doc_id is null")
-    return docs.join(kept, docs.doc_id == kept["_kept_id"], "left_semi").dropDuplicates(["doc_id"]).unionByName(without)
+    found = near_components(docs, size)
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("row"))
+    kept = first.select(F.col("row.doc_id").alias("_kept_id"), F.col("row.t").alias("_kept_text"))
+    rows = docs.withColumn("_own_text", F.xxhash64(text_or_empty()))
+    of_kept = (rows["_own_text"] == kept["_kept_text"]) & rows["doc_id"].eqNullSafe(kept["_kept_id"])
+    return rows.join(kept, of_kept, "left_semi").dropDuplicates(["doc_id", "_own_text"]).select(*docs.columns)

@@ -53,3 +53,13 @@ def test_sets_and_similarity():
         assert len(x) == len(five(a))
         both = len(five(a) & five(b))
         assert simhash.shingles.similarity(x, y) == (both / (len(five(a)) + len(five(b)) - both) if both else 0.0)
+
+
+def test_keep_one_with_repeated_and_missing_ids(spark):
+    docs = [
+        (1, "one clean text of its own"), (1, "quite another text that stays"),
+        (2, "a text with a copy"), (None, "a text with a copy"),
+        (None, "copies without any number"), (None, "copies without any number"),
+    ]
+    kept = simhash.keep_one(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    assert sorted(map(tuple, kept), key=repr) == sorted([docs[0], docs[1], docs[2], docs[4]], key=repr)
