@@ -181,7 +181,7 @@ def generate_and_refine(
 
 
 def report(spark: SparkSession, out: str, t: dict[str, DataFrame], analyses: DataFrame, title: str, metadata: dict[str, DataFrame],
-           architecture: str = "", flows: str = "") -> None:
+           architecture: str | DataFrame = "", flows: str | DataFrame = "") -> None:
     """Stage 4: the final document, one text and page per module, the output report."""
     guide = R.rebuild_guide(metadata["totals"], metadata["primary_language"])
     R.write_document(R.final_document(analyses, title, architecture, flows, guide), f"{out}/report")
@@ -234,6 +234,6 @@ def run(
         t |= texts_over_modules(out, t, t["analyses"], make_client)
     if last >= 4 and "analyses" in t:
         metadata = metadata or recon(spark, root, out)
-        text = lambda name: next((r.text for r in t[name].take(1)), "") if name in t else ""
+        text = lambda name: R.part_texts(t[name]) if name in t else ""
         report(spark, out, t, t["analyses"], title, metadata, text("synthesis"), text("cross_flows"))
     return {**metadata, **t}

@@ -10,7 +10,7 @@ from factloom.operators import callbacks as C, extract as X, facts, markdown as
 from factloom.plans import corpus as P, reports as R
 from factloom.plans.q_code import CB, JB, PB, SB, XB, _PY_OUTPUTS, callback_facts, i, python_graph, rows
 from factloom.plans.q_text import _paths
-from factloom.plans.registry import query
+from factloom.plans.registry import ORACLES, query
 from factloom.session import stage_table
 
 NL = " || chr(10) || "
@@ -443,4 +443,25 @@ def flow_prompts(spark, d):
     part = P.table(spark, d, "part")
     texts = part.select(F.concat(F.lit("m_"), F.col("p_partkey").cast("string")).alias("module"), F.concat(F.lit("## Core flow\n"), "p_name").alias("markdown"))
     none = R._lines(texts.where("false"), 1, 0, 0, F.col("module"), F.col("markdown"))
-    return R.flow_prompts(graph, none, texts)
+    return R.flow_prompts(graph, none, texts, budget=60_000)
+
+
+@query("flow_prompt_parts", f"""
+WITH a AS (
+SELECT 0 AS s, 'm_' || p_partkey AS pos, '### m_' || p_partkey || chr(10) || '## Core flow' || chr(10) || p_name || chr(10) AS line FROM part
+UNION ALL SELECT section, pos, line || chr(10) FROM ({ORACLES["all_callbacks"]})
+UNION ALL SELECT 9, path || chr(9) || printf('%015d', seq) || chr(9) || callee, '  `run_' || k || '` → `' || callee || '` @ ' || path || ':' || (16 + seq) || chr(10)
+  FROM (SELECT path, k, unnest([0, 1]) AS seq, unnest(['p->handler', 'helper_' || s]) AS callee FROM {CB})),
+b AS (SELECT *, coalesce(sum(length(line)) OVER (ORDER BY s, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM a),
+p AS (SELECT CAST(floor(before / {R.PART_CHARS}) + 1 AS BIGINT) AS part, string_agg(line, '' ORDER BY s, pos) AS facts FROM b GROUP BY part)
+SELECT CASE WHEN (SELECT max(part) FROM p) = 1 THEN 'flows' ELSE 'flows_part' || part END AS module, '{R.SYSTEM}' AS system,
+  'Describe the flows that cross modules, from these facts.' || chr(10) || chr(10) || facts AS "user" FROM p""")
+def flow_prompt_parts(spark, d):
+    files = P.c_files(spark, d)
+    direct = X.direct_calls(X.extract(files))
+    graph = stage_table(X.call_graph(direct, direct.where("false"), C.indirect_edges(C.indirect_calls(files), C.registrations(files)).where("false")))
+    part = P.table(spark, d, "part")
+    texts = part.select(F.concat(F.lit("m_"), F.col("p_partkey").cast("string")).alias("module"), F.concat(F.lit("## Core flow\n"), "p_name").alias("markdown"))
+    fields, regs, calls = callback_facts(spark, d)
+    lines = R.all_callbacks(C.dispatch_tables(fields, regs), C.dispatch_callbacks(fields, regs), regs, calls)
+    return R.flow_prompts(graph, lines, texts)

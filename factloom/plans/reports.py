@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from factloom import fixed_values as V
 from factloom.functions import text as T
 from factloom.operators import markdown as M
-from factloom.operators.ordered import char_budget, global_rank, top_k
+from factloom.operators.ordered import char_budget, global_rank, running_sum, top_k
 from factloom.operators.outputs import type_histogram
 from factloom.session import stage_table
 
@@ -283,13 +283,22 @@ def rebuild_guide(totals: DataFrame, primary: DataFrame) -> DataFrame:
     return totals.select(guide.alias("guide"))
 
 
+def _chapter(spark: SparkSession, section: int, heading: str, text: str | DataFrame) -> DataFrame:
+    head = ["---", "", heading, ""]
+    if isinstance(text, str):
+        return _fixed(spark, section, [*head, *text.split("\n"), ""])
+    rows = text.select("part", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    body = _lines(rows, section, F.col("part"), 1, F.format_string("%09d", "at"), F.col("line"))
+    return _stack([_fixed(spark, section, head, -1), body, _fixed(spark, section, [""], 1 << 62)])
+
+
 def final_document(
-    analyses: DataFrame, title: str, architecture: str = "", flows: str = "", guide: DataFrame | None = None
+    analyses: DataFrame, title: str, architecture: str | DataFrame = "", flows: str | DataFrame = "", guide: DataFrame | None = None
 ) -> DataFrame:
     """The whole report with a table of contents, as lines.
 
     Module texts are shifted below their own heading and repaired; modules come
-    in name order.
+    in name order. ``architecture`` and ``flows`` are texts, or tables (part, text).
     """
     spark = analyses.sparkSession
     shifted = M.normalize_headings(analyses.select("module", "markdown"), ["module"], "markdown", 4, "markdown")
@@ -313,8 +322,8 @@ def final_document(
         _fixed(spark, 0, [f"# {title}", ""]),
         _fixed(spark, 1, ["- [1. Architecture](#1-architecture)", "- [2. Flows across modules](#2-flows-across-modules)", "- [3. Modules](#3-modules)"], low),
         _fixed(spark, 1, ["- [4. Rebuild guide](#4-rebuild-guide)", ""], high),
-        _fixed(spark, 2, ["---", "", "## 1. Architecture", "", *architecture.split("\n"), ""]),
-        _fixed(spark, 3, ["---", "", "## 2. Flows across modules", "", *flows.split("\n"), ""]),
+        _chapter(spark, 2, "## 1. Architecture", architecture),
+        _chapter(spark, 3, "## 2. Flows across modules", flows),
         _fixed(spark, 4, ["---", "", "## 3. Modules", ""], low),
         _fixed(spark, 5, ["", "---", "", "## 4. Rebuild guide", ""], low),
         toc_heads, toc_body, heads, body,
@@ -394,12 +403,31 @@ def module_prompts(files: DataFrame, order: str, index: DataFrame, preview: Data
     return whole.select("module", F.lit(SYSTEM).alias("system"), user.alias("user"))
 
 
-def _one_prompt(lines: DataFrame, name: str, task: str, budget: int) -> DataFrame:
-    """(module, system, user) from report lines, as far as the budget of characters goes."""
+PART_CHARS = 60_000
+
+
+def _prompts(lines: DataFrame, name: str, task: str, budget: int | None, part_chars: int) -> DataFrame:
+    """(module, system, user) from report lines: numbered parts that together hold every line.
+
+    A part has the lines that begin within its ``part_chars`` characters of the
+    whole text, so no line is cut; a line longer than that leaves numbers out. A
+    single part keeps the plain name. With a ``budget`` the facts end there.
+    """
     ranked = global_rank(lines, KEYS, "ord").select(F.lit(name).alias("module"), "ord", F.concat("line", F.lit("\n")).alias("line"))
-    kept = char_budget(ranked, ["module"], "ord", "line", budget, 0)
+    if budget is not None:
+        ranked = char_budget(ranked, ["module"], "ord", "line", budget, 0)
+    placed = running_sum(ranked, ["module"], "ord", F.length("line").cast("bigint"), "_before", before_only=True)
+    parts = placed.withColumn("part", (F.floor(F.col("_before") / part_chars) + 1).cast("bigint"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "line"))), lambda r: r["line"]), "")
-    return kept.groupBy("module").agg(text.alias("_facts")).select("module", F.lit(SYSTEM).alias("system"), F.concat(F.lit(task + "\n\n"), "_facts").alias("user"))
+    made = stage_table(parts.groupBy("module", "part").agg(text.alias("_facts")))
+    whole = made.join(made.groupBy("module").agg(F.max("part").alias("_last")), "module")
+    numbered = F.when(F.col("_last") == 1, F.col("module")).otherwise(F.concat("module", F.lit("_part"), F.col("part").cast("string")))
+    return whole.select(numbered.alias("module"), F.lit(SYSTEM).alias("system"), F.concat(F.lit(task + "\n\n"), "_facts").alias("user"))
+
+
+def part_texts(texts: DataFrame) -> DataFrame:
+    """(part, text) of texts made from numbered prompts, for ``final_document``."""
+    return texts.select(F.coalesce(F.regexp_extract("module", r"_part(\d+)$", 1).try_cast("bigint"), F.lit(1)).alias("part"), "text")
 
 
 def summaries(analyses: DataFrame, section: int, max_chars: int = 2000) -> DataFrame:
@@ -419,15 +447,15 @@ def all_callbacks(tables: DataFrame, callbacks: DataFrame, regs: DataFrame, call
     return _stack([heads, filled, made, used])
 
 
-def flow_prompts(calls: DataFrame, callbacks: DataFrame, analyses: DataFrame, budget: int = 60_000) -> DataFrame:
-    """The prompt for flows across modules: summaries, then callback facts (``all_callbacks``), then call edges."""
+def flow_prompts(calls: DataFrame, callbacks: DataFrame, analyses: DataFrame, budget: int | None = None, part_chars: int = PART_CHARS) -> DataFrame:
+    """The prompts for flows across modules: summaries, then callback facts (``all_callbacks``), then call edges."""
     edges = _lines(
         calls, 9, F.when(F.col("edge_type") == "indirect", 1).otherwise(0), 0, F.concat("path", F.lit("\t"), F.format_string("%015d", "edge_seq"), F.lit("\t"), "callee"),
         F.concat(F.lit("  `"), "caller", F.lit("` → `"), "callee", F.lit("` @ "), "path", F.lit(":"), F.col("line").cast("string")),
     )
-    return _one_prompt(_stack([summaries(analyses, 0), callbacks, edges]), "flows", "Describe the flows that cross modules, from these facts.", budget)
+    return _prompts(_stack([summaries(analyses, 0), callbacks, edges]), "flows", "Describe the flows that cross modules, from these facts.", budget, part_chars)
 
 
-def synthesis_prompts(context: DataFrame, analyses: DataFrame, budget: int = 60_000) -> DataFrame:
-    """The prompt for the architecture: summaries, then the facts a text must agree with (``structured_context``)."""
-    return _one_prompt(_stack([summaries(analyses, 0), context]), "architecture", "Describe the architecture, from these facts.", budget)
+def synthesis_prompts(context: DataFrame, analyses: DataFrame, budget: int | None = None, part_chars: int = PART_CHARS) -> DataFrame:
+    """The prompts for the architecture: summaries, then the facts a text must agree with (``structured_context``)."""
+    return _prompts(_stack([summaries(analyses, 0), context]), "architecture", "Describe the architecture, from these facts.", budget, part_chars)
