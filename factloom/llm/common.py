@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -40,6 +41,12 @@ def shared_folder(spark: SparkSession) -> str:
     return ensure_checkpoint_dir(spark).rstrip("/")
 
 
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """The name of a new folder in the cluster's shared one, as a URI that workers can open."""
+    root = shared_folder(prepare(spark))
+    return f"{root if '://' in root or root.startswith('/') else root.replace('file:', '', 1)}/factloom-{kind}-{uuid.uuid4().hex}"
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with the value computed once, also where a lambda uses it."""
     return F.transform(F.array(value), body)[0]
