@@ -192,8 +192,8 @@ def compress(vectors: DataFrame, parts: int = PARTS, entries: int = ENTRIES, rou
 
 def with_label_error(coded: DataFrame) -> DataFrame:
     """``label_error``: the errors summed over all rows of a label; null labels are one."""
-    least = F.least(F.sum(F.col("error").cast("decimal(38,0)")), F.lit(_TOP).cast("decimal(38,0)")).cast("bigint")
-    sums = coded.groupBy(F.xxhash64("label").alias("spot"), F.col("label").alias("_of")).agg(F.coalesce(least, F.lit(0)).cast("bigint").alias("label_error"))
+    total = F.coalesce(F.sum(F.col("error").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))
+    sums = coded.groupBy(F.xxhash64("label").alias("spot"), F.col("label").alias("_of")).agg(F.least(total, F.lit(_TOP).cast("decimal(38,0)")).cast("bigint").alias("label_error"))
     sums = own_shuffle(sums, "spot").withColumnRenamed("spot", "_at")
     joined = coded.withColumn("_spot", F.xxhash64("label")).join(sums, (F.col("_spot") == F.col("_at")) & F.col("label").eqNullSafe(F.col("_of")))
     return joined.select("vec_id", "label", "code", "error", "label_error")
