@@ -182,14 +182,17 @@ def generate_and_refine(
 
 def report(spark: SparkSession, out: str, t: dict[str, DataFrame], analyses: DataFrame, title: str, metadata: dict[str, DataFrame],
            architecture: str | DataFrame = "", flows: str | DataFrame = "") -> None:
-    """Stage 4: the final document, one text and page per module, the output report."""
+    """Stage 4: the final document and the output report as text and HTML, one text and page per module."""
     guide = R.rebuild_guide(metadata["totals"], metadata["primary_language"])
-    R.write_document(R.final_document(analyses, title, architecture, flows, guide), f"{out}/report")
+    outputs = R.io_flow_document(t["outputs"], t["output_inputs"], title, analyses)
+    for name, lines in (("report", R.final_document(analyses, title, architecture, flows, guide)), ("io_flows", outputs)):
+        lines = stage_table(lines)
+        R.write_document(lines, f"{out}/{name}")
+        R.write_document(R.html_document(lines, title), f"{out}/{name}_html")
     pages = R.html_pages(analyses, ["module"], "markdown", F.col("module"))
     pages.write.mode("overwrite").parquet(f"{out}/module_pages")
     single = M.normalize_headings(analyses, ["module"], "markdown", 1, "markdown")
     single.write.mode("overwrite").parquet(f"{out}/module_texts")
-    R.write_document(R.io_flow_document(t["outputs"], t["output_inputs"], title), f"{out}/io_flows")
 
 
 # tables of stages 1 and 1.5, as a later stage reads them back

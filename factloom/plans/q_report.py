@@ -307,6 +307,68 @@ def io_flow_document(spark, d):
     return R.io_flow_document(found, inputs, "Orders")
 
 
+def _html_sql(base: str, title: str) -> str:
+    """DuckDB SQL for the page of a report whose lines ``base`` gives."""
+    def each(x: str, *steps: tuple[str, str]) -> str:
+        for pattern, by in steps:
+            x = f"regexp_replace({x}, '{pattern}', '{by}', 'g')"
+        return x
+
+    def escaped(x: str) -> str:
+        for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#x27;")):
+            x = f"replace({x}, '{a}', '{b}')"
+        return x
+
+    inline = lambda x: each(x, (r"\*\*(.+?)\*\*", r"<strong>\1</strong>"), (r"\*(.+?)\*", r"<em>\1</em>"), (r"`([^`]+)`", r"<code>\1</code>"), (r"\[([^\]]+)\]\(([^)]+)\)", r'<a href="\2">\1</a>'))
+    anchor = lambda x: each(f"translate(lower(replace({x}, '`', '')), ' .', '--')", ("[^a-z0-9_-]", ""), ("-{2,}", "-"), ("^-|-$", ""))
+    cells = each("bare", (r"^\|+|\|+$", ""))
+    row = lambda t: f"'<tr>' || array_to_string(list_transform(string_split({cells}, '|'), lambda x: '<{t}>' || {inline(escaped('trim(x)'))} || '</{t}>'), '') || '</tr>'"
+    item = each("text", (r"^\s*(?:[-*+]|\d+[.)])\s+", ""))
+    ends = "[NULL, '</p>', '</table>', '</ul>', '</ol>', '</code></pre>', '</div>']"
+    clean = each("title", ("`([^`]*)`", r"\1"), (r"\*\*(.+?)\*\*", r"\1"), (r"\*(.+?)\*", r"\1"))
+    return rf"""
+WITH base AS ({base}), single AS (
+  SELECT section, n, sub, pos, unnest(string_split(line, chr(10))) AS text, generate_subscripts(string_split(line, chr(10)), 1) AS k FROM base
+), c AS (
+  SELECT row_number() OVER (ORDER BY section, n, sub, pos, k) - 1 AS ln, text, trim(text) AS bare FROM single
+), f AS (
+  SELECT *, starts_with(bare, '```') AS fence, count(*) FILTER (starts_with(bare, '```')) OVER (ORDER BY ln ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) % 2 = 1 AS inside FROM c
+), g AS (
+  SELECT *, last_value(CASE WHEN fence AND NOT inside THEN CASE WHEN starts_with(bare, '```mermaid') THEN 6 ELSE 5 END END IGNORE NULLS)
+      OVER (ORDER BY ln ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS opened,
+    CASE WHEN starts_with(bare, '```mermaid') THEN 'd' WHEN fence THEN 'c' WHEN bare = '' THEN 'e' WHEN regexp_matches(text, '^#{{1,6}}\s+.*$') THEN 'h' WHEN regexp_matches(bare, '^[-*_]{{3,}}$') THEN 'r'
+      WHEN starts_with(bare, '|') THEN CASE WHEN regexp_matches(bare, '^[|:\s-]+$') THEN 's' ELSE 't' END
+      WHEN regexp_matches(text, '^\s*[-*+]\s+') THEN 'u' WHEN regexp_matches(text, '^\s*\d+[.)]\s+') THEN 'o' WHEN regexp_matches(bare, '^</?(details|summary)') THEN 'w' ELSE 'p' END AS cls FROM f
+), o AS (
+  SELECT *, CASE cls WHEN 'p' THEN 1 WHEN 't' THEN 2 WHEN 'u' THEN 3 WHEN 'o' THEN 4 WHEN 'c' THEN 5 WHEN 'd' THEN 6
+    WHEN 's' THEN CASE WHEN lag(cls) OVER (ORDER BY ln) = 't' THEN 2 ELSE 0 END ELSE 0 END AS own FROM g
+), a AS (
+  SELECT *, CASE WHEN NOT inside THEN own WHEN fence THEN 0 ELSE opened END AS after FROM o
+), st AS (
+  SELECT *, lag(after, 1, 0) OVER (ORDER BY ln) AS s, {each("text", (r"^(#{1,6})\s+(.*)$", r"\2"))} AS title, length(regexp_extract(text, '^(#{{1,6}})\s', 1)) AS level FROM a
+), html AS (
+  SELECT ln, CASE WHEN inside THEN [CASE WHEN fence THEN {ends}[s + 1] ELSE {escaped("text")} END] ELSE list_filter([
+    CASE WHEN own <> s THEN {ends}[s + 1] END,
+    CASE WHEN own <> s THEN ['<p>', '<table>', '<ul>', '<ol>', '<pre><code' || CASE WHEN length(bare) > 3 THEN ' class="language-' || {escaped("trim(bare[4:])")} || '"' ELSE '' END || '>', '<div class="mermaid">'][own] END,
+    CASE cls WHEN 'h' THEN '<h' || level || ' id="' || {anchor("title")} || '">' || {inline("title")} || '</h' || level || '>' WHEN 'r' THEN '<hr>' WHEN 't' THEN CASE WHEN s = 2 THEN {row("td")} ELSE {row("th")} END
+      WHEN 'u' THEN '<li>' || {inline(item)} || '</li>' WHEN 'o' THEN '<li>' || {inline(item)} || '</li>' WHEN 'w' THEN text WHEN 'p' THEN {inline("text")} END], lambda x: x IS NOT NULL) END AS l FROM st
+), page AS (
+  SELECT 0 AS section, 0 AS n, 0 AS sub, unnest(['0000', '0001', '0002', '0003']) AS pos, unnest(['<!DOCTYPE html>', '<html>', '<head>', '<meta charset="utf-8">']) AS line
+  UNION ALL SELECT 0, 1, 0, '0', '<title>{title}</title>' || chr(10) || '<style>{R._STYLE}</style>' || chr(10) || '</head>' || chr(10) || '<body>' || chr(10) || '<nav>'
+  UNION ALL SELECT 1, ln, 0, '0', '<a href="#' || {anchor("title")} || '" style="padding-left:' || (level * 16 - 16) || 'px">' || {escaped(clean)} || '</a>' FROM st WHERE cls = 'h' AND NOT inside AND level > 1
+  UNION ALL SELECT 2, 0, 0, unnest(['0000', '0001']), unnest(['</nav>', '<main>'])
+  UNION ALL SELECT 3, ln, generate_subscripts(l, 1) - 1, '0', unnest(l) FROM html
+  UNION ALL SELECT 3, 4611686018427387904, 0, '0', {ends}[after + 1] FROM (SELECT after FROM st ORDER BY ln DESC LIMIT 1) WHERE after > 0
+  UNION ALL SELECT 4, 0, 0, unnest(['0000', '0001', '0002']), unnest(['</main>', '</body>', '</html>'])
+)
+SELECT CAST(section AS INTEGER) AS section, CAST(n AS BIGINT) AS n, CAST(sub AS INTEGER) AS sub, pos, line FROM page"""
+
+
+@query("io_flow_html", _html_sql(ORACLES["io_flow_document"], "Orders"))
+def io_flow_html(spark, d):
+    return R.html_document(io_flow_document(spark, d), "Orders")
+
+
 _CTX_HEADS = "['## Public interface per module', '## Verified calls', '## Imports', '## Registered UDFs', '## XML files loaded', '## SQL in XML']"
 
 
@@ -385,6 +447,11 @@ def final_document(spark, d):
     return R.final_document(P.module_texts(spark, d), "Parts", "Layers.", "Flows.").where("section < 6")
 
 
+@query("final_html", _html_sql(ORACLES["final_document"], "Parts"))
+def final_html(spark, d):
+    return R.html_document(final_document(spark, d), "Parts")
+
+
 @query("module_prompts", f"""
 WITH b AS (SELECT c_custkey AS file_seq, 'java/' || lower(c_mktsegment) AS module, 'java/' || lower(c_mktsegment) || '/Customer' || c_custkey || '.java' AS path,
   {_JAVA_SQL} AS content, CAST(c_custkey AS VARCHAR) AS k, CAST(c_nationkey AS VARCHAR) AS n FROM customer),

@@ -179,8 +179,12 @@ def correction_prompts(texts: DataFrame, validated: DataFrame, keys: list[str],
 
 # output report --------------------------------------------------------------
 
-def io_flow_document(outputs: DataFrame, inputs: DataFrame, title: str) -> DataFrame:
-    """Overview, detail and statistics of all output points, as report lines."""
+def io_flow_document(outputs: DataFrame, inputs: DataFrame, title: str, analyses: DataFrame | None = None) -> DataFrame:
+    """Overview, detail and statistics of all output points, as report lines.
+
+    With ``analyses`` (module, markdown) each detail ends with the key lines of
+    the analysis its file belongs to (``related_analyses``).
+    """
     spark = outputs.sparkSession
     key = ["name", "output_type", "path", "line"]
     from factloom.operators.outputs import confidence_rank
@@ -236,7 +240,15 @@ def io_flow_document(outputs: DataFrame, inputs: DataFrame, title: str) -> DataF
         _fixed(spark, 2, ["", "## 2. Details", ""], low),
         _fixed(spark, 3, ["", "## 3. Summary", "", "| Type | Outputs |", "|---|---|"], low),
     ])
-    return _stack([heads, overview, detail, sources, context, types, summary])
+    parts = [heads, overview, detail, sources, context, types, summary]
+    if analyses is not None:
+        # key lines once a file, beside each of its outputs
+        about = stage_table(related_analyses(outputs, analyses))
+        named = about.where("rank = 1").select("path", F.col("module").alias("_module"))
+        top = F.concat(F.lit("#### From the analysis of `"), T.display_name(F.col("_module")), F.lit("`"))
+        parts.append(_lines(ordered.join(named, "path"), 2, F.col("ord"), 3, F.lit("0"), top))
+        parts.append(_lines(ordered.select("path", "ord").join(about, "path"), 2, F.col("ord"), 4, F.format_string("%09d", "rank"), F.col("line")))
+    return _stack(parts)
 
 
 def related_analyses(outputs: DataFrame, analyses: DataFrame, max_lines: int | None = None) -> DataFrame:
@@ -375,6 +387,32 @@ def html_pages(texts: DataFrame, keys: list[str], text: str, title: Column, out:
     return whole.select(*keys, page.alias(out))
 
 
+_PAGE_HEAD = ('<!DOCTYPE html>', '<html>', '<head>', '<meta charset="utf-8">')
+
+
+def html_document(lines: DataFrame, title: str, keys: list[str] = KEYS) -> DataFrame:
+    """A whole report as an HTML page, itself a relation of ordered lines: head, sidebar from its headings, body.
+
+    Rows of several lines are cut into them; lines are placed by rank, converted
+    where they lie (``line_html``), and never put together.
+    """
+    from factloom.operators.line_html import html_lines
+
+    spark = lines.sparkSession
+    single = lines.select(*keys, F.posexplode(F.split("line", "\n")).alias("k", "text"))
+    placed = global_rank(single, [*keys, "k"], "at").select(F.lit("").alias("doc"), "at", F.col("text").alias("line"))
+    body, heads = html_lines(placed, "doc", "at", "line")
+    clean = F.regexp_replace(F.regexp_replace(F.regexp_replace("title", r"`([^`]*)`", "$1"), r"\*\*(.+?)\*\*", "$1"), r"\*(.+?)\*", "$1")
+    link = F.concat(
+        F.lit('<a href="#'), "anchor", F.lit('" style="padding-left:'), (F.col("level") * 16 - 16).cast("string"), F.lit('px">'), T.ellipsis(T.escape_html(clean)), F.lit("</a>"))
+    name = T.escape_html(F.lit(title))
+    head = _lines(spark.range(1), 0, 1, 0, F.lit("0"), F.concat(F.lit("<title>"), name, F.lit(f"</title>\n<style>{_STYLE}</style>\n</head>\n<body>\n<nav>")))
+    return _stack([
+        _fixed(spark, 0, list(_PAGE_HEAD)), head, _lines(heads, 1, F.col("at"), 0, F.lit("0"), link), _fixed(spark, 2, ["</nav>", "<main>"]),
+        _lines(body, 3, F.col("at"), F.col("part"), F.lit("0"), F.col("html")), _fixed(spark, 4, ["</main>", "</body>", "</html>"]),
+    ])
+
+
 # prompts --------------------------------------------------------------------
 
 SYSTEM = "You describe source code. State only what the facts below support, and mark guesses as guesses."

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import sys
 import time
 from pathlib import Path
@@ -18,7 +19,7 @@ if __name__ == "__main__":
     sf = f"/root/testdata/{sys.argv[1] if len(sys.argv) > 1 else 'sf0.01'}"
     names = sys.argv[2:] or list(entry.queries())
     spark = build_session(
-        master="local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="12g",
+        master=os.environ.get("CHECK_MASTER", "local[8]"), spark__sql__shuffle__partitions="8", spark__driver__memory="12g",
         spark__ui__enabled="false", spark__ui__showConsoleProgress="false",
     )
     spark.sparkContext.setLogLevel("ERROR")
