@@ -17,8 +17,8 @@ from factloom.operators import (
 from factloom.operators.ordered import global_rank
 from factloom.plans import reports as R
 from factloom.functions import text as T
-from factloom.session import stage_table
-from factloom.sources import artefacts as A, chat, files as S
+from factloom.session import stage_table, staging
+from factloom.sources import artefacts as A, chat, files as S, versions
 
 
 def phase_range(text: str) -> tuple[int, int]:
@@ -109,17 +109,18 @@ def identify_outputs(spark: SparkSession, root: str, out: str, t: dict[str, Data
 
 def analyse_modules(
     out: str, t: dict[str, DataFrame], make_client: Callable, cached: DataFrame | None = None, force: bool = False,
-    context_size: int = 4000, resume: bool = False,
+    context_size: int = 4000, resume: bool = False, min_chars: int = 0,
 ) -> DataFrame:
     """Stage 2: a text per module, or part of a large one, from the injected generator.
 
-    ``cached`` texts of more than 200 characters are taken as they are.
-    ``resume`` takes those stored below ``out`` and appends the others to them,
-    so a stored text is never replaced while it is read.
+    ``cached`` texts of more than ``min_chars`` characters are taken as they are;
+    ``resume`` takes those stored below ``out`` likewise. Only modules without one
+    reach the generator. The result is a new version of the stored table.
     """
     spark = t["files"].sparkSession
-    stored = A.read_table(spark, out, "analyses") if resume and not force else None
+    stored = A.read_table(spark, out, "analyses") if resume and not force and versions.current(spark, out, "analyses") else None
     have = cached if cached is not None and not force else stored
+    have = have.where(F.length("markdown") > min_chars).select("module", "markdown") if have is not None else None
     parts = t["module_files"].select("path", F.col("part").alias("module"), "file_seq")
     placed = t["files"].drop("module").join(parts, "path")
     index = MO.symbol_index(t["symbols"], placed)
@@ -127,21 +128,13 @@ def analyse_modules(
     info = R.callback_info(placed, t["dispatch_tables"], t["func_ptrs"], t["dispatch_callbacks"], t["callback_regs"], t["indirect_calls"])
     prompts = R.module_prompts(placed, "file_seq", index, preview, info, MO.module_outputs(placed, t["outputs"]))
     if have is not None:
-        prompts = prompts.join(have.where(F.length("markdown") > 200).select("module"), "module", "left_anti")
+        prompts = prompts.join(have.select("module"), "module", "left_anti")
     with_symbols = placed.join(t["symbols"].select("path").distinct(), "path", "left_semi").select("module").distinct()
     prompts = prompts.join(with_symbols, "module", "left_semi")
     fresh = A.write_table(chat.generate(prompts, make_client), out, "generated")
     fixed = M.wrap_diagrams(M.fix_diagrams(fresh.where("error = ''"), ["module"], "markdown", "markdown"), ["module"], "markdown", "markdown")
     every = fixed.select("module", "markdown")
-    if stored is not None:
-        every.write.mode("append").parquet(f"{out}/analyses")
-        # a short text may be there twice, before and after
-        longest = F.max_by("markdown", F.length("markdown")).alias("markdown")
-        return A.read_table(spark, out, "analyses").groupBy("module").agg(longest)
-    if have is not None:
-        # stored first: the cached table may be the very one that is replaced
-        every = stage_table(every.unionByName(have.where(F.length("markdown") > 200).select("module", "markdown")))
-    return A.write_table(every, out, "analyses")
+    return A.write_table(every if have is None else every.unionByName(have), out, "analyses")
 
 
 def validate(texts: DataFrame, keys: list[str], t: dict[str, DataFrame], out: str, name: str = "validated") -> DataFrame:
@@ -202,14 +195,30 @@ STORED = (
 )
 
 
-def texts_over_modules(out: str, t: dict[str, DataFrame], analyses: DataFrame, make_client: Callable) -> dict[str, DataFrame]:
-    """Stages 2.5 and 3: flows across modules, and the architecture, validated and refined."""
+def texts_over_modules(out: str, t: dict[str, DataFrame], analyses: DataFrame, make_client: Callable, resume: bool = False) -> dict[str, DataFrame]:
+    """Stages 2.5 and 3: flows across modules, and the architecture, validated and refined.
+
+    With ``resume`` a stored text is kept where its prompt is still the same.
+    """
+    spark = analyses.sparkSession
     lines = R.all_callbacks(t["dispatch_tables"], t["dispatch_callbacks"], t["callback_regs"], t["indirect_calls"])
     prompts = {
         "cross_flows": R.flow_prompts(t["calls"], lines, analyses),
         "synthesis": R.synthesis_prompts(R.structured_context(t["files"], t["symbols"], t["calls"], t["imports"], t["udfs"], t["xml_loaders"]), analyses),
     }
-    return {name: A.write_table(generate_and_refine(prompt, t, make_client, f"{out}/{name}_rounds"), out, name) for name, prompt in prompts.items()}
+    found = {}
+    for name, prompt in prompts.items():
+        asked = stage_table(prompt.withColumn("asked", F.sha2(F.to_json(F.struct("system", "user")), 256)))
+        have = None
+        if resume and versions.current(spark, out, name):
+            have = A.read_table(spark, out, name).join(asked.select("module", "asked"), ["module", "asked"], "left_semi")
+            asked = asked.join(have.select("module"), "module", "left_anti")
+            if asked.isEmpty():
+                found[name] = A.write_table(have, out, name)
+                continue
+        done = generate_and_refine(asked.drop("asked"), t, make_client, f"{out}/{name}_rounds").join(asked.select("module", "asked"), "module")
+        found[name] = A.write_table(done if have is None else done.unionByName(have), out, name)
+    return found
 
 
 def run(
@@ -218,25 +227,28 @@ def run(
 ) -> dict[str, DataFrame]:
     """Runs the stages of ``phases``; stages 2 and 3 need a generator.
 
-    A range that starts later reads what earlier stages have stored.
+    A range that starts later reads what earlier stages have stored. Texts stored
+    by an earlier run are kept, module by module, unless ``force``. What the
+    stages stage in the shared folder is gone at the end.
     """
     first, last = phase_range(phases)
     t: dict[str, DataFrame] = {}
-    metadata = recon(spark, root, out) if first <= 0 else {}
-    if last >= 1 and first <= 1:
-        t = identify_outputs(spark, root, out, structure(spark, root, out, max_files, skip_tests))
-    elif last >= 1:
-        t = {name: A.read_table(spark, out, name) for name in STORED}
-    if last >= 2 and first > 2:
-        t["analyses"] = A.read_table(spark, out, "analyses")
-    elif last >= 2 and make_client:
-        t["analyses"] = analyse_modules(out, t, make_client, force=force, context_size=context_size)
-    if last >= 3 and first > 3:
-        t |= {name: A.read_table(spark, out, name) for name in ("cross_flows", "synthesis")}
-    elif last >= 3 and make_client and "analyses" in t:
-        t |= texts_over_modules(out, t, t["analyses"], make_client)
-    if last >= 4 and "analyses" in t:
-        metadata = metadata or recon(spark, root, out)
-        text = lambda name: R.part_texts(t[name]) if name in t else ""
-        report(spark, out, t, t["analyses"], title, metadata, text("synthesis"), text("cross_flows"))
+    with staging(spark):
+        metadata = recon(spark, root, out) if first <= 0 else {}
+        if last >= 1 and first <= 1:
+            t = identify_outputs(spark, root, out, structure(spark, root, out, max_files, skip_tests))
+        elif last >= 1:
+            t = {name: A.read_table(spark, out, name) for name in STORED}
+        if last >= 2 and first > 2:
+            t["analyses"] = A.read_table(spark, out, "analyses")
+        elif last >= 2 and make_client:
+            t["analyses"] = analyse_modules(out, t, make_client, force=force, context_size=context_size, resume=not force)
+        if last >= 3 and first > 3:
+            t |= {name: A.read_table(spark, out, name) for name in ("cross_flows", "synthesis")}
+        elif last >= 3 and make_client and "analyses" in t:
+            t |= texts_over_modules(out, t, t["analyses"], make_client, resume=not force)
+        if last >= 4 and "analyses" in t:
+            metadata = metadata or recon(spark, root, out)
+            text = lambda name: R.part_texts(t[name]) if name in t else ""
+            report(spark, out, t, t["analyses"], title, metadata, text("synthesis"), text("cross_flows"))
     return {**metadata, **t}

@@ -436,3 +436,25 @@ def row_ordinals(spark, d):
 SELECT o_orderkey AS doc, CASE WHEN o_orderkey % 2 = 1 THEN 'Order ' || o_orderkey || ' is ' || o_orderstatus ELSE 'Thought ' || o_orderkey END AS content FROM orders""")
 def response_text(spark, d):
     return response_content(stream_bodies(spark, d), ["doc"], "body")
+
+
+# files by byte ranges -------------------------------------------------------------
+
+@query("range_matches", """
+WITH f AS (SELECT page_id // 50 AS g, string_agg(html || chr(10), '' ORDER BY page_id) AS t FROM pages WHERE html IS NOT NULL GROUP BY 1),
+p AS (SELECT g, unnest(string_split(t, 'track(')) AS piece, generate_subscripts(string_split(t, 'track('), 1) AS k FROM f),
+c AS (SELECT g, k, sum(length(piece)) OVER w + 6 * (k - 1) AS start, sum(length(piece) - length(replace(piece, chr(10), ''))) OVER w + 1 AS line,
+        count(*) OVER (PARTITION BY g) AS n FROM p WINDOW w AS (PARTITION BY g ORDER BY k))
+SELECT g::BIGINT AS g, (k - 1)::BIGINT AS match_seq, start::BIGINT AS start, line::BIGINT AS line FROM c WHERE k < n""")
+def range_matches(spark, d):
+    """Fifty pages to a file; each file is searched in ranges of 10,000 bytes."""
+    from uuid import uuid4
+
+    from factloom.session import ensure_checkpoint_dir
+    from factloom.sources.ranges import match_files
+
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/factloom-files-{uuid4().hex}"
+    pages = spark.read.parquet(f"{d}/pages.parquet").where("html is not null").withColumn("g", F.floor(F.col("page_id") / 50))
+    pages.repartition("g").sortWithinPartitions("g", "page_id").select("g", "html").write.partitionBy("g").text(folder)
+    hits = match_files(spark, folder, [r"track\("], size=10_000)
+    return hits.select(F.regexp_extract("path", r"g=(\d+)", 1).cast("bigint").alias("g"), F.col("match_seq").cast("bigint").alias("match_seq"), "start", "line")

@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -74,6 +76,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return shared
 
 
+_staged: list[str] = []
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, the tables staged inside it; whatever is read later has to be stored elsewhere by then."""
+    before = len(_staged)
+    try:
+        yield
+    finally:
+        from factloom.sources.versions import store_of
+
+        for path in _staged[before:]:
+            store, place = store_of(path)
+            store.delete_dir(place)
+        del _staged[before:]
+
+
 def stage_table(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """Writes the rows once to the shared checkpoint folder and reads them back.
 
@@ -85,6 +105,7 @@ def stage_table(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/factloom-{uuid.uuid4().hex}"
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
+    _staged.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

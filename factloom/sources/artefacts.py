@@ -5,19 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from factloom.functions import text as T
+from factloom.sources import versions
 
 
 def write_table(df: DataFrame, out: str, name: str, partition_by: str | None = None) -> DataFrame:
-    """Replaces a table and reads it back, so later steps use the stored rows."""
-    writer = df.write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(f"{out}/{name}")
-    return df.sparkSession.read.schema(df.schema).parquet(f"{out}/{name}")
+    """A new version of a table, read back, so later steps use the stored rows."""
+    return versions.publish(df, out, name, partition_by)
 
 
 def read_table(spark: SparkSession, out: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{out}/{name}")
+    """The current version of a table."""
+    return versions.read(spark, out, name)
 
 
 def nested_files(files: DataFrame, symbols: DataFrame, imports: DataFrame, calls: DataFrame, stmts: DataFrame) -> DataFrame:

@@ -115,6 +115,14 @@ def test_all_stages(spark, root, tmp_path):
     for how in ({"cached": A.read_table(spark, out, "analyses")}, {"resume": True}):
         assert {r.module: r.markdown for r in pipeline.analyse_modules(out, t, broken, **how).collect()} == texts
     assert "## Flow" in document and t["cross_flows"].count() == 1 and t["synthesis"].first().text in document
+    for name in ("report_html", "io_flows_html"):
+        page = "\n".join(r.value for r in spark.read.text(f"{out}/{name}").collect())
+        assert "<title>Demo</title>" in page and "</html>" in page
+    # a second run takes every stored text, and its prompts are the same
+    second = pipeline.run(spark, root, out, make_client=broken, title="Demo")
+    assert {r.module: r.markdown for r in second["analyses"].collect()} == texts
+    for name in ("cross_flows", "synthesis"):
+        assert sorted(r.text for r in second[name].collect()) == sorted(r.text for r in t[name].collect())
     later = pipeline.run(spark, root, out, "4", make_client=broken, title="Again")
     assert {r.module for r in later["analyses"].collect()} == set(texts)
     document = "\n".join(r.value for r in spark.read.text(f"{out}/report").collect())
