@@ -31,6 +31,23 @@ def _batch(columns: list[list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW)], schema=_ARROW)
 
 
+def file_facts(path: str, language: str, content: str | None, table: dict[str, Callable[[str], list[dict]]] | None = None) -> list[dict]:
+    """The facts of one file, numbered by kind; a language without an extractor, or no content, gives none."""
+    table = table or EXTRACTORS
+    if language not in table or content is None:
+        return []
+    try:
+        facts = table[language](content)
+    except Exception as error:  # one bad file is a row, not a failed job
+        facts = [{"fact": "error", "name": f"extract error: {error}"}]
+    seqs: dict[str, int] = {}
+    for fact in facts:
+        kind = fact["fact"]
+        fact["path"] = path
+        fact["seq"] = seqs[kind] = seqs.get(kind, -1) + 1
+    return facts
+
+
 def extract(
     files: DataFrame, path: str = "path", language: str = "language", content: str = "content",
     extractors: dict[str, Callable[[str], list[dict]]] | None = None,
@@ -46,15 +63,7 @@ def extract(
         for batch in batches:
             columns: list[list] = [[] for _ in _ARROW]
             for file_path, lang, body in zip(*(c.to_pylist() for c in batch.columns)):
-                try:
-                    facts = table[lang](body)
-                except Exception as error:  # one bad file is a row, not a failed job
-                    facts = [{"fact": "error", "name": f"extract error: {error}"}]
-                seqs: dict[str, int] = {}
-                for fact in facts:
-                    kind = fact["fact"]
-                    fact["path"] = file_path
-                    fact["seq"] = seqs[kind] = seqs.get(kind, -1) + 1
+                for fact in file_facts(file_path, lang, body, table):
                     for column, (name, default) in zip(columns, _DEFAULTS.items()):
                         column.append(fact.get(name, default))
                 if len(columns[0]) > 20_000:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factloom.functions import text as T
+from factloom.functions.table_functions import register
 from factloom.operators import facts, joins, match, modules, ordered, outputs, stats, truth
 from factloom.plans.corpus import stream_bodies, table
 from factloom.session import spread
@@ -239,6 +240,26 @@ def match_context(spark, d):
     return hits.select("doc_id", "match_seq", "start", "line", "text", "context")
 
 
+@query("sql_match_all", _LINES + """
+SELECT doc_id, CAST(0 AS INTEGER) AS pattern_seq, CAST(i - 1 AS INTEGER) AS match_seq, CAST(start AS BIGINT) AS start, CAST(newlines + 1 AS BIGINT) AS line, hits[i] AS match_text FROM n""")
+def sql_match_all(spark, d):
+    """Written in SQL alone, with a table function."""
+    register(spark)
+    return spark.sql(
+        "SELECT doc_id, pattern_seq, match_seq, start, line, match_text FROM match_all(TABLE(SELECT doc_id, text FROM {docs}), 'text', array('(?:the|der|les) [a-z]+'))",
+        docs=table(spark, d, "documents").select("doc_id", "text"))
+
+
+@query("sql_line_counts", """
+WITH l AS (SELECT lang, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents WHERE text IS NOT NULL)
+SELECT lang, count(*) AS lines, count(*) FILTER (WHERE trim(line) = '') AS blank, max(n)::BIGINT AS longest FROM l GROUP BY lang""")
+def sql_line_counts(spark, d):
+    register(spark)
+    return spark.sql(
+        "SELECT lang, count(*) AS lines, count_if(trim(line_text) = '') AS blank, max(line_no) AS longest FROM text_lines(TABLE(SELECT lang, text FROM {docs}), 'text') GROUP BY lang",
+        docs=table(spark, d, "documents").select("lang", "text"))
+
+
 _TABLE_SQL = EDGE + r"(?:FROM|JOIN|INTO|OVERWRITE\s+TABLE|TABLE)\s+[`\"'']?(" + WORD + "+)"
 
 
