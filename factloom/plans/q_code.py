@@ -241,6 +241,37 @@ def java_calls(spark, d):
     return X.direct_calls(X.extract(P.java_files(spark, d)))
 
 
+def _history(spark, d):
+    """The Java corpus after three updates: older texts of all files, all but every third file, all files."""
+    from uuid import uuid4
+
+    from factloom.session import ensure_checkpoint_dir
+    from factloom.streaming import changes
+
+    out = f"{ensure_checkpoint_dir(spark).rstrip('/')}/factloom-facts-{uuid4().hex}"
+    files = stage_table(P.java_files(spark, d).select("path", "language", "content"))
+    third = F.regexp_extract("path", r"(\d+)\.java", 1).cast("bigint") % 3 == 0
+    changes.update_from(files.withColumn("content", F.replace("content", F.lit("log.info"), F.lit("log.debug"))), out)
+    changes.update_from(files.where(~third), out)
+    return changes.update_from(files, out)
+
+
+_EDGES = " UNION ALL ".join(f"SELECT {c} FROM {JB}" for c in ("'Customer' || k || '.rate' AS caller, 'log.info' AS callee", "'Customer' || k || '.rate', 'helper' || n"))
+
+
+@query("changed_edges", f"SELECT caller, callee, count(*) AS copies FROM ({_EDGES}) GROUP BY ALL")
+def changed_edges(spark, d):
+    return _history(spark, d)["edges"]
+
+
+@query("changed_names", f"""
+SELECT name, count(*) AS n, min(path) AS path, min(line) AS line, min(kind) AS kind FROM (
+  SELECT unnest(['Customer' || k, 'score', 'rate', 'audit', 'log.info', 'helper' || n]) AS name, path, unnest([5, 6, 7, 11, 8, 9]) AS line,
+    unnest(['class', 'variable', 'method', 'method', 'call', 'call']) AS kind FROM {JB}) GROUP BY name""")
+def changed_names(spark, d):
+    return _history(spark, d)["names"]
+
+
 @query("java_dispatch", rows(
     JB, *(f"path, 'Customer' || k AS class, {i(5)} AS line, '{rel}' AS relation, {target} AS target" for rel, target in (
         ("extends", "'Base' || n"), ("implements", "'Audit' || n"), ("implements", "'Scored'")))))
