@@ -497,20 +497,25 @@ def all_callbacks(spark, d):
 
 
 @query("flow_prompts", f"""
-WITH m AS (SELECT 0 AS s, 'm_' || p_partkey AS pos, '### m_' || p_partkey || chr(10) || '## Core flow' || chr(10) || p_name AS line FROM part),
-e AS (SELECT 9 AS s, path || chr(9) || printf('%015d', seq) || chr(9) || callee AS pos, '  `run_' || k || '` → `' || callee || '` @ ' || path || ':' || (16 + seq) AS line
-  FROM (SELECT path, k, unnest([0, 1]) AS seq, unnest(['p->handler', 'helper_' || s]) AS callee FROM {CB})),
-a AS (SELECT * FROM m UNION ALL SELECT * FROM e),
-f AS (SELECT string_agg(line || chr(10), '' ORDER BY s, pos COLLATE "C") AS facts FROM a)
-SELECT 'flows' AS module, '{R.SYSTEM}' AS system, 'Describe the flows that cross modules, from these facts.' || chr(10) || chr(10) || left(facts, 60000) AS "user" FROM f""".replace(' COLLATE "C"', ""))
+WITH a AS (
+SELECT 0 AS s, 0 AS n, 'm_' || p_partkey AS pos, '### m_' || p_partkey || chr(10) || '## Core flow' || chr(10) || p_name || chr(10) AS line FROM part
+UNION ALL SELECT 9, 0, path || chr(9) || printf('%015d', seq) || chr(9) || callee, '  `run_' || k || '` → `' || callee || '` @ ' || path || ':' || (16 + seq) || chr(10)
+  FROM (SELECT path, k, unnest([0, 1]) AS seq, unnest(['p->handler', 'helper_' || s]) AS callee FROM {CB})
+UNION ALL SELECT 9, 1, path || chr(9) || printf('%015d', 1099511627776 + line) || chr(9) || callee, '  `' || caller || '` → `' || callee || '` @ ' || path || ':' || line || chr(10)
+  FROM ({ORACLES["indirect_edges"]})),
+b AS (SELECT *, coalesce(sum(length(line)) OVER (ORDER BY s, n, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM a),
+p AS (SELECT CAST(floor(before / {R.PART_CHARS}) + 1 AS BIGINT) AS part, string_agg(line, '' ORDER BY s, n, pos) AS facts FROM b GROUP BY part)
+SELECT CASE WHEN (SELECT max(part) FROM p) = 1 THEN 'flows' ELSE 'flows_part' || part END AS module, '{R.SYSTEM}' AS system,
+  'Describe the flows that cross modules, from these facts.' || chr(10) || chr(10) || facts AS "user" FROM p""")
 def flow_prompts(spark, d):
+    """Every summary and every edge, indirect ones included, over as many prompts as that takes."""
     files = P.c_files(spark, d)
     direct = X.direct_calls(X.extract(files))
-    graph = stage_table(X.call_graph(direct, direct.where("false"), C.indirect_edges(C.indirect_calls(files), C.registrations(files)).where("false")))
+    graph = stage_table(X.call_graph(direct, direct.where("false"), C.indirect_edges(C.indirect_calls(files), C.registrations(files))))
     part = P.table(spark, d, "part")
     texts = part.select(F.concat(F.lit("m_"), F.col("p_partkey").cast("string")).alias("module"), F.concat(F.lit("## Core flow\n"), "p_name").alias("markdown"))
     none = R._lines(texts.where("false"), 1, 0, 0, F.col("module"), F.col("markdown"))
-    return R.flow_prompts(graph, none, texts, budget=60_000)
+    return R.flow_prompts(graph, none, texts)
 
 
 @query("flow_prompt_parts", f"""

@@ -12,6 +12,7 @@ import time
 import uuid
 
 from pyarrow import fs as pafs
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _POINTERS = "published"
@@ -40,10 +41,12 @@ def publish(df: DataFrame, out: str, name: str, partition_by: str | None = None)
 
 def current(spark: SparkSession, out: str, name: str) -> str | None:
     """The path of the current version; None if there is none yet."""
-    store, path = store_of(f"{out}/{_POINTERS}/{name}")
-    if store.get_file_info(path).type == pafs.FileType.NotFound:
+    try:
+        version = spark.read.schema("version string").parquet(f"{out}/{_POINTERS}/{name}").agg(F.max("version")).first()[0]
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
-    version = spark.read.schema("version string").parquet(f"{out}/{_POINTERS}/{name}").agg(F.max("version")).first()[0]
     return version and f"{out}/{name}/{version}"
 
 
