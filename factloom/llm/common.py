@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -47,6 +48,22 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return f"{root if '://' in root or root.startswith('/') else root.replace('file:', '', 1)}/factloom-{kind}-{uuid.uuid4().hex}"
 
 
+def drop_caches() -> None:
+    """Frees the word cache that earlier tasks left in a reused worker; for tasks that need no tokenizer."""
+    tokens = sys.modules.get("factloom.llm.tokens")
+    if tokens is not None:
+        tokens.encoder.cache_clear()
+
+
+def fresh(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run`` in a worker without the caches of others."""
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_caches()
+        return run(batches)
+
+    return alone
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with the value computed once, also where a lambda uses it."""
     return F.transform(F.array(value), body)[0]

@@ -40,6 +40,9 @@ def op5_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op2_suffix_repeats")
 def op2_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is left of every document without its repeated 400-byte strings."""
+    """What is left of every document without its repeated 400-byte strings; ``kept_text`` shows bytes of a split character as U+FFFD."""
     found = repeats.remove_repeats(table(spark, sf_dir, "documents"))
-    return found.select("_row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select(
+        "_row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"),
+        (F.col("n_bytes") - F.col("n_removed")).alias("n_kept"), F.make_valid_utf8(F.col("kept").cast("string")).alias("kept_text"))
+

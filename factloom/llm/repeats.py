@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import Rows, own_shuffle, prepare, stage, text_or_empty, values
+from factloom.llm.common import Rows, drop_caches, fresh, own_shuffle, prepare, stage, text_or_empty, values
 
 LENGTH = 400
 GRAM = 64
@@ -46,6 +46,7 @@ BLOCK = 1 << 20
 SORT_BYTES = 128 << 10
 GROUP_LIMIT = 64
 RUN = 16
+HOT_ROWS = 1024
 SEPARATOR = 0xFF  # no byte of UTF-8
 _LOW = np.uint64((1 << 24) - 1)
 _ODD = 0x9E3779B97F4A7C15
@@ -132,15 +133,32 @@ def suffix_order(data: bytes, depth: int = LENGTH) -> list[int]:
     return order
 
 
+def adjacent_reach(data: bytes, order: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """Whether the common prefix of each suffix with the one before it in the order has ``length`` bytes; never for the first.
+
+    How long a shorter prefix is plays no part. Eight bytes each at the far end,
+    in the middle and at the front tell most pairs apart; the others are compared whole.
+    """
+    out = np.zeros(len(order), bool)
+    if len(order) < 2:
+        return out
+    padded = np.frombuffer(data + bytes(8), np.uint8)
+    eights = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)).view("<u8").ravel()
+    a, b = order[:-1], order[1:]
+    going = np.flatnonzero(np.maximum(a, b) + length <= len(data))
+    for at in (length - 8, length // 2, 0) if length >= 16 else ():
+        going = going[eights[a[going] + at] == eights[b[going] + at]]
+    pairs = zip(going.tolist(), a[going].tolist(), b[going].tolist(), strict=True)
+    out[[k + 1 for k, i, j in pairs if data[i : i + length] == data[j : j + length]]] = True
+    return out
+
+
 def repeated_starts(data: bytes, valid: bytearray, length: int = LENGTH) -> list[int]:
-    """Valid starts whose neighbour in suffix order has the same ``length`` bytes."""
-    found = set()
-    order = [i for i in suffix_order(data, length) if valid[i]]
-    for i, j in zip(order, order[1:], strict=False):
-        if data[i] == data[j] and data[i : i + length] == data[j : j + length]:
-            found.add(i)
-            found.add(j)
-    return sorted(found)
+    """Valid starts whose common prefix with a neighbour in suffix order has ``length`` bytes."""
+    order = np.array(suffix_order(data, length), np.int64)
+    order = order[np.frombuffer(valid, np.uint8)[order] != 0]
+    alike = np.flatnonzero(adjacent_reach(data, order, length))
+    return np.unique(np.concatenate([order[alike - 1], order[alike]])).tolist()
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -275,15 +293,26 @@ def _interval(starts: Column, count: Column, length: int) -> list[Column]:
     return [F.col("k"), F.col("th"), starts.alias("lo"), (starts + count - 1 + length).alias("hi")]
 
 
+def _dealt(rows: DataFrame, by: Column, parts: str = "parts") -> DataFrame:
+    """``part``: which of a hot group's parts a row goes to."""
+    return rows.withColumn("part", F.pmod(by, F.col(parts)).cast("int"))
+
+
+def _for_all(rows: DataFrame, parts: str = "parts") -> DataFrame:
+    """A copy of the row for each part of its group; a group has a part for HOT_ROWS of its rows."""
+    return rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col(parts).cast("int") - 1))).drop(parts)
+
+
 def _hot_cuts(runs: DataFrame, length: int) -> DataFrame:
     """Intervals of hot spans, from counts of their runs and, where those differ, of their starts."""
     met = runs.groupBy("h").agg(F.count("*").alias("n"), F.min("sh").alias("low"), F.max("sh").alias("high")).filter("n > 1")
-    alike = runs.join(own_shuffle(met.select("h", (F.col("low") != F.col("high")).alias("mixed")), "h"), "h")
-    alike = stage(alike.select("k", "th", "p", "m", "h", "sh", "starts", "mixed"))
-    bodies = alike.filter("mixed").groupBy("h", "sh").agg(F.count("*").alias("n"), F.max("starts").alias("starts"))
-    starts = bodies.select("h", F.explode("starts").alias("s")).groupBy("h", "s").agg(F.count("*").alias("n")).filter("n > 1").select("h", "s")
-    mixed = alike.filter("mixed").join(own_shuffle(bodies.select("h", "sh", "n"), "h"), ["h", "sh"])
-    single = mixed.filter("n = 1").select("k", "th", "p", "h", F.posexplode("starts").alias("i", "s")).join(own_shuffle(starts, "h"), ["h", "s"])
+    met = met.select("h", (F.col("low") != F.col("high")).alias("mixed"), F.ceil(F.col("n") / HOT_ROWS).alias("parts"))
+    alike = runs.join(own_shuffle(met, "h"), "h")
+    alike = stage(_dealt(alike, F.xxhash64("k", "th", "p")).select("k", "th", "p", "m", "h", "sh", "starts", "mixed", "parts", "part"))
+    bodies = alike.filter("mixed").groupBy("h", "sh").agg(F.count("*").alias("n"), F.max("starts").alias("starts"), F.max("parts").alias("parts"))
+    starts = bodies.select("h", F.explode("starts").alias("s"), "parts").groupBy("h", "s").agg(F.count("*").alias("n"), F.max("parts").alias("parts")).filter("n > 1")
+    mixed = alike.filter("mixed").join(_for_all(bodies.select("h", "sh", "n", "parts")), ["h", "sh", "part"])
+    single = mixed.filter("n = 1").select("k", "th", "p", "h", "part", F.posexplode("starts").alias("i", "s")).join(_for_all(starts.select("h", "s", "parts")), ["h", "s", "part"])
     return (
         alike.filter("not mixed").select(*_interval(F.col("p"), F.col("m"), length))
         .union(mixed.filter("n > 1").select(*_interval(F.col("p"), F.col("m"), length)))
@@ -293,7 +322,7 @@ def _hot_cuts(runs: DataFrame, length: int) -> DataFrame:
 
 def repeated(keyed: DataFrame, length: int = LENGTH, group_limit: int = GROUP_LIMIT, sort_bytes: int = SORT_BYTES) -> DataFrame:
     """Per text with repeats (k, th): ``cuts``, the intervals [lo, hi) of bytes to remove; they may overlap."""
-    found = stage(keyed.select("k", "th", "text").mapInArrow(_find_spans(length), "k bigint, th bigint, p bigint, m int, h bigint, sh bigint"))
+    found = stage(keyed.select("k", "th", "text").mapInArrow(fresh(_find_spans(length)), "k bigint, th bigint, p bigint, m int, h bigint, sh bigint"))
     met = found.groupBy("h").agg(F.count("*").alias("n"), F.min("sh").alias("low"), F.max("sh").alias("high")).filter("n > 1")
     alike = stage(found.join(own_shuffle(met.select("h", (F.col("low") != F.col("high")).alias("mixed")), "h"), "h"))
     copy = F.min(F.struct("k", "th", "p", "m"))
@@ -302,10 +331,10 @@ def repeated(keyed: DataFrame, length: int = LENGTH, group_limit: int = GROUP_LI
         alike.filter("mixed").join(distinct.filter("n > 1").select("h", "sh"), ["h", "sh"], "left_semi").select("k", "th", "p", "m"))
     groups = distinct.groupBy("h").agg(F.count("*").alias("size"))
     chosen = distinct.join(own_shuffle(groups, "h"), "h").groupBy("k", "th").agg(F.collect_list(F.struct("p", "m", "h", "sh", (F.col("size") > group_limit).alias("hot"))).alias("chosen"))
-    pieces = stage(keyed.select("k", "th", "text").join(chosen, ["k", "th"]).mapInArrow(_read_spans(length), PIECES), "hot")
+    pieces = stage(keyed.select("k", "th", "text").join(chosen, ["k", "th"]).mapInArrow(fresh(_read_spans(length)), PIECES), "hot")
     cold = pieces.filter("not hot").select("k", "th", "p", "m", "h", "data").repartition("h").sortWithinPartitions("h")
     hot = pieces.filter("hot").select("k", "th", "p", "m", "h", "sh", "starts")
-    cuts = whole.select(*_interval(F.col("p"), F.col("m"), length)).union(cold.mapInArrow(_sort_spans(length, sort_bytes), CUTS)).union(_hot_cuts(hot, length))
+    cuts = whole.select(*_interval(F.col("p"), F.col("m"), length)).union(cold.mapInArrow(fresh(_sort_spans(length, sort_bytes)), CUTS)).union(_hot_cuts(hot, length))
     return cuts.distinct().groupBy("k", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("cuts"))
 
 
@@ -330,23 +359,25 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, group_limit: int = GRO
     cuts = stage(repeated(keyed, length, group_limit, sort_bytes))
     joined = keyed.join(cuts, ["k", "th"], "left").select("_row", "text", "cuts")
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for text, found in values(batch, "text", "cuts"):
-                data, gone = text.encode(), merged([(c["lo"], c["hi"]) for c in found or []])
-                kept, at = [], 0
-                for lo, hi in gone:
-                    kept.append(data[at:lo])
-                    at = hi
-                rest = b"".join([*kept, data[at:]])
-                out.append((len(data), sum(hi - lo for lo, hi in gone), len(gone), rest.decode("utf-8", "ignore") if as_text else rest))
-            columns = list(zip(*out, strict=True)) or [[]] * 4
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=["_row", "n_bytes", "n_removed", "n_spans", "kept"])
-
-    kind = joined.schema["_row"].dataType.simpleString()
-    return joined.mapInArrow(cut, f"_row {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept {'string' if as_text else 'binary'}")
+    kind = pa.string() if as_text else pa.binary()
+
+    def cut(texts: pa.Array, cuts: pa.Array) -> pa.Array:
+        drop_caches()
+        out = []
+        for text, found in zip(texts, cuts, strict=True):
+            data, gone = text.as_py().encode(), merged([(c["lo"], c["hi"]) for c in found.as_py() or []])
+            kept, at = [], 0
+            for lo, hi in gone:
+                kept.append(data[at:lo])
+                at = hi
+            rest = b"".join([*kept, data[at:]])
+            out.append((len(data), sum(hi - lo for lo, hi in gone), len(gone), rest.decode("utf-8", "ignore") if as_text else rest))
+        columns = list(zip(*out, strict=True)) or [[]] * 4
+        return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), kind), strict=True)], names=["n_bytes", "n_removed", "n_spans", "kept"])
+
+    # only text and cuts go to Python, once; the row waits beside
+    done = F.arrow_udf(cut, f"struct<n_bytes: bigint, n_removed: bigint, n_spans: bigint, kept: {'string' if as_text else 'binary'}>").asNondeterministic()
+    return joined.select("_row", done("text", "cuts").alias("_done")).select("_row", "_done.*")
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:

@@ -74,3 +74,21 @@ def test_stage_keeps_columns(spark):
     got = repeats.without_repeats(df)
     assert got.columns == df.columns
     assert {r.doc_id: r.text for r in got.collect()} == {1: "x", 2: "y", 3: None}
+
+
+def test_odd_column_names(spark):
+    df = spark.createDataFrame([(1, "x" * 500, 5, 6, 7), (2, "", 5, 6, 8)], "doc_id bigint, text string, `token-count` int, `a b` int, kept int")
+    got = repeats.without_repeats(df)
+    assert got.columns == df.columns and sorted(tuple(r) for r in got.collect()) == [(1, "", 5, 6, 7), (2, "", 5, 6, 8)]
+
+
+def test_prefixes():
+    import numpy as np
+
+    rnd = random.Random(4)
+    for n in (0, 1, 5, 600):
+        data = bytes(rnd.choice(b"ab") for _ in range(n)) + b"a" * 500
+        for length in (3, 17, 400):
+            order = np.array(repeats.suffix_order(data, length))
+            pairs = [data[i : i + length] == data[j : j + length] and max(i, j) + length <= len(data) for i, j in zip(order, order[1:])]
+            assert repeats.adjacent_reach(data, order, length).tolist() == [False, *pairs]
