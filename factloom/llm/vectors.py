@@ -22,7 +22,9 @@ length, cut into blocks likewise.
 
 A vector that is null, all zero or has a null or non-finite component, or a null
 label, has no links and is its own component. Repeated rows are vectors of their
-own: they link with each other. Other columns are not read.
+own: they link with each other. A label may have any type that can be compared; labels
+that are no whole numbers count as equal if a hash of 64 bits is. Doubles are compared as
+doubles. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -120,8 +122,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False)).reshape(len(column), -1)
 
 
-ENTRY = "label int, dim int, cell int, visits boolean, gid bigint"
-_SCHEMA = pa.schema([("label", pa.int32()), ("dim", pa.int32()), ("cell", pa.int32()), ("visits", pa.bool_()), ("gid", pa.int64())])
+ENTRY = "label bigint, dim int, cell int, visits boolean, gid bigint"
+_SCHEMA = pa.schema([("label", pa.int64()), ("dim", pa.int32()), ("cell", pa.int32()), ("visits", pa.bool_()), ("gid", pa.int64())])
 
 
 def _spread(books: tuple[np.ndarray, np.ndarray], dim: int, limit: float):
@@ -233,12 +235,16 @@ def entries(vectors: DataFrame) -> DataFrame:
 
 def _read(vectors: DataFrame) -> DataFrame:
     sound = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("embedding", lambda x: x != 0)
-    rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"), F.col("label").cast("int").alias("label"))
+    kinds = dict(vectors.dtypes)
+    # labels are only compared: whole numbers as they are, others by a hash of 64 bits; floats stay short
+    label = F.col("label").cast("bigint") if kinds["label"] in ("tinyint", "smallint", "int", "bigint") else F.when(F.col("label").isNotNull(), F.xxhash64("label"))
+    wide = kinds["embedding"] if kinds["embedding"] == "array<float>" else "array<double>"
+    rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast(wide).alias("embedding"), label.alias("label"))
     return rows.withColumn("valid", F.coalesce(F.col("label").isNotNull() & sound, F.lit(False)))
 
 
-def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, cells: int = CELLS, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """vec_id, n_links, component_id, kept for every row."""
+def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, cells: int = CELLS, fit_rows: int = FIT_ROWS, recall: float | None = RECALL) -> DataFrame:
+    """vec_id, n_links, component_id, kept for every row. Without ``recall`` cells are visited up to the bound that misses no neighbour."""
     spark = prepare(vectors.sparkSession)
     rows = _read(vectors)
     found = entries(rows)
@@ -252,7 +258,7 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, cells: int =
     if dim:
         x = units(np.array([r.embedding for r in sample if len(r.embedding) == dim], np.float64))
         books = (fit_codebook(x[:, : dim // 2], cells), fit_codebook(x[:, dim // 2 :], cells))
-        limit = reach(x, books, threshold)
+        limit = reach(x, books, threshold, recall) if recall is not None else 2 - 2 * threshold + _SLACK
     placed = stage(found.select("label", "dim", "gid", F.col("embedding").alias("vector")).mapInArrow(_spread(books, dim or -1, limit), ENTRY))
     sizes = placed.groupBy("label", "dim", "cell").agg(F.count_if(~F.col("visits")).alias("homes"), F.count_if("visits").alias("seen"))
     # cells without a home are left out; stored, so that the join below shuffles both sides and can split a hot cell

@@ -79,3 +79,15 @@ def test_recall_of_visits():
             wanted += 1
             found += (int(near[0][0][j]), int(near[1][0][j])) in cells
     assert wanted > 300 and found == wanted
+
+
+def test_label_types_doubles_and_exact_bound(spark):
+    rows = cases(80)
+    want = run(spark, rows)
+    text = spark.createDataFrame([(i, e, None if c is None else f"label {c}") for i, e, c in rows], "vec_id bigint, embedding array<double>, label string")
+    for recall in (None, 0.9999):
+        assert sorted((tuple(r) for r in link_vectors(text, recall=recall).collect()), key=repr) == want
+    # as floats the first two would be equal, and the third infinite
+    wide = [(1, [1.0, 1e-9], 0), (2, [1.0, 2e-9], 0), (3, [1e300, 1e291], 0)]
+    got = link_vectors(spark.createDataFrame(wide, "vec_id bigint, embedding array<double>, label int")).collect()
+    assert sorted(tuple(r) for r in got) == [(1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False)]
