@@ -3,8 +3,9 @@
 A record's nested field paths (``messages[].role``), reduced to those that any
 mapping names, sorted and hashed, select a declarative mapping that turns the
 record into canonical turns (conv_id, turn, role, text). Fields no mapping names
-never change the fingerprint. The same paths are read off a DataFrame's schema
-(``canonical_turns``) or off a single JSON record (``turns_of_record``).
+never change the fingerprint. The schema of a DataFrame gives the layouts that it
+holds whole, and each row's non-null paths the one it has (``canonical_turns``); the
+same is done for a single JSON record (``turns_of_record``).
 
 The template writes a turn as ``<|im_start|>role\\ntext<|im_end|>\\n``. Inside
 roles and texts a backslash becomes two and ``<|`` becomes ``<\\|``; in a role a
@@ -16,7 +17,9 @@ the piece, so that the text under the mask is each assistant text once.
 
 Null text and null role count as empty. Rows of a conversation follow turn (null
 first), then role, then text, so repeated rows have a fixed place. A null conv_id
-is a conversation of its own.
+is a conversation of its own. An empty table gives no pieces. Very long texts are pieces
+of that length; no conversation is held as a whole. A table that holds a layout whole
+may have columns of any other name, those of other layouts included.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,10 +68,8 @@ KNOWN_PATHS = set().union(*(_paths_of(name) for name in MAPPINGS))
 
 
 def layout_of(paths: set[str]) -> str:
-    found = BY_FINGERPRINT.get(fingerprint(paths & KNOWN_PATHS))
-    if found is None:
-        raise ValueError(f"no mapping for fields {sorted(paths & KNOWN_PATHS)}")
-    return found
+    """By the fingerprint of all known paths, else the whole layout of most fields among them."""
+    return BY_FINGERPRINT.get(fingerprint(paths & KNOWN_PATHS)) or layouts_in(paths)[0]
 
 
 def schema_paths(kind: T.DataType, head: str = "") -> set[str]:
@@ -101,28 +102,60 @@ def turns_of_record(record: dict | str) -> list[tuple[str, str]]:
     return out
 
 
+def layouts_in(paths: set[str]) -> list[str]:
+    """The layouts all of whose fields are among ``paths``, those of most fields first."""
+    found = [name for name in MAPPINGS if _paths_of(name) <= paths]
+    if not found:
+        raise ValueError(f"no mapping for fields {sorted(paths & KNOWN_PATHS)}")
+    return sorted(found, key=lambda name: -len(_paths_of(name)))
+
+
+def row_layout(layouts: list[str]) -> Column:
+    """The layout of each row: the first whose fingerprint the row's own non-null fields give.
+
+    A row that is complete in none (a null text, say) takes the first of which it has a field, or the first.
+    """
+    def shown(name: str) -> list[Column]:
+        return [F.when(F.col(f"`{p.split('[]')[0]}`").isNotNull(), F.lit(p)) for p in sorted(_paths_of(name))]
+
+    complete = [F.when(F.substring(F.sha2(F.concat_ws("\n", *shown(n)), 256), 1, 16) == fingerprint(_paths_of(n)), F.lit(n)) for n in layouts]
+    partly = [F.when(F.coalesce(*shown(n)).isNotNull(), F.lit(n)) for n in layouts]
+    return F.coalesce(*complete, *partly, F.lit(layouts[0]))
+
+
 def canonical_turns(df: DataFrame) -> DataFrame:
-    """Turns of a table in any known layout: conv_id, turn, role, text. The layout is read off the schema."""
-    at, fields = MAPPINGS[layout_of(schema_paths(df.schema))]
+    """Turns of a table in any known layout, or of several, row by row: conv_id, turn, role, text.
+
+    The schema gives the layouts that can occur, and each row's fingerprint its own.
+    Other columns play no part, whatever their names. Raises ValueError if no layout is whole.
+    """
     names = F.create_map(*(F.lit(x) for pair in ROLE_NAMES.items() for x in pair))
-    known = lambda role: F.coalesce(names[role], role)
-    conv = F.col("conv_id").cast("bigint").alias("conv_id")
+    layouts = layouts_in(schema_paths(df.schema))
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    number = F.col("turn").cast("bigint") if "turn" in df.columns else F.lit(None).cast("bigint")
 
     def turn_of(item, role, field):
-        said = item[role[1:]] if role.startswith("@") else F.lit(role)
-        return F.struct(known(F.coalesce(said.cast("string"), F.lit(""))).alias("role"), F.coalesce(item[field].cast("string"), F.lit("")).alias("text"))
-
-    if at is None and fields[0][0].startswith("@"):
-        role, field = fields[0]
-        return df.select(conv, F.col("turn").cast("bigint").alias("turn"), F.coalesce(F.col(role[1:]).cast("string"), F.lit("")).alias("role"),
-                         F.coalesce(F.col(field).cast("string"), F.lit("")).alias("text"))
-    if at:
-        ((role, field),) = fields
-        turns = F.transform(at, lambda item: turn_of(item, role, field))
-    else:
-        row = F.struct("*")
-        turns = F.filter(F.array(*(turn_of(row, r, f).withField("skip", F.lit(f == "input")) for r, f in fields)), lambda t: ~(t["skip"] & (t["text"] == "")))
-    return df.select(conv, F.posexplode(turns).alias("turn", "said")).select("conv_id", F.col("turn").cast("bigint").alias("turn"), "said.role", "said.text")
+        said = text(item[role[1:]]) if role.startswith("@") else F.lit(role)
+        return F.struct(F.coalesce(names[said], said).alias("role"), text(item[field]).alias("text"))
+
+    def turns_in(layout: str) -> Column:
+        at, fields = MAPPINGS[layout]
+        if layout == "rows":
+            return F.array(F.struct(number.alias("turn"), text(F.col("role")).alias("role"), text(F.col("text")).alias("text")))
+        if at:
+            ((role, field),) = fields
+            turns = F.coalesce(F.transform(at, lambda item: turn_of(item, role, field)), F.array().cast("array<struct<role: string, text: string>>"))
+        else:
+            row = {f: F.col(f"`{f}`") for _, f in fields}
+            turns = F.array(*(turn_of(row, r, f).withField("skip", F.lit(f == "input")) for r, f in fields))
+            turns = F.filter(turns, lambda t: ~(t["skip"] & (t["text"] == "")))
+        return F.transform(turns, lambda t, i: F.struct(i.cast("bigint").alias("turn"), t["role"].alias("role"), t["text"].alias("text")))
+
+    conv = F.col("conv_id").cast("bigint").alias("conv_id")
+    if layouts == ["rows"]:
+        return df.select(conv, number.alias("turn"), text(F.col("role")).alias("role"), text(F.col("text")).alias("text"))
+    said = turns_in(layouts[0]) if len(layouts) == 1 else F.coalesce(*(F.when(row_layout(layouts) == n, turns_in(n)) for n in layouts))
+    return df.select(conv, F.explode(said).alias("said")).select("conv_id", "said.turn", "said.role", "said.text")
 
 
 def escape(text: str) -> str:

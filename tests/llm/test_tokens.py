@@ -142,3 +142,38 @@ def test_layouts(spark):
     ]
     for df in frames:
         assert [(r.role, r.text) for r in chat.canonical_turns(df).orderBy("turn").collect()] == want
+
+
+def test_mixed_layouts_and_clashing_names(spark):
+    def turns(df):
+        out = {}
+        for r in chat.canonical_turns(df).orderBy("conv_id", "turn", "role", "text").collect():
+            out.setdefault(r.conv_id, []).append((r.role, r.text))
+        return out
+
+    schema = "conv_id bigint, messages array<struct<role: string, content: string>>, prompt string, response string, instruction string, input string, output string, system string"
+    mixed = spark.createDataFrame([
+        (1, [("user", "hi"), ("assistant", "yo")], None, None, None, None, None, None), (2, None, "p", "r", None, None, None, None),
+        (3, None, None, None, "i", None, "o", None), (4, None, None, None, "i", "x", "o", None), (5, None, "p", "r", None, None, None, "s"),
+        (6, None, "p", None, None, None, None, None), (7, None, None, None, None, None, None, None), (8, [("gpt", None)], "stray", None, None, None, None, "stray"),
+    ], schema)
+    assert turns(mixed) == {
+        1: [("user", "hi"), ("assistant", "yo")], 2: [("user", "p"), ("assistant", "r")], 3: [("user", "i"), ("assistant", "o")],
+        4: [("user", "i"), ("user", "x"), ("assistant", "o")], 5: [("system", "s"), ("user", "p"), ("assistant", "r")],
+        6: [("system", ""), ("user", "p"), ("assistant", "")], 7: [("user", ""), ("assistant", "")], 8: [("assistant", "")],
+    }
+    rows = [(1, 0, "user", None, "p", "s", "x", [1]), (1, 1, "assistant", "yo", None, None, None, None)]
+    clash = spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string, prompt string, system string, input string, messages array<int>")
+    assert turns(clash) == {1: [("user", ""), ("assistant", "yo")]}
+    with pytest.raises(ValueError):
+        chat.canonical_turns(clash.select("conv_id", "prompt"))
+    with pytest.raises(ValueError):
+        chat.turns_of_record({"prompt": "only"})
+    assert chat.turns_of_record({"role": "user", "text": "hi", "prompt": "stray"}) == [("user", "hi")]
+
+
+def test_very_long_turn(spark):
+    said = "a<|b\\" * 300_000
+    df = spark.createDataFrame([(1, 0, "assistant", said)], "conv_id bigint, turn int, role string, text string")
+    (row,) = chat.read_chat(chat.format_chat(chat.canonical_turns(df))).collect()
+    assert row.loss_chars == len(said) and row.loss_sha256 == hashlib.sha256(said.encode()).hexdigest()
