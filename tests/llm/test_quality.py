@@ -88,3 +88,56 @@ def test_pairs_are_learnt():
     model = classifier.fit(x[:2000], y[:2000])
     assert np.mean((model.score(x[2000:]) >= 0.5) == y[2000:]) > 0.9
     assert (model.score(x) == classifier.fit(x[:2000], y[:2000]).score(x)).all()
+
+
+def test_score_by_plain_look_ups():
+    """Row by row: a bin is the number of edges at or below the value, and tables are added up."""
+    rnd = np.random.default_rng(2)
+    x = np.round(rnd.uniform(size=(400, len(classifier.FEATURES))), 2)
+    model = classifier.fit(x[:300], (x[:300, 1] + x[:300, 4] * x[:300, 5] > 0.8).astype(float))
+    for row, score in zip(x, model.score(x), strict=True):
+        spot = lambda edges, value: sum(e <= value for e in edges)
+        total = model.base + sum(t[spot(model.edges[j], row[j])] for j, t in enumerate(model.tables))
+        total += sum(t[spot(model.coarse[a], row[a]), spot(model.coarse[b], row[b])] for a, b, t in model.pairs)
+        assert abs(score - 1 / (1 + np.exp(-total))) < 1e-12
+
+
+def _leaf(g, h):
+    return g * g / (h + classifier.RIDGE)
+
+
+def test_first_split_of_a_tree_by_trying_all():
+    rnd = np.random.default_rng(4)
+    for _ in range(50):
+        g, h = rnd.normal(size=9), rnd.uniform(0.01, 1, 9)
+        gains = [_leaf(g[:k].sum(), h[:k].sum()) + _leaf(g[k:].sum(), h[k:].sum()) - _leaf(g.sum(), h.sum()) for k in range(1, 9)]
+        k = int(np.argmax(gains)) + 1
+        k = k if max(gains) > 1e-9 else 9  # no cut where the ridge makes none worth it
+        want = np.concatenate([np.full(k, -g[:k].sum() / (h[:k].sum() + classifier.RIDGE)), np.full(9 - k, -g[k:].sum() / (h[k:].sum() + classifier.RIDGE))])
+        assert np.allclose(classifier._tree(g, h, leaves=2), want)
+
+
+def test_quadrants_by_trying_all_cuts():
+    rnd = np.random.default_rng(6)
+    for _ in range(30):
+        g, h = rnd.normal(size=(4, 5)), rnd.uniform(0.01, 1, (4, 5))
+        best, want = -np.inf, None
+        for i in range(1, 4):
+            for j in range(1, 5):
+                boxes = [(slice(None, i), slice(None, j)), (slice(None, i), slice(j, None)), (slice(i, None), slice(None, j)), (slice(i, None), slice(j, None))]
+                gain = sum(_leaf(g[b].sum(), h[b].sum()) for b in boxes) - _leaf(g.sum(), h.sum())
+                if gain > best:
+                    best, want = gain, np.zeros_like(g)
+                    for b in boxes:
+                        want[b] = -g[b].sum() / (h[b].sum() + classifier.RIDGE)
+        gain, table = classifier._quadrants(g, h)
+        assert abs(gain - best) < 1e-9 and np.allclose(table, want)
+
+
+def test_odd_column_names(spark):
+    """The rows' own columns stay as they are, whatever their names."""
+    docs = spark.createDataFrame([(1, "some text " * 30, 5, 6, "x"), (2, "", 7, 8, "y")], "doc_id bigint, text string, `token-count` int, `a b` int, score string")
+    found = classifier.score_documents(docs, classifier.Model())
+    assert sorted(tuple(r) for r in found.select("_row.*").collect()) == sorted(tuple(r) for r in docs.collect())
+    assert {r.score for r in found.collect()} == {0.5}
+    assert classifier.keep_by_score(docs, spark.createDataFrame([], "doc_id bigint, quality int")).columns == docs.columns
