@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import prepare, text_or_empty, values
+from factloom.llm.common import drop_caches, fresh, prepare, text_or_empty, values
 
 FIT_ROWS = 20_000
 FOLDS = 5
@@ -191,7 +191,7 @@ def _measured(docs: DataFrame) -> DataFrame:
             x = [features(t) for (t,) in values(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "x"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, "doc_id bigint, x array<double>")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(fresh(run), "doc_id bigint, x array<double>")
 
 
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
@@ -210,14 +210,13 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD)
     """Each row as ``_row``, with score and predicted."""
     prepare(docs.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.array([features(t) for (t,) in values(batch, "text")], np.float64).reshape(batch.num_rows, len(FEATURES))
-            score = model.score(x)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["_row", "score", "predicted"])
+    # only the text goes to Python, once; the row waits beside
+    def run(texts: pa.Array) -> pa.Array:
+        drop_caches()
+        return pa.array(model.score(np.array([features(t.as_py()) for t in texts], np.float64).reshape(len(texts), len(FEATURES))), pa.float64())
 
-    rows = docs.select(F.struct("*").alias("_row"), text_or_empty().alias("text"))
-    return rows.mapInArrow(run, f"_row {rows.schema['_row'].dataType.simpleString()}, score double, predicted int")
+    scored = docs.select(F.struct("*").alias("_row"), F.arrow_udf(run, "double").asNondeterministic()(text_or_empty()).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def keep_by_score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -6,11 +6,15 @@ comes from the hashes that SimHash has made of the same text already.
 - Each text has BANDS keys, each of ROWS least values of the set under other
   multipliers. Two texts at similarity s share a key with probability
   1 - (1 - s^ROWS)^BANDS: 0.99997 at 0.8.
-- All texts with one key are paired with the least and the greatest of them: a
-  linear number of rows, however common a key is. Of two or three texts that is
-  every pair; of more, those like neither of the two have to meet under other keys.
-- Pairs inside one component, or of sizes too far apart, go; the others are
-  verified by their whole sets.
+- All texts with one key are paired with two centres among them, a linear number of
+  rows, however common a key is. Pairs inside one component, or of sizes too far
+  apart, go; the others are verified by their whole sets.
+- Centres, and texts alike with one or in its component, are then done with under that
+  key; links found so far join components; the rest meets again under twice as many
+  centres, until no key has two texts left. So of texts unlike each other all pairs are
+  compared, and of near copies few.
+  Not compared under a key are a text that went with its centre, and one unlike that
+  centre: these have to meet under another key.
 
 Texts of fewer than five words have no key: those with equal words have one
 fingerprint and are linked by it.
@@ -23,10 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import Rows, own_shuffle, stage, text_or_empty, values
+from factloom.llm.common import Rows, fresh, own_shuffle, stage, text_or_empty, values
+from factloom.llm.components import components
 
 WORDS = 5
 SIMILAR = 0.8
@@ -79,30 +84,69 @@ def _verified(set_of):
             return held[t]
 
         for batch in batches:
-            out = Rows(pa.schema([("a", pa.int64()), ("b", pa.int64())]))
-            for ta, tb, a, b, text_a, text_b in values(batch, "ta", "tb", "ca", "cb", "text_a", "text_b"):
+            out = Rows(pa.schema([("ta", pa.int64()), ("tb", pa.int64())]))
+            for ta, tb, text_a, text_b in values(batch, "ta", "tb", "text_a", "text_b"):
                 if similarity(get(ta, text_a), get(tb, text_b)) >= SIMILAR:
-                    out.add((a, b))
+                    out.add((ta, tb))
             yield out.take()
 
     return run
 
 
+def _met(rows: DataFrame) -> DataFrame:
+    """The rows whose key has another one."""
+    several = rows.groupBy("key").agg(F.count("*").alias("many")).filter("many > 1").select("key")
+    return rows.join(own_shuffle(several, "key"), "key")
+
+
+def _centred(rest: DataFrame, centres: int) -> DataFrame:
+    """The ``centres`` texts of each key that are least by a hash: (key, e, ec, en)."""
+    order = Window.partitionBy("key").orderBy(F.xxhash64("t"), "t")
+    first = rest.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= centres)
+    return first.select("key", F.col("t").alias("e"), F.col("c").alias("ec"), F.col("n").alias("en"))
+
+
 def links(docs: DataFrame, texts: DataFrame, keyed: DataFrame, set_of) -> DataFrame:
     """Links (a, b) between components that hold texts alike.
 
     ``texts`` has one row (t, c, n) of each text with keys: its hash, component
-    and number of shingles; ``keyed`` a row (t, key) of each key. ``set_of`` gives a text's set.
+    and number of shingles; ``keyed`` a row (t, key) of each key of each text.
+    ``set_of`` gives a text's set. A round takes a few stored tables; there are
+    about log2 of the greatest number of unlike texts under one key.
     """
-    ends = keyed.groupBy("key").agg(F.min("t").alias("low"), F.max("t").alias("high")).filter("low <> high")
-    met = keyed.join(own_shuffle(ends, "key"), "key").select("t", F.explode(F.array("low", "high")).alias("end")).filter("t <> end")
-    pairs = met.select(F.least("t", "end").alias("ta"), F.greatest("t", "end").alias("tb")).distinct()
-    side = lambda s: own_shuffle(texts, "t").select(F.col("t").alias(f"t{s}"), F.col("c").alias(f"c{s}"), F.col("n").alias(f"n{s}"))
-    alike = pairs.join(side("a"), "ta").join(side("b"), "tb").filter("ca <> cb").filter(F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(SIMILAR))
-    alike = stage(alike.select("ta", "tb", "ca", "cb"))
-    wanted = alike.select(F.explode(F.array("ta", "tb")).alias("t")).distinct()
+    rest = stage(_met(keyed).join(own_shuffle(texts, "t"), "t").select("key", "t", "c", "n"))
+    linked, centres = None, 2
+    while True:
+        first = stage(_centred(rest, centres))
+        # a key has at most ``centres`` rows on the right side
+        met = rest.join(own_shuffle(first, "key"), "key").filter("t <> e")
+        wanted = met.filter("c <> ec").filter(F.least("n", "en") >= F.greatest("n", "en") * F.lit(SIMILAR))
+        pairs = wanted.select(F.least("t", "e").alias("ta"), F.greatest("t", "e").alias("tb")).distinct()
+        alike = stage(_verify(docs, pairs, set_of))
+        ends = stage(alike.join(_side(texts, "a"), "ta").join(_side(texts, "b"), "tb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).filter("a <> b").distinct())
+        linked = ends if linked is None else linked.union(ends)
+        both = alike.union(alike.select(F.col("tb").alias("ta"), F.col("ta").alias("tb")))
+        near = met.join(both, (met.t == both.ta) & (met.e == both.tb), "left_semi").union(met.filter("c = ec")).select("key", "t")
+        gone = first.select("key", F.col("e").alias("t")).union(near).distinct()
+        left = stage(_met(stage(rest.join(gone, ["key", "t"], "left_anti"))))
+        if left.isEmpty():
+            return linked.distinct()
+        # texts whose components have met by now need no comparing
+        member = stage(components(linked))
+        moved = left.join(own_shuffle(member.withColumnRenamed("node", "c"), "c"), "c", "left")
+        rest, centres = stage(moved.select("key", "t", F.coalesce("component", "c").alias("c"), "n")), 2 * centres
+
+
+def _side(texts: DataFrame, s: str) -> DataFrame:
+    return own_shuffle(texts, "t").select(F.col("t").alias(f"t{s}"), F.col("c").alias(f"c{s}"))
+
+
+def _verify(docs: DataFrame, pairs: DataFrame, set_of) -> DataFrame:
+    """The pairs (ta, tb) whose texts are alike by their whole sets."""
+    pairs = stage(pairs)
+    wanted = pairs.select(F.explode(F.array("ta", "tb")).alias("t")).distinct()
     shown = docs.select(F.xxhash64(text_or_empty()).alias("t"), text_or_empty().alias("text")).join(wanted, "t", "left_semi")
     shown = stage(shown.dropDuplicates(["t"]))
     of = lambda s: shown.select(F.col("t").alias(f"t{s}"), F.col("text").alias(f"text_{s}"))
-    both = alike.join(of("a"), "ta").join(of("b"), "tb")
-    return both.mapInArrow(_verified(set_of), "a bigint, b bigint").distinct()
+    both = pairs.join(of("a"), "ta").join(of("b"), "tb")
+    return both.mapInArrow(fresh(_verified(set_of)), "ta bigint, tb bigint")

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm import shingles
-from factloom.llm.common import Rows, own_shuffle, prepare, stage, text_or_empty, values
+from factloom.llm.common import Rows, fresh, own_shuffle, prepare, stage, text_or_empty, values
 from factloom.llm.components import components
 
 RADIUS = 3
@@ -124,7 +124,7 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
                 out.add((doc_id, signed(fingerprint(text, size))))
             yield out.take()
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(compute, "doc_id bigint, fp bigint")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(fresh(compute), "doc_id bigint, fp bigint")
 
 
 def _column(batch: pa.RecordBatch, name: str, kind=np.uint64) -> np.ndarray:
@@ -219,13 +219,13 @@ def _star(columns: list[np.ndarray]) -> list[pa.Array]:
 
 def links(distinct: DataFrame) -> DataFrame:
     """Links (a, b) between distinct fingerprints ``fp`` that span the components of all pairs within RADIUS."""
-    keys = distinct.select("fp").mapInArrow(_emit(_sieve_rows, "q byte, key bigint, fp bigint"), "q byte, key bigint, fp bigint")
+    keys = distinct.select("fp").mapInArrow(fresh(_emit(_sieve_rows, "q byte, key bigint, fp bigint")), "q byte, key bigint, fp bigint")
     # one number for both: two keys that share it by chance only let a fingerprint pass the sieve
     one = keys.select(F.xxhash64("q", "key").alias("key"), "fp")
-    met = one.repartition("key").sortWithinPartitions("key").mapInArrow(_runs(("key", "fp"), _met, pa.schema([("fp", pa.int64())])), "fp bigint").distinct()
-    balls = stage(met).mapInArrow(_emit(ball_rows, "variant bigint, fp bigint, far boolean"), "variant bigint, fp bigint, far boolean")
+    met = one.repartition("key").sortWithinPartitions("key").mapInArrow(fresh(_runs(("key", "fp"), _met, pa.schema([("fp", pa.int64())]))), "fp bigint").distinct()
+    balls = stage(met).mapInArrow(fresh(_emit(ball_rows, "variant bigint, fp bigint, far boolean")), "variant bigint, fp bigint, far boolean")
     pairs = balls.repartition("variant").sortWithinPartitions("variant").mapInArrow(
-        _runs(("variant", "fp", "far"), _star, pa.schema([("a", pa.int64()), ("b", pa.int64())])), "a bigint, b bigint")
+        fresh(_runs(("variant", "fp", "far"), _star, pa.schema([("a", pa.int64()), ("b", pa.int64())]))), "a bigint, b bigint")
     return pairs.distinct()
 
 
@@ -260,7 +260,7 @@ def sketches(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
             yield out.take()
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text_or_empty()).alias("t"), text_or_empty().alias("text"))
-    return rows.mapInArrow(compute, "doc_id bigint, fp bigint, t bigint, n bigint, bands array<bigint>")
+    return rows.mapInArrow(fresh(compute), "doc_id bigint, fp bigint, t bigint, n bigint, bands array<bigint>")
 
 
 def near_components(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -268,7 +268,8 @@ def near_components(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     found = stage(sketches(docs, size))
     placed = stage(_placed(found).select("fp", "component"))
     texts = stage(found.filter("n > 0").select("t", "fp", "n").distinct().join(placed, "fp").select("t", F.col("component").alias("c"), "n"))
-    keyed = found.filter("n > 0").select("t", F.explode("bands").alias("key"))
+    # copies of a text have one row before its keys are spread
+    keyed = stage(found.filter("n > 0").select("t", "bands").dropDuplicates(["t"])).select("t", F.explode("bands").alias("key"))
     member = components(shingles.links(docs, texts, keyed, shingle_set))
     joined = placed.join(member, placed.component == member.node, "left").select("fp", F.coalesce(member.component, placed.component).alias("component"))
     return found.select("doc_id", "fp", "t").join(stage(joined), "fp").select("doc_id", "t", "component")
@@ -284,6 +285,7 @@ def keep_one(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     found = near_components(docs, size)
     first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("row"))
     kept = first.select(F.col("row.doc_id").alias("_kept_id"), F.col("row.t").alias("_kept_text"))
-    rows = docs.withColumn("_own_text", F.xxhash64(text_or_empty()))
-    of_kept = (rows["_own_text"] == kept["_kept_text"]) & rows["doc_id"].eqNullSafe(kept["_kept_id"])
-    return rows.join(kept, of_kept, "left_semi").dropDuplicates(["doc_id", "_own_text"]).select(*docs.columns)
+    # own columns inside a struct: none of their names meets one of ours
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64(text_or_empty()).alias("t"), F.col("doc_id").cast("bigint").alias("id"))
+    of_kept = (rows["t"] == kept["_kept_text"]) & rows["id"].eqNullSafe(kept["_kept_id"])
+    return rows.join(kept, of_kept, "left_semi").dropDuplicates(["id", "t"]).select("row.*")

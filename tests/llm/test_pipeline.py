@@ -9,7 +9,7 @@ from factloom.llm import classifier, rules
 
 from .test_quality import plain as counts
 from .test_repeats import brute as brute_repeats
-from .test_simhash import brute as brute_simhash
+from .test_shingles import brute_kept
 from .test_tokens import plain as ids_of
 
 SF = "/root/testdata/sf0.001"
@@ -24,7 +24,7 @@ def test_run(spark):
     train = [(d, t) for d, t in rows if d in labels and zlib.crc32(str(d).encode()) % 5]
     model = classifier.fit(np.array([classifier.features(t) for _, t in train]), np.array([float(labels[d]) for d, _ in train]))
     rows = [r for r, s in zip(rows, model.score(np.array([classifier.features(t) for _, t in rows])), strict=True) if s >= 0.3]
-    first = {d for d, _, c in brute_simhash(rows) if d == c}
+    first = set(brute_kept(rows))
     rows = [r for r in rows if r[0] in first]
     left = {}
     for d, n, gone, _, _ in brute_repeats(rows):

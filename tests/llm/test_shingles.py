@@ -63,3 +63,45 @@ def test_keep_one_with_repeated_and_missing_ids(spark):
     ]
     kept = simhash.keep_one(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
     assert sorted(map(tuple, kept), key=repr) == sorted([docs[0], docs[1], docs[2], docs[4]], key=repr)
+
+
+def test_bands_of_unlike_texts(spark):
+    """Groups of near copies that share a key with texts of other groups: one long common part, unlike rests."""
+    rnd = random.Random(3)
+    words = [f"w{i}" for i in range(900)]
+    common = [rnd.choice(words) for _ in range(90)]
+    docs = []
+    for g in range(9):
+        own = [rnd.choice(words) for _ in range(60)]
+        for k in range(3):
+            copy = own[:]
+            copy[rnd.randrange(60)] = f"n{g}x{k}"
+            docs.append((10 * g + k, " ".join(common + copy)))
+    assert simhash.keep_one(spark.createDataFrame(docs, "doc_id bigint, text string")).count() == len(brute_kept(docs)) == 9
+
+
+def test_settled_key(spark):
+    """Under a single key all texts that are unlike each other are compared."""
+    from pyspark.sql import functions as F
+
+    from factloom.llm import shingles
+    from factloom.llm.common import stage
+
+    rnd = random.Random(6)
+    words = [f"w{i}" for i in range(500)]
+    docs = []
+    for g in range(7):
+        own = [rnd.choice(words) for _ in range(40)]
+        docs += [(2 * g, " ".join(own)), (2 * g + 1, " ".join([*own, "end"]))]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    t = F.xxhash64("text")
+    texts = stage(df.select(t.alias("t"), F.col("doc_id").alias("c"), (F.size(F.split("text", " ")) - 4).cast("bigint").alias("n")))
+    keyed = df.select(t.alias("t"), F.lit(1).cast("bigint").alias("key"))
+    found = {tuple(sorted((r.a, r.b))) for r in shingles.links(df, texts, keyed, simhash.shingle_set).collect()}
+    assert found == {(2 * g, 2 * g + 1) for g in range(7)}
+
+
+def test_keep_one_keeps_odd_columns(spark):
+    df = spark.createDataFrame([(1, "a b", 7, 8, 9), (2, "a b", 5, 6, 9)], "doc_id bigint, text string, _own_text int, `a b` int, t int")
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns and [tuple(r) for r in kept.collect()] == [(1, "a b", 7, 8, 9)]
