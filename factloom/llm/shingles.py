@@ -10,7 +10,7 @@ comes from the hashes that SimHash has made of the same text already.
   rows, however common a key is. Pairs inside one component, or of sizes too far
   apart, go; the others are verified by their whole sets.
 - Centres, and texts alike with one or in its component, are then done with under that
-  key; links found so far join components; the rest meets again under twice as many
+  key; links found so far join components; the rest meets again under four times as many
   centres, until no key has two texts left. So of texts unlike each other all pairs are
   compared, and of near copies few.
   Not compared under a key are a text that went with its centre, and one unlike that
@@ -112,7 +112,7 @@ def links(docs: DataFrame, texts: DataFrame, keyed: DataFrame, set_of) -> DataFr
     ``texts`` has one row (t, c, n) of each text with keys: its hash, component
     and number of shingles; ``keyed`` a row (t, key) of each key of each text.
     ``set_of`` gives a text's set. A round takes a few stored tables; there are
-    about log2 of the greatest number of unlike texts under one key.
+    about log4 of the greatest number of unlike texts under one key.
     """
     rest = stage(_met(keyed).join(own_shuffle(texts, "t"), "t").select("key", "t", "c", "n"))
     linked, centres = None, 2
@@ -134,7 +134,7 @@ def links(docs: DataFrame, texts: DataFrame, keyed: DataFrame, set_of) -> DataFr
         # texts whose components have met by now need no comparing
         member = stage(components(linked))
         moved = left.join(own_shuffle(member.withColumnRenamed("node", "c"), "c"), "c", "left")
-        rest, centres = stage(moved.select("key", "t", F.coalesce("component", "c").alias("c"), "n")), 2 * centres
+        rest, centres = stage(moved.select("key", "t", F.coalesce("component", "c").alias("c"), "n")), 4 * centres
 
 
 def _side(texts: DataFrame, s: str) -> DataFrame:
