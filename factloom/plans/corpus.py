@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from factloom.functions import text as T
-from factloom.session import spread
+from factloom.session import FILES_PER_TASK, spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,7 +59,7 @@ static int run_{k}(struct ops_{s} *p, int n)
 
 
 def c_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = spread(table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_size", "p_brand"))
+    part = spread(table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_size", "p_brand"), FILES_PER_TASK)
     v = {
         "k": F.col("p_partkey").cast("string"), "t": F.lower("p_type"), "s": F.col("p_size").cast("string"),
         "b": F.replace("p_brand", F.lit("Brand#"), F.lit("")),
@@ -83,7 +83,7 @@ public class Customer{k} extends Base{n} implements Audit{n}, Scored {(}
 
 
 def java_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customer = spread(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment"))
+    customer = spread(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment"), FILES_PER_TASK)
     v = {
         "k": F.col("c_custkey").cast("string"), "n": F.col("c_nationkey").cast("string"), "g": F.lower("c_mktsegment"),
     }
@@ -108,7 +108,7 @@ object Job{k} extends App {(}
 
 
 def scala_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customer = spread(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment"))
+    customer = spread(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment"), FILES_PER_TASK)
     v = {
         "k": F.col("c_custkey").cast("string"), "n": F.col("c_nationkey").cast("string"), "g": F.lower("c_mktsegment"),
     }
@@ -140,7 +140,7 @@ if __name__ == "__main__":
 
 
 def python_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_custkey"))
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_custkey"), FILES_PER_TASK)
     v = {
         "k": F.col("o_orderkey").cast("string"), "s": F.lower("o_orderstatus"), "c": F.col("o_custkey").cast("string"),
     }
@@ -158,7 +158,7 @@ DELETE FROM old_{s} WHERE id = {k}
 
 
 def sql_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_custkey"))
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_custkey"), FILES_PER_TASK)
     v = {"k": F.col("o_orderkey").cast("string"), "s": F.lower("o_orderstatus")}
     return _files(orders, "o_orderkey", _text("sql/{s}/o_{k}.sql", **v), _text(SQL_FILE, **v), "SQL")
 
@@ -176,7 +176,7 @@ XML_FILE = """<?xml version="1.0"?>
 
 
 def xml_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    supplier = spread(table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"))
+    supplier = spread(table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), FILES_PER_TASK)
     v = {"k": F.col("s_suppkey").cast("string"), "n": F.col("s_nationkey").cast("string")}
     return _files(supplier, "s_suppkey", _text("conf/nation_{n}/pipe_{k}.xml", **v), _text(XML_FILE, **v), "XML")
 
@@ -191,7 +191,7 @@ SELECT * FROM raw JOIN ghost_{s}; udf_{n} and UDF_99 are used.
 
 def analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text about each Python file, as a text generator would write it."""
-    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_custkey"))
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_custkey"), FILES_PER_TASK)
     v = {
         "k": F.col("o_orderkey").cast("string"), "s": F.lower("o_orderstatus"), "c": F.col("o_custkey").cast("string"),
         "n": (F.col("o_custkey") % 30).cast("string"),
@@ -235,7 +235,7 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def part_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same report with a part's name as text."""
-    part = spread(table(spark, sf_dir, "part").select("p_partkey", "p_name"))
+    part = spread(table(spark, sf_dir, "part").select("p_partkey", "p_name"), FILES_PER_TASK)
     v = {"k": F.col("p_partkey").cast("string"), "text": F.col("p_name"), "e": F.lit(" ")}
     return part.select(F.col("p_partkey").alias("doc"), _text(REPORT, **v).alias("markdown"))
 
@@ -254,7 +254,7 @@ flowchart TD
 
 def module_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A generated analysis per part, as if each part were a module."""
-    part = spread(table(spark, sf_dir, "part").select("p_partkey", "p_name"))
+    part = spread(table(spark, sf_dir, "part").select("p_partkey", "p_name"), FILES_PER_TASK)
     v = {"k": F.col("p_partkey").cast("string"), "name": F.col("p_name")}
     return part.select(_text("src_part_{k}", **v).alias("module"), _text(MODULE_TEXT, **v).alias("markdown"))
 
@@ -281,14 +281,14 @@ flowchart LR
 
 
 def diagrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = spread(table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_size", "p_brand"))
+    part = spread(table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_size", "p_brand"), FILES_PER_TASK)
     v = {"k": F.col("p_partkey").cast("string")}
     return part.select(F.col("p_partkey").alias("doc"), _text(DIAGRAM, **v).alias("markdown"))
 
 
 def stream_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chat response bodies: an event stream on odd rows, plain JSON on even ones."""
-    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_custkey"))
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_custkey"), FILES_PER_TASK)
     k = F.col("o_orderkey").cast("string")
     chunk = lambda c: F.to_json(F.struct(F.array(F.struct(F.struct(c.alias("content")).alias("delta"))).alias("choices")))
     stream = F.concat(
