@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from factloom.functions import text as T
 from factloom.operators.ordered import running_max
+from factloom.session import stage_table
 
 HOT_SHARE = 64
 SALTS = 32
@@ -156,12 +157,31 @@ def fuzzy_match(
     return every.groupBy("name").agg(F.min("candidate").alias("matched_to"))
 
 
+# counts of words by hash, which order them from rare to common
+SKETCH = 1 << 16
+
+
+def _commonness(words: DataFrame) -> Column:
+    """How common the words (column word) of each hash slot are, a byte per slot: the bits of their count."""
+    counts = words.groupBy(_slot(F.col("word")).alias("slot")).agg(F.count("*").alias("n"))
+    sketch = bytearray(SKETCH)
+    for slot, n in counts.collect():  # a row per slot at most, whatever the number of words
+        sketch[slot] = n.bit_length()
+    return F.lit(bytes(sketch))
+
+
+def _slot(word: Column) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(SKETCH)).cast("int")
+
+
 def similar_words(names: DataFrame, candidates: DataFrame, threshold: float) -> DataFrame:
     """(name, candidate) for the first candidate whose words overlap enough.
 
     Set similarity join with prefix filtering: words are ordered from rare to
     common, and two sets can only reach the threshold if they share one of
     their first n - ceil(t * n) + 1 words. Equal word sets are joined once.
+    Any order both sides share will do, so words are ordered by how common their
+    hash slot is, inside the row: no word is shuffled to find its place.
     """
     def word_sets(df: DataFrame, column: str) -> DataFrame:
         return df.select(
@@ -169,24 +189,19 @@ def similar_words(names: DataFrame, candidates: DataFrame, threshold: float) ->
         ).where(F.size("words") > 0)
 
     n_sets = word_sets(names, "name")
-    c_sets = word_sets(candidates, "candidate").groupBy("words").agg(F.min("candidate").alias("candidate"))
-    frequency = (
-        c_sets.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("freq"))
-    )
+    # read twice: for the counts and for the pairs
+    c_sets = stage_table(word_sets(candidates, "candidate").groupBy("words").agg(F.min("candidate").alias("candidate")))
+    common = _commonness(c_sets.select(F.explode("words").alias("word")))
 
-    def prefixes(df: DataFrame) -> DataFrame:
-        ids = df.select("words").distinct()
-        words = ids.select("words", F.explode("words").alias("word")).join(frequency, "word", "left")
-        order = Window.partitionBy("words").orderBy(F.coalesce("freq", F.lit(0)), "word")
-        keep = F.size("words") - F.ceil(F.size("words") * threshold - 1e-9).cast("int") + 1
-        return words.withColumn("at", F.row_number().over(order)).where(F.col("at") <= keep).select("words", "word")
+    def prefix(words: str) -> Column:
+        ordered = F.array_sort(F.transform(words, lambda w: F.struct(F.substring(common, _slot(w) + 1, F.lit(1)).alias("n"), w.alias("w"))))
+        keep = F.size(words) - F.ceil(F.size(words) * threshold - 1e-9).cast("int") + 1
+        return F.explode(F.transform(F.slice(ordered, F.lit(1), keep), lambda r: r["w"])).alias("word")
 
-    left = prefixes(n_sets).withColumnRenamed("words", "a")
-    right = prefixes(c_sets).withColumnRenamed("words", "b")
+    left = n_sets.select(F.col("words").alias("a")).distinct().select("a", prefix("a"))
+    right = c_sets.select(F.col("words").alias("b"), "candidate", prefix("words"))
     near = (F.size("b") >= F.size("a") * threshold - 1e-9) & (F.size("a") >= F.size("b") * threshold - 1e-9)
-    pairs = (
-        left.join(right, "word").where(near).select("a", "b").distinct()
-        .where(T.jaccard(F.col("a"), F.col("b")) >= threshold)
-    )
-    named = pairs.join(c_sets, pairs["b"] == c_sets["words"]).groupBy("a").agg(F.min("candidate").alias("candidate"))
+    # a pair that shares several of those words is met several times, which the minimum does not mind
+    alike = left.join(right, "word").where(near).where(T.jaccard(F.col("a"), F.col("b")) >= threshold)
+    named = alike.groupBy("a").agg(F.min("candidate").alias("candidate"))
     return n_sets.join(named, n_sets["words"] == named["a"]).select("name", "candidate")
