@@ -100,8 +100,13 @@ def symbols(facts: DataFrame) -> DataFrame:
     return rows.select(*[c for c in schema.SYMBOL_COLUMNS if c in facts.columns])
 
 
+def _named(facts: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """Those of the columns that were extracted, with another name for ``name``."""
+    return facts.select(*[F.col(c).alias(name if c == "name" else c) for c in columns if c in facts.columns])
+
+
 def imports(facts: DataFrame) -> DataFrame:
-    return facts.where(F.col("fact") == "import").select("path", "seq", F.col("name").alias("source"), "line", "module")
+    return _named(facts.where(F.col("fact") == "import"), ["path", "seq", "name", "line", "module"], "source")
 
 
 def errors(facts: DataFrame) -> DataFrame:
@@ -109,7 +114,7 @@ def errors(facts: DataFrame) -> DataFrame:
 
 
 def direct_calls(facts: DataFrame) -> DataFrame:
-    return facts.where(F.col("fact") == "call").select("path", "seq", "caller", F.col("name").alias("callee"), "line")
+    return _named(facts.where(F.col("fact") == "call"), ["path", "seq", "caller", "name", "line"], "callee")
 
 
 def xml_sql(facts: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from factloom.operators import extract as X, facts, truth
 from factloom.plans import corpus as P
-from factloom.plans.q_code import PB, QB, SB, _PY_CALLS, i, python_graph, rows
+from factloom.plans.q_code import PB, QB, SB, _PY_CALLS, i, python_edges, python_graph, rows
 from factloom.plans.registry import query
 from factloom.session import stage_table
 
@@ -95,19 +95,19 @@ def known_names(spark, d):
 
 @query("call_edges", f"SELECT DISTINCT caller, callee FROM ({_PY_CALLS})")
 def call_edges(spark, d):
-    return truth.call_edges(python_graph(spark, d, "call")[1])
+    return truth.call_edges(python_edges(spark, d, "caller", "name"))
 
 
 @query("missing_calls", f"""
 SELECT DISTINCT callee FROM ({_PY_CALLS}) WHERE callee NOT IN (SELECT name FROM {_MENTION} m)""")
 def missing_calls(spark, d):
     found = truth.mentions(P.analyses(spark, d), ["doc"])
-    return truth.missing_calls(python_graph(spark, d, "call")[1], found)
+    return truth.missing_calls(python_edges(spark, d, "name"), found)
 
 
 @query("imports_index", rows(PB, *(f"path, '{s}' AS source" for s in ("os", "json", "load", "save"))))
 def imports_index(spark, d):
-    return truth.imports_index(X.imports(X.extract(P.python_files(spark, d), only=["import"])))
+    return truth.imports_index(X.imports(X.extract(P.python_files(spark, d), only=["import"], columns=["fact", "path", "name"])))
 
 
 @query("known_tables", f"""

@@ -1,11 +1,15 @@
 """What keeps queries within memory and time on large tables: measured broadcasts, even tasks, narrow facts."""
 
+import ast
+
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
+from factloom import session
+from factloom.functions.languages import _CHILDREN, python_facts
 from factloom.operators import extract as X, joins, outputs as O
-from factloom.plans import corpus as P, reports as R
+from factloom.plans import corpus as P, q_truth, reports as R
 from factloom.session import FILES_PER_TASK, RUNTIME_CONF, spread, tune
 
 
@@ -46,6 +50,46 @@ def test_one_row_group_is_dealt_to_all_tasks(spark, tmp_path):
     assert files.rdd.getNumPartitions() >= max(spark.sparkContext.defaultParallelism, 40_000 // FILES_PER_TASK)
 
 
+def test_a_task_takes_no_more_files_of_a_larger_table(spark, tmp_path):
+    files = P.python_files(spark, _orders(tmp_path, 120_000))
+    sizes = [r["count"] for r in files.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert sum(sizes) == 120_000 and max(sizes) <= 10_100
+
+
+def test_single_readers_take_edges_and_imports_from_the_parser(spark, tmp_path):
+    d = _orders(tmp_path, 20)
+    before = len(session._staged)
+    edges = {(r.caller, r.callee) for r in q_truth.call_edges(spark, d).collect()}
+    assert ("run_3", "load") in edges and ("<module>", "run_19") in edges and len(edges) == 20 * 8
+    sources = q_truth.imports_index(spark, d)
+    assert sources.columns == ["path", "source"] and sources.count() == 20 * 4
+    assert len(session._staged) == before
+
+
+def test_visitor_reads_child_fields_alone():
+    assert _CHILDREN[ast.Call] == ("func", "args", "keywords") and _CHILDREN[ast.Attribute] == ("value",)
+    code = """
+@deco(a())
+class K(base(), metaclass=meta()):
+    x: kind() = value()
+    async def f(self, p: t() = d(), *q: u(), k=v(), **r) -> w():
+        async with ctx() as c, other():
+            yield [e() for e in src() if cond()] + {k(): y() for z in zs()}
+        try:
+            raise err() from cause()
+        except exc() as x:
+            assert ok(), msg()
+        match subject():
+            case Point(x=0) if guard():
+                del sub()[index():stop()]
+                lam(lambda q=deft(): body())
+        return f"{fmt()!r:{width()}}" if not neg() else (n := walrus()) < cmp() and ~inv() or await aw()
+"""
+    found = [f["name"] for f in python_facts(code) if f["fact"] == "call"]
+    walked = [ast.get_source_segment(code, n.func) for n in ast.walk(ast.parse(code)) if isinstance(n, ast.Call)]
+    assert sorted(found) == sorted(walked) and len(found) > 30
+
+
 CODE = "import os\nLIMIT = 1\ndef run(a, b: int = 2):\n    'text'\n    go(a)\n    open('x')\n"
 
 
