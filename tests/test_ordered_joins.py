@@ -58,6 +58,17 @@ def test_salted_join_equals_plain_join(spark):
     assert [r.key for r in J.hot_keys(left, "key", 4).collect()] == ["hot"]
 
 
+def test_keys_hot_on_the_right_alone_are_spread(spark):
+    left = spark.createDataFrame([(f"k{i}", i) for i in range(300)] + [("lib", 1), ("both", 1)] + [("both", i) for i in range(200)] + [(None, 5)], "key string, pos long")
+    right = spark.createDataFrame([("lib", i) for i in range(900)] + [("away", i) for i in range(900)] + [("both", i) for i in range(300)] + [("k7", 1), ("k7", 1), (None, 1)], "key string, w int")
+    got = J.salted_join(left, right, "key", share=8, right_keys=right)
+    want = left.join(right, "key")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    # rows of one key are dealt to several groups of the join, so no task holds them all
+    optimized = got._jdf.queryExecution().optimizedPlan().toString()
+    assert optimized.count("explode") == 2 and optimized.count("xxhash64") == 2
+
+
 def test_contains_join_against_brute_force(spark):
     rng = random.Random(5)
     word = lambda n: "".join(rng.choice("abCé_") for _ in range(n))
