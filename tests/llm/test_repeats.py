@@ -92,3 +92,12 @@ def test_prefixes():
             order = np.array(repeats.suffix_order(data, length))
             pairs = [data[i : i + length] == data[j : j + length] and max(i, j) + length <= len(data) for i, j in zip(order, order[1:])]
             assert repeats.adjacent_reach(data, order, length).tolist() == [False, *pairs]
+
+
+def test_texts_are_joined_the_same_way_at_any_size(spark):
+    docs = spark.createDataFrame([(d, t, "s") for d, t in cases()], "doc_id bigint, text string, source string")
+    plan = repeats.remove_repeats(docs)._jdf.queryExecution()
+    assert "SortMergeJoin" in plan.executedPlan().toString() and "BroadcastHashJoin" not in plan.executedPlan().toString()
+    # below the join only the row has the text
+    sides = plan.optimizedPlan().toString().split("Join ", 1)[1]
+    assert " AS text" not in sides
