@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import Rows, prepare, text_or_empty, values
-from factloom.llm.tokens import default_path, encoder
+from factloom.llm.common import Rows, drop_caches, prepare, text_or_empty, values
+from factloom.llm.tokens import WordEncoder, default_path, encoder
 
 LIMIT = 4096
 END_ID = 2
@@ -39,11 +39,14 @@ def binary_lengths(n: int, limit: int = LIMIT) -> Iterator[tuple[int, int]]:
         size >>= 1
 
 
-def pack(docs: DataFrame, limit: int = LIMIT, end_id: int = END_ID, tokenizer: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, limit: int = LIMIT, end_id: int = END_ID, tokenizer: str | None = None, own_words: int | None = None) -> DataFrame:
     """Pieces: doc_id, start, length, ids (little-endian u32), doc_tokens, offset, bucket (log2 of the length), sequence_id.
 
     One narrow pass. ``sequence_id`` is unique, and grows with the order of the
     input's partitions; ids of different partitions are not consecutive.
+    ``own_words`` gives each task a word cache of its own, of so many words a generation,
+    that is freed with the task: for jobs with other Python steps, whose workers take turns
+    on an executor and would each keep a full cache.
     """
     if limit < 1 or limit & (limit - 1):
         raise ValueError("limit must be a power of two")
@@ -55,7 +58,9 @@ def pack(docs: DataFrame, limit: int = LIMIT, end_id: int = END_ID, tokenizer: s
     end = int(end_id).to_bytes(4, "little")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
+        if own_words:
+            drop_caches()
+        encode = (WordEncoder(path, own_words) if own_words else encoder(path)).encode
         out = Rows(schema)
         for batch in batches:
             for doc_id, text in values(batch, "doc_id", "text"):

@@ -177,3 +177,9 @@ def test_very_long_turn(spark):
     df = spark.createDataFrame([(1, 0, "assistant", said)], "conv_id bigint, turn int, role string, text string")
     (row,) = chat.read_chat(chat.format_chat(chat.canonical_turns(df))).collect()
     assert row.loss_chars == len(said) and row.loss_sha256 == hashlib.sha256(said.encode()).hexdigest()
+
+
+def test_packing_with_a_cache_of_its_own(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"word{j}x{i % 7}, Größe" for j in range(40 * i))) for i in range(12)] + [(50, None)], "doc_id bigint, text string")
+    rows = lambda df: sorted(map(tuple, df.drop("sequence_id").collect()))
+    assert rows(packing.pack(docs, own_words=100)) == rows(packing.pack(docs))
