@@ -41,6 +41,17 @@ def _batch(facts: list[dict], names: Sequence[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, schema=pa.schema(fields))
 
 
+def _first(facts: list[dict]) -> list[dict]:
+    """The first fact of each kind and name, by path and number."""
+    found: dict[tuple, dict] = {}
+    for fact in facts:
+        key = fact["fact"], fact["name"]
+        known = found.get(key)
+        if known is None or (fact["path"], fact["seq"]) < (known["path"], known["seq"]):
+            found[key] = fact
+    return list(found.values())
+
+
 def file_facts(path: str, language: str, content: str | None, table: dict[str, Callable[[str], list[dict]]] | None = None) -> list[dict]:
     """The facts of one file, numbered by kind; a language without an extractor, or no content, gives none."""
     table = table or EXTRACTORS
@@ -61,7 +72,7 @@ def file_facts(path: str, language: str, content: str | None, table: dict[str, C
 def extract(
     files: DataFrame, path: str = "path", language: str = "language", content: str = "content",
     extractors: dict[str, Callable[[str], list[dict]]] | None = None,
-    only: Sequence[str] | None = None, columns: Sequence[str] | None = None,
+    only: Sequence[str] | None = None, columns: Sequence[str] | None = None, first_names: bool = False,
 ) -> DataFrame:
     """One tagged row per fact of each file (see ``schema.FACT``).
 
@@ -69,6 +80,8 @@ def extract(
     shuffled. Pass ``extractors`` to add a language or replace one. ``only``
     names the kinds of facts that are wanted: others do not leave the worker,
     nor do columns that the wanted kinds leave empty. ``columns`` names fewer.
+    ``first_names`` is for readers that want the first fact of each kind and name, by
+    path and number: in a batch of files, later ones do not leave the worker either.
     """
     table = extractors or EXTRACTORS
     filled = {c for kind in only for c in _FILLED.get(kind, _DEFAULTS)} if only else set(_DEFAULTS)
@@ -82,9 +95,9 @@ def extract(
                 facts = file_facts(file_path, lang, body, table)
                 out += [f for f in facts if f["fact"] in kinds] if kinds else facts
                 if len(out) > 20_000:
-                    yield _batch(out, names)
+                    yield _batch(_first(out) if first_names else out, names)
                     out = []
-            yield _batch(out, names)
+            yield _batch(_first(out) if first_names else out, names)
 
     chosen = files.where(F.col(language).isin(*table)).select(path, language, content)
     types = dict(field.split(" ", 1) for field in schema.FACT.split(", "))

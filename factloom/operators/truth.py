@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from factloom import fixed_values as V
 from factloom.functions import text as T
@@ -45,20 +45,15 @@ def known_names(calls: DataFrame, symbols: DataFrame) -> DataFrame:
 def truth_index(calls: DataFrame, symbols: DataFrame, udfs: DataFrame) -> DataFrame:
     """One row per known name: where it is first found, by priority
     callee, symbol, UDF (rank 0, 1, 2)."""
-    callee = first_reference(calls, "callee", ["path", "edge_seq"], ["path", "line"]).select(
-        F.col("callee").alias("name"), F.lit(0).alias("rank"), F.col("path").alias("found_in"), "line",
-        F.lit("call").alias("kind"),
-    )
-    symbol = first_reference(symbols, "name", ["path", "seq"], ["path", "line", "kind"]).select(
-        "name", F.lit(1).alias("rank"), F.col("path").alias("found_in"), "line", "kind",
-    )
-    udf = first_reference(udfs, "name", ["path", "line"], ["path", "line"]).select(
-        "name", F.lit(2).alias("rank"), F.col("path").alias("found_in"), "line", F.lit("udf").alias("kind"),
-    )
-    every = callee.unionByName(symbol).unionByName(udf)
-    return every.groupBy("name").agg(
-        F.min_by(F.struct("rank", "found_in", "line", "kind"), "rank").alias("_t")
-    ).select("name", "_t.*")
+    def candidates(df: DataFrame, rank: int, name: str, seq: str, kind: Column) -> DataFrame:
+        return df.where(F.col(name) != "").select(
+            F.col(name).alias("name"), F.lit(rank).alias("rank"), F.col("path").alias("found_in"), F.col(seq).cast("bigint").alias("seq"), "line", kind.alias("kind"))
+
+    every = candidates(calls, 0, "callee", "edge_seq", F.lit("call")).unionByName(
+        candidates(symbols, 1, "name", "seq", F.col("kind"))).unionByName(candidates(udfs, 2, "name", "line", F.lit("udf")))
+    # one shuffle: a task sends a row per name
+    first = every.groupBy("name").agg(F.min(F.struct("rank", "found_in", "seq", "line", "kind")).alias("_t"))
+    return first.select("name", *[F.col("_t")[c].alias(c) for c in ("rank", "found_in", "line", "kind")])
 
 
 # mentions ---------------------------------------------------------------

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from factloom.operators import extract as X, facts, truth
 from factloom.plans import corpus as P
-from factloom.plans.q_code import PB, QB, SB, _PY_CALLS, i, python_edges, python_graph, rows
+from factloom.plans.q_code import PB, QB, SB, _PY_CALLS, i, python_edges, python_graph, python_names, rows
 from factloom.plans.registry import query
 from factloom.session import stage_table
 
@@ -23,9 +23,8 @@ def table_mentions(spark, d):
 
 
 def _index(spark, d):
-    py, calls = python_graph(spark, d)
-    symbols = X.symbols(py)
-    return symbols, calls, facts.udf_registrations(P.scala_files(spark, d))
+    symbols, calls = python_names(spark, d)
+    return truth.truth_index(calls, symbols, facts.udf_registrations(P.scala_files(spark, d)))
 
 
 _FIRST = f"""
@@ -41,14 +40,19 @@ truth AS (SELECT name, CAST(min(rank) AS INTEGER) AS rank, arg_min(path, (rank,
 
 @query("truth_index", _FIRST + "SELECT name, rank, found_in, line, kind FROM truth")
 def truth_index(spark, d):
-    symbols, calls, udfs = _index(spark, d)
-    return truth.truth_index(calls, symbols, udfs)
+    return _index(spark, d)
+
+
+def _checked(spark, d, index):
+    return truth.validate_calls(truth.mentions(P.analyses(spark, d), ["doc"]), index)
 
 
 def _validated(spark, d):
-    symbols, calls, udfs = _index(spark, d)
-    found = stage_table(truth.mentions(P.analyses(spark, d), ["doc"]))
-    return truth.validate_calls(found, truth.truth_index(calls, symbols, udfs)), symbols, calls
+    """Checked mentions beside the symbols and calls that a second chance needs whole."""
+    py, calls = python_graph(spark, d)
+    symbols = X.symbols(py)
+    index = truth.truth_index(calls, symbols, facts.udf_registrations(P.scala_files(spark, d)))
+    return _checked(spark, d, index), symbols, calls
 
 
 _MENTION = "(" + rows(PB, *(f"CAST(k AS BIGINT) AS doc, {n} AS name" for n in (
@@ -61,7 +65,7 @@ _VALID = _FIRST + f""", v AS (SELECT doc, m.name, CASE WHEN t.name IS NULL THEN
 
 @query("validated_calls", _VALID + "SELECT * FROM v")
 def validated_calls(spark, d):
-    return _validated(spark, d)[0]
+    return _checked(spark, d, _index(spark, d))
 
 
 _RESCUED = _VALID + """, r AS (SELECT doc, name, found_in, line, kind,
@@ -153,6 +157,6 @@ def validation_summary(spark, d):
 def correction_prompts(spark, d):
     from factloom.plans.reports import correction_prompts as prompts
 
-    checked = stage_table(_validated(spark, d)[0])
+    checked = stage_table(_checked(spark, d, _index(spark, d)))
     found = prompts(P.analyses(spark, d), checked, ["doc"])
     return found.select("doc", F.substring_index("prompt", "\n\n", 1).alias("head"))

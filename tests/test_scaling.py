@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from factloom import session
 from factloom.functions.languages import _CHILDREN, python_facts
-from factloom.operators import extract as X, joins, outputs as O
+from factloom.operators import extract as X, joins, line_html, outputs as O, truth
 from factloom.plans import corpus as P, q_truth, reports as R
 from factloom.session import FILES_PER_TASK, RUNTIME_CONF, spread, tune
 
@@ -125,3 +125,29 @@ def test_word_sets_meet_without_shuffling_their_words(spark):
         want.add(("_".join(s) + "_", min(alike)))
     assert {tuple(r) for r in found.collect()} == want
     assert "Window" not in _plan(found)
+
+
+def test_truth_index_takes_the_first_of_each_name_from_the_worker(spark, tmp_path):
+    source = "def run():\n    load()\n    load()\nLIMIT = 1\n"
+    files = spark.createDataFrame([(f"f{i:03d}.py", "Python", source) for i in range(40)], "path string, language string, content string").repartition(2)
+    whole = X.extract(files, only=["symbol", "call"])
+    facts = X.extract(files, only=["symbol", "call"], columns=["fact", "path", "seq", "name", "kind", "line"], first_names=True)
+    # a row of each kind and name for a task, where 40 files have 160 facts
+    assert whole.count() == 160 and facts.count() <= 6
+    udfs = spark.createDataFrame([("z.scala", "run", 6), ("z.scala", "twice", 9), ("b.scala", "twice", 12), (None, None, 1)], "path string, name string, line int")
+
+    def index(found):
+        calls = X.direct_calls(found).withColumnRenamed("seq", "edge_seq")
+        plan = truth.truth_index(calls, X.symbols(found), udfs)
+        assert _plan(plan).count("Exchange hashpartitioning") == 1
+        return sorted(map(tuple, plan.collect()))
+
+    assert index(facts) == index(whole) == [
+        ("LIMIT", 1, "f000.py", 4, "variable"), ("load", 0, "f000.py", 2, "call"), ("run", 1, "f000.py", 1, "function"), ("twice", 2, "b.scala", 12, "udf")]
+
+
+def test_html_lines_are_walked_once(spark):
+    lines = spark.createDataFrame([("", i, t) for i, t in enumerate(["# T", "", "## A", "text", "<details>", "- x"])], "doc string, at bigint, line string")
+    body, heads = line_html.html_lines(lines, "doc", "at", "line")
+    assert "MapInArrow" not in _plan(body.join(heads, "at"))
+    assert [r.title for r in heads.collect()] == ["A"]
