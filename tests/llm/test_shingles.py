@@ -105,3 +105,73 @@ def test_keep_one_keeps_odd_columns(spark):
     df = spark.createDataFrame([(1, "a b", 7, 8, 9), (2, "a b", 5, 6, 9)], "doc_id bigint, text string, _own_text int, `a b` int, t int")
     kept = simhash.keep_one(df)
     assert kept.columns == df.columns and [tuple(r) for r in kept.collect()] == [(1, "a b", 7, 8, 9)]
+
+
+def links_of(spark, docs):
+    """Pairs verified and links found between texts that share one key; each text is a component of its own."""
+    from pyspark.sql import functions as F
+
+    from factloom.llm import shingles
+    from factloom.llm.common import stage
+
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    t = F.xxhash64("text")
+    texts = stage(df.select(t.alias("t"), F.col("doc_id").alias("c"), F.size(F.array_distinct(F.split("text", " "))).cast("bigint").alias("n")))
+    sizes = {d: len(simhash.shingle_set(x)) for d, x in docs}
+    texts = stage(texts.drop("n").join(spark.createDataFrame(list(sizes.items()), "c bigint, n bigint"), "c").select("t", "c", "n"))
+    seen, verify = [], shingles._verify
+
+    def counted(docs, pairs, set_of):
+        seen.append(pairs.count())
+        return verify(docs, pairs, set_of)
+
+    shingles._verify = counted
+    try:
+        found = shingles.links(df, texts, df.select(t.alias("t"), F.lit(1).cast("bigint").alias("key")), simhash.shingle_set).collect()
+    finally:
+        shingles._verify = verify
+    return sum(seen), {tuple(sorted((r.a, r.b))) for r in found}
+
+
+def test_copies_too_far_apart_are_few_pairs(spark):
+    """Texts made from one, none alike: their pairs grow with the texts, not with the square."""
+    rnd = random.Random(12)
+    base = [f"w{i}" for i in range(150)]
+
+    def copies(n):
+        out = []
+        for i in range(n):
+            copy = base[:]
+            for k in rnd.sample(range(5, 145), 9):
+                copy[k] = f"n{i}x{k}"
+            out.append((i, " ".join(copy)))
+        return out
+
+    few, many = links_of(spark, copies(40)), links_of(spark, copies(160))
+    assert few[1] == many[1] == set()
+    assert many[0] <= 6 * few[0] and many[0] <= 2 * 160  # all pairs: 12,720
+
+
+def test_texts_alike_share_a_rare_shingle(spark):
+    """Near copies of many sizes: every pair that is alike is among the pairs to verify."""
+    from pyspark.sql import functions as F
+
+    from factloom.llm import shingles
+    from factloom.llm.common import stage
+
+    rnd = random.Random(13)
+    docs = []
+    for g in range(12):
+        own = [f"g{g}w{i}" for i in range(rnd.randint(30, 200))]
+        for k in range(6):
+            n = len(own)
+            copy = own[: n - rnd.randint(0, n // 4)] + [f"g{g}e{k}x{i}" for i in range(rnd.randint(0, n // 8))]
+            docs.append((10 * g + k, " ".join(copy)))
+    docs += [(900 + i, f"a b c d e{' f' * i}") for i in range(3)]
+    df = stage(spark.createDataFrame(docs, "doc_id bigint, text string"))
+    left = df.select(F.xxhash64("text").alias("t"), F.col("doc_id").alias("c"))
+    of = {r.t: r.c for r in left.collect()}
+    pairs = {tuple(sorted((of[r.ta], of[r.tb]))) for r in shingles._rare_pairs(df, left, simhash.shingle_set).collect()}
+    wanted = {(a, b) for a, t in docs for b, u in docs if a < b and alike(t, u)}
+    assert len(wanted) > 30 and wanted <= pairs
+    assert len(pairs) < 12 * 15 + 4  # none across the groups
