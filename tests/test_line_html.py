@@ -3,8 +3,11 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from factloom.operators import line_html as L
+from factloom.functions import text as T
+from factloom.operators import line_html as L, markdown as M
+from factloom.operators.ordered import line_rank
 from factloom.operators.transducer import walk
 from factloom.plans import reports as R
 
@@ -108,3 +111,27 @@ def test_page(spark, tmp_path):
 def test_no_lines(spark):
     empty = spark.createDataFrame([], "section int, n bigint, sub int, pos string, line string")
     assert R.html_document(empty, "T").count() == 10
+
+
+def test_strip_and_cells_follow_the_patterns(spark):
+    signs = [chr(i) for i in range(1, 0x3100) if not 0xD800 <= i < 0xE000]
+    rows = spark.createDataFrame([(c + "a" + c + "b" + c,) for c in signs], "t string")
+    plain = F.regexp_replace("t", r"(?U)^\s+|\s+$", "")
+    assert rows.where(M.strip(F.col("t")) != plain).count() == 0
+    cells = ["| *a | b* | `c | d` |", "| **x** |  | [l](u) | [m | n](v) |", "|| a & <b> ||", "| `p` | *q* * |"]
+    df = spark.createDataFrame([("", i, t) for i, t in enumerate(cells)], "doc string, at bigint, line string")
+    escaped = T.escape_html(F.regexp_replace("line", r"^\|+|\|+$", ""))
+    each = F.transform(F.split(escaped, r"\|"), lambda c: M.inline_html(M.strip(c)))
+    want = [r.c for r in df.select(each.alias("c")).collect()]
+    found = [r.html for r in L.html_lines(df, "doc", "at", "line")[0].orderBy("at", "part").collect() if r.html.startswith("<tr>")]
+    tags = ["th", "td", "td", "td"]
+    assert found == ["<tr>" + "".join(f"<{tag}>{c}</{tag}>" for c in row) + "</tr>" for tag, row in zip(tags, want)]
+
+
+def test_texts_are_sorted_whole_and_html_has_no_filter_over_arrays(spark):
+    rows = [(n, "\n".join(f"{n}.{k}" for k in range(n % 4 + 1))) for n in range(500)]
+    lines = spark.createDataFrame(random.Random(1).sample(rows, 500), "n int, line string").repartition(7)
+    ranked = sorted((r["at"], r.line) for r in line_rank(lines, ["n"], "line", "at").collect())
+    assert ranked == list(enumerate(line for _, text in rows for line in text.split("\n")))
+    body = L._with_html(spark.createDataFrame([("", 0, "| a |", L.ROW, L.NONE)], "doc string, at bigint, line string, cls int, state int"))
+    assert "lambda" not in body._jdf.queryExecution().executedPlan().toString()
