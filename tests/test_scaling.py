@@ -151,3 +151,38 @@ def test_html_lines_are_walked_once(spark):
     body, heads = line_html.html_lines(lines, "doc", "at", "line")
     assert "MapInArrow" not in _plan(body.join(heads, "at"))
     assert [r.title for r in heads.collect()] == ["A"]
+
+
+def test_python_facts_leave_out_what_no_reader_takes():
+    code = '''import os, a.b as c
+from .x import y
+LIMIT = max(1,
+  2)
+_t: int = f(
+  "é")
+@deco(one())
+class K(Base, meta=m()):
+    """Doc."""
+    async def run(self, p: t() = d(), /, *q: u(), k=v(), **r: w()) -> z(1):
+        "Text."
+        return (lambda a=b(): a.c(d)(e[g()]))(
+            h.i().j(x for x in l() if n()))
+def plain(): pass
+'''
+    for source in (code, code.replace("é", "e"), code.replace("_t", "_ä"), code.replace("deco", "ｄeco")):
+        whole = python_facts(source)
+        for wanted in (["symbol", "call", "name", "line", "caller", "signature", "parent"], ["call", "name", "caller"], ["import", "name", "line", "module"], ["symbol", "name", "kind"]):
+            kept = [{k: v for k, v in f.items() if k in wanted} for f in whole if f["fact"] in wanted]
+            assert [{k: v for k, v in f.items() if k in wanted} for f in python_facts(source, frozenset(wanted)) if f["fact"] in wanted] == kept
+        less = python_facts(source, frozenset(["symbol", "name"]))
+        assert {f["fact"] for f in less} == {"symbol"} and not any("params" in f for f in less)
+        # calls as they are written, a name in other letters too
+        calls = [f["name"] for f in whole if f["fact"] == "call"]
+        assert calls[:3] == ["max", "f", "deco" if "deco" in source else "ｄeco"] and len(calls) == 20
+    # a line end that only the parser counts: the text of line 2 is not there
+    for wanted in (None, frozenset(["symbol", "name"])):
+        try:
+            python_facts("a = 1\rdef f(): pass", wanted)
+            raise AssertionError("no error")
+        except IndexError:
+            pass
