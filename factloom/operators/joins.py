@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -92,18 +92,23 @@ def last_before(
 
 
 def contains_join(
-    texts: DataFrame, text: str, names: DataFrame, name: str, ignore_case: bool = True
+    texts: DataFrame, text: str, names: DataFrame, name: str, ignore_case: bool = True, sieve: bool = False
 ) -> DataFrame:
     """(text, name) pairs where the text contains the name.
 
     Every distinct text gives out its substrings of the lengths that occur
     among the names, and those are equi-joined with the names; no pair is
     formed that is not a result. Meant for short texts such as words and names.
+    With ``sieve`` substrings that begin or end like no name stay out of the
+    join; it reads the names once more, so they should be cheap to make.
     """
     fold = F.lower if ignore_case else (lambda c: c)
     wanted = names.select(F.col(name).alias("_name"), fold(F.col(name)).alias("_key")).where(
         F.length("_key") > 0
     ).distinct()
+    if sieve:
+        exploded = _sieved_pieces(texts.select(F.col(text).alias("_text")), wanted.select("_key"), fold).distinct()
+        return exploded.join(wanted, "_key").select(F.col("_text").alias(text), F.col("_name").alias(name))
     distinct = texts.select(F.col(text).alias("_text")).distinct().withColumn("_lens", _lengths(wanted, "_key"))
     size = F.length("_text")
     pieces = F.flatten(
@@ -118,6 +123,36 @@ def contains_join(
     return exploded.join(wanted, "_key").select(F.col("_text").alias(text), F.col("_name").alias(name))
 
 
+# characters at both ends of a name that the sieve knows
+HEAD, TAIL = 4, 3
+
+
+def _sieved_pieces(texts: DataFrame, names: DataFrame, fold: Callable[[Column], Column]) -> DataFrame:
+    """(_text, _key): substrings of a name's length that begin like a name and end like one of that length.
+
+    Beginnings and endings are known by hash, a byte per slot, so a table of
+    names of any size leaves two tables of fixed size; none of the names is missed.
+    """
+    ends = lambda key: (_slot(F.left(key, F.lit(HEAD))), _slot(F.concat(F.right(key, F.lit(TAIL)), F.length(key).cast("string"))))
+    head, tail = ends(F.col("_key"))
+    met = names.select(F.explode(F.array(F.struct(F.lit(0).alias("side"), head.alias("slot")), F.struct(F.lit(1).alias("side"), tail.alias("slot")))).alias("m"))
+    known = bytearray(SKETCH), bytearray(SKETCH)
+    for side, slot in met.select("m.*").distinct().collect():  # two rows per slot at most, whatever the number of names
+        known[side][slot] = 1
+    has = lambda side, slot: F.substring(F.lit(bytes(known[side])), slot + 1, F.lit(1)) == F.lit(b"\x01")
+    size = F.length("_text")
+    folded = texts.where(size > 0).withColumn("_folded", fold(F.col("_text"))).withColumn("_lens", _lengths(names, "_key"))
+    cut = lambda at, n: F.substring(F.col("_folded"), at, n)
+
+    def at_place(at: Column) -> Column:
+        fits = F.filter("_lens", lambda n: (n <= size - at + 1) & has(0, _slot(cut(at, F.least(n, F.lit(HEAD))))))
+        whole = F.filter(fits, lambda n: has(1, _slot(F.concat(cut(at + n - F.least(n, F.lit(TAIL)), F.least(n, F.lit(TAIL))), n.cast("string")))))
+        return F.transform(whole, lambda n: cut(at, n))
+
+    places = F.sequence(F.lit(1), size)
+    return folded.select("_text", F.explode(F.flatten(F.transform(places, at_place))).alias("_key"))
+
+
 def _lengths(df: DataFrame, column: str) -> Column:
     """The distinct lengths of a column as one list; a list of lengths stays short."""
     return df.agg(F.sort_array(F.collect_set(F.length(column)))).scalar()

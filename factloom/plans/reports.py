@@ -262,7 +262,7 @@ def related_analyses(outputs: DataFrame, analyses: DataFrame, max_lines: int | N
     safe = lambda c: F.translate(c, "/.", "__")
     needles = outputs.select("path").distinct().withColumn("_needle", safe(F.col("path")))
     texts = analyses.select("module", safe(F.col("module")).alias("_hay"))
-    pairs = contains_join(texts, "_hay", needles, "_needle", ignore_case=False)
+    pairs = contains_join(texts, "_hay", needles, "_needle", ignore_case=False, sieve=True)
     matched = needles.join(pairs, "_needle").join(texts, "_hay").groupBy("path").agg(F.min("module").alias("module"))
     rows = M.sections(analyses, ["module"], "markdown")
     wanted = F.lower("header").rlike("|".join(V.KEY_HEADING_WORDS))

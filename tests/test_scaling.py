@@ -186,3 +186,18 @@ def plain(): pass
             raise AssertionError("no error")
         except IndexError:
             pass
+
+
+def test_substrings_that_are_like_no_name_stay_out_of_the_join(spark):
+    names = ["src_a_one_c", "src_b_two_c", "é", "ab", "x", "lib_three_h", ""]
+    hays = [f"m_{n}_doc" for n in names] + ["src_a_one_c", "ab", "", "src_a_one_h", "nothing like it", "éé ab x", None, "ab"]
+    n = spark.createDataFrame([(v,) for v in [*names, None, "ab"]], "n string")
+    t = spark.createDataFrame([(v,) for v in hays], "t string")
+    for fold in (True, False):
+        whole = sorted(map(tuple, joins.contains_join(t, "t", n, "n", fold).collect()))
+        assert sorted(map(tuple, joins.contains_join(t, "t", n, "n", fold, sieve=True).collect())) == whole
+        assert sorted(set(whole)) == sorted({(h, v) for h in hays for v in names if h and v and v in h})
+    paths = spark.range(300).select(F.concat(F.lit("py_o_order_"), F.col("id").cast("string"), F.lit("_py")).alias("n"))
+    texts = paths.select(F.concat(F.lit("x_"), "n", F.lit("_doc")).alias("_text"))
+    # a text has more than 20 substrings of those lengths
+    assert joins._sieved_pieces(texts, paths.select(F.col("n").alias("_key")), lambda c: c).count() == 300
